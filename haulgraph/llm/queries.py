@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .line_dedup import drop_lines
 from .ngram_join import jaccard_components
 
 
@@ -12,8 +14,35 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_lines(table(spark, sf_dir, "documents"), max_edits=1, min_words=8)
+    return kept.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op10_line_dedup": f"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM split),
+w AS (SELECT doc_id, line_no, line, {_WORDS.format("line")} AS words FROM l),
+d AS (SELECT words, array_to_string(words, ' ') AS whole, min({{'d': doc_id, 'l': line_no}}) AS first FROM w WHERE len(words) > 0 GROUP BY words),
+v AS (SELECT whole, first, i AS place, array_to_string(words[1:i - 1] || words[i + 1:], ' ') AS variant
+      FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM d WHERE len(words) >= 8)),
+e AS (SELECT variant, place, min(first) AS first FROM v GROUP BY variant, place),
+near AS (SELECT v.whole FROM v JOIN e USING (variant, place) WHERE e.first < v.first
+         UNION SELECT v.whole FROM v JOIN d ON v.variant = d.whole WHERE len(d.words) >= 8 AND d.first < v.first
+         UNION SELECT d.whole FROM v JOIN d ON v.variant = d.whole WHERE len(d.words) >= 8 AND v.first < d.first),
+k AS (SELECT w.doc_id, w.line_no, w.line, d.whole IS NOT NULL AND ({{'d': w.doc_id, 'l': w.line_no}} <> d.first OR near.whole IS NOT NULL) AS gone
+      FROM w LEFT JOIN d ON w.words = d.words LEFT JOIN near ON near.whole = d.whole),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+             coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(kept) AS kept_chars, md5(kept) AS kept_md5
+FROM split s LEFT JOIN t ON s.doc_id = t.doc_id""",
+}
