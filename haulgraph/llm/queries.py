@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import drop_lines
+from .piece_codec import encode_documents
 from .ngram_join import jaccard_components
 
 
@@ -14,6 +15,14 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    return encode_documents(table(spark, sf_dir, "documents"), model, digests=True)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_lines(table(spark, sf_dir, "documents"), max_edits=1, min_words=8)
     return kept.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
@@ -21,6 +30,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_sentencepiece": op4_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
 }
 
