@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import drop_lines
+from .shard_map import place
 from .piece_codec import encode_documents
 from .ngram_join import jaccard_components
 
@@ -23,6 +24,13 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return encode_documents(table(spark, sf_dir, "documents"), model, digests=True)
 
 
+SHARDS = [f"shard-{k:02d}" for k in range(16)]
+
+
+def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, slots=2053)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_lines(table(spark, sf_dir, "documents"), max_edits=1, min_words=8)
     return kept.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
@@ -31,13 +39,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_sentencepiece": op4_sentencepiece,
+    "op8_shard_table": op8_shard_table,
     "op10_line_dedup": op10_line_dedup,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 
+_HASH = "('0x' || substr(md5({}), 1, 12))::BIGINT"
+
 SQL: dict[str, str] = {
+    "op8_shard_table": f"""
+WITH RECURSIVE shards AS (SELECT k, 'shard-' || lpad(k::VARCHAR, 2, '0') AS name FROM range(16) t(k)),
+orders AS (SELECT k, list_transform(range(2053), lambda i: ({_HASH.format("name || '#offset'")} + i * ({_HASH.format("name || '#skip'")} % 2052 + 1)) % 2053) AS wish FROM shards),
+fill(turn, owner) AS (
+  SELECT 0, list_transform(range(2053), lambda i: -1)
+  UNION ALL
+  SELECT turn + 1, list_concat(owner[1:w], [turn % 16], owner[w + 2:])
+  FROM (SELECT turn, owner, list_filter(wish, lambda s: owner[s + 1] < 0)[1] AS w FROM fill JOIN orders ON k = turn % 16 WHERE turn < 2053)),
+slots AS (SELECT unnest(range(2053)) AS slot, unnest(owner) AS k FROM fill WHERE turn = 2053)
+SELECT doc_id, slot::INT AS slot, name AS shard
+FROM (SELECT doc_id, {_HASH.format("coalesce(doc_id::VARCHAR, '')")} % 2053 AS slot FROM documents) JOIN slots USING (slot) JOIN shards USING (k)""",
     "op10_line_dedup": f"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM split),
