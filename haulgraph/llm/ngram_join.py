@@ -36,6 +36,8 @@ CHUNK_BYTES = 2 << 20
 FLUSH = 2_000_000
 BUCKET_ENTRIES = 3_000_000
 BLOCK = 64
+#: Sets tried as hubs of each list in the rounds before the exhaustive one (0), which only sees what they leave apart.
+HUB_ROUNDS = (8, 0)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +235,8 @@ def _probes(buckets: int, percent: int):
                 continue
             ids = [unpack(x.as_py(), U64)[:p] for x, p in zip(batch.column(4), prefix, strict=True)]
             who = np.repeat(np.arange(len(ids)), prefix)
-            rest = np.repeat(prefix + (percent * size + 99) // 100 - 1, prefix) - np.concatenate([np.arange(p) for p in prefix])
+            shared = prefix + (percent * size + 99) // 100 - 1
+            rest = np.repeat(shared, prefix) - np.concatenate([np.arange(p) for p in prefix])
             ids = np.concatenate(ids)
             home = bucket_of(mix(ids), buckets)
             order = np.argsort(home, kind="stable")
@@ -241,13 +244,17 @@ def _probes(buckets: int, percent: int):
             lead = runs(home)
             for x, y in zip(lead[:-1], lead[1:], strict=True):
                 mine, local = np.unique(who[x:y], return_inverse=True)
-                yield pa.record_batch([pa.array([home[x]], pa.int32()), *(pa.array([pack(v)], pa.binary()) for v in (ids[x:y], local.astype(np.uint32), rest[x:y].astype(np.uint32), node[mine], root[mine], size[mine]))], ["bucket", "ids", "who", "rest", "node", "root", "size"])
+                yield pa.record_batch([pa.array([home[x]], pa.int32()), *(pa.array([pack(v)], pa.binary()) for v in (ids[x:y], local.astype(np.uint32), rest[x:y].astype(np.uint32), node[mine], root[mine], size[mine], (shared / size)[mine]))], ["bucket", "ids", "who", "rest", "node", "root", "size", "share"])
 
     return run
 
 
-def _candidates(percent: int):
-    """Pairs of sets in different components that a list brings together, by blocks of a list."""
+def _candidates(percent: int, hubs: int = 0):
+    """Pairs of sets in different components that a list brings together, by blocks of a list.
+
+    With ``hubs``, only pairs of the list's so many sets of least private share with one set of every other component:
+    linear in the list, and in a group of edited copies most sets link with the least edited ones.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         get = lambda c, t: [unpack(x.as_py(), t) for x in table.column(c)]
@@ -255,6 +262,7 @@ def _candidates(percent: int):
         first = np.concatenate(([0], np.cumsum([len(x) for x in nodes])))
         node, root, size = np.concatenate(nodes), np.concatenate(get("root", np.int64)), np.concatenate(get("size", np.int64))
         who = np.concatenate([x + first[i] for i, x in enumerate(get("who", np.uint32))]).astype(np.int64)
+        share = np.concatenate(get("share", np.float64))
         ids, rest = np.concatenate(get("ids", U64)), np.concatenate(get("rest", np.uint32)).astype(np.int64)
         order = np.lexsort((size[who], ids))
         ids, who, rest = ids[order], who[order], rest[order]
@@ -265,6 +273,16 @@ def _candidates(percent: int):
             r, n, k = root[w], size[w], rest[x:y]
             if y - x < 2 or (r == r[0]).all():
                 continue
+            if hubs:
+                best = np.lexsort((node[w], -share[w]))
+                lead_of = best[np.unique(r[best], return_index=True)[1]]  # the best set of each component
+                for hub in best[:hubs]:
+                    far = lead_of[r[lead_of] != r[hub]]
+                    ok = 100 * np.minimum(n[far], n[hub]) >= percent * np.maximum(n[far], n[hub])
+                    found.append(np.stack((np.full(ok.sum(), w[hub]), w[far[ok]]), 1))
+                if len(found) > 20_000:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                continue
             block = np.arange(0, len(w), BLOCK)
             smallest, longest = n[block], np.maximum.reduceat(k, block)
             for i in range(len(w) - 1):
@@ -278,7 +296,7 @@ def _candidates(percent: int):
                     if far.any():
                         hit = w[j][far]
                         found.append(np.stack((np.full(len(hit), w[i]), hit), 1))
-            if sum(map(len, found)) > 1_000_000:
+            if len(found) > 20_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
         if not found:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -323,19 +341,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, scratch:
     parts = posts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(homes), "home int, node binary, size binary, who binary, ident binary, level binary, one binary, two binary")
     live = scratch.cut(parts.groupBy("home").applyInArrow(_prefix_sets(percent), "a long, b long, n long, prefix long, ids binary"))
     links = live.filter("b is not null").select("a", "b")
-    roots = components(scratch, links)
     active = live.filter("b is null").select(F.col("a").alias("node"), "n", "prefix", "ids")
-    rooted = active.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix", "ids")
-    probes = rooted.mapInArrow(_probes(buckets, percent), "bucket int, ids binary, who binary, rest binary, node binary, root binary, size binary")
-    pairs = scratch.cut(probes.groupBy("bucket").applyInArrow(_candidates(percent), "a long, b long").distinct())
+    labels = components(scratch, links)
     left = active.select(F.col("node").alias("a"), "n", F.col("ids").alias("x"))
     right = active.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("ids").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").sortWithinPartitions("a", "b")
-    more = scratch.cut(both.mapInPandas(_verify(percent), "a long, b long"))
-    if more.isEmpty():
-        labels = roots
-    else:
-        labels = components(scratch, links.union(more))
+    for hubs in HUB_ROUNDS:
+        rooted = active.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix", "ids")
+        probes = rooted.mapInArrow(_probes(buckets, percent), "bucket int, ids binary, who binary, rest binary, node binary, root binary, size binary, share binary")
+        pairs = scratch.cut(probes.groupBy("bucket").applyInArrow(_candidates(percent, hubs), "a long, b long").distinct())
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").sortWithinPartitions("a", "b")
+        more = scratch.cut(both.mapInPandas(_verify(percent), "a long, b long"))
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = components(scratch, links)
     firsts = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
     named = scratch.cut(firsts.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc"))
     least = scratch.cut(named.groupBy("root").agg(F.min("doc").alias("component")))
