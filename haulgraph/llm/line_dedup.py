@@ -159,7 +159,7 @@ def dropped_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8, scrat
         kin = keys.join(met, "key", "left_semi").select("line").distinct()
         wanted = scratch.cut(distinct.filter(F.col("n_words") >= min_words).join(kin, "line").select("line", "doc", "at"))
         by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", F.col("at").alias("line_no"))).alias("want"))
-        held = texts.join(by_doc, texts.doc_id.eqNullSafe(by_doc.doc)).select("text", "want")
+        held = texts.join(by_doc.hint("merge"), texts.doc_id.eqNullSafe(by_doc.doc)).select("text", "want")
         words = scratch.cut(held.mapInArrow(_fetch, "line long, words binary").dropDuplicates(["line"]))
         near = words.join(wanted, "line").select("line", "words", "doc", "at")
         variants = scratch.cut(near.mapInArrow(_variants, "variant long, place int, line long, doc long, at int"))
@@ -184,7 +184,7 @@ def drop_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8, scratch:
     """``docs`` with the text of every row less its repeated lines, and ``n_lines`` and ``n_dropped`` of each."""
     scratch = scratch or Scratch(docs.sparkSession)
     gone = scratch.cut(dropped_lines(docs, max_edits, min_words, scratch).withColumnRenamed("doc_id", "gone_doc"))
-    joined = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_doc), "left").drop("gone_doc")
+    joined = docs.join(gone.hint("merge"), docs.doc_id.eqNullSafe(gone.gone_doc), "left").drop("gone_doc")
     names = docs.columns
     position = names.index("text")
     counts = F.size(F.split("text", "\n", -1)), F.coalesce(F.size("gone"), F.lit(0))
