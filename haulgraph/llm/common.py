@@ -104,14 +104,17 @@ def _slices(space: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, value: np.ndarray = LOWER_VALUE, space: np.ndarray = IS_SPACE):
+def word_hashes(data: np.ndarray, offsets: np.ndarray, value: np.ndarray = LOWER_VALUE, space: np.ndarray = IS_SPACE, affixes: tuple[int, ...] = ()):
     """Words of the rows ``data[offsets[i]:offsets[i+1]]``: hash, row, start and end of each, in order.
 
+    For each of ``affixes`` one more array follows: the hash of a word's first k bytes, or last -k; 0 for shorter words.
+
     A word is a longest run of bytes outside ``space``; with UTF-8 and ASCII white space these are the runs of
     characters outside it. Memory is bounded by SLICE_BYTES, or the longest single word.
     """
     lo, hi = int(offsets[0]), int(offsets[-1])
     hashes, starts, ends = [], [], []
+    more: list[list[np.ndarray]] = [[] for _ in affixes]
     body = data[lo:hi]
     blank = space[body]
     cut = np.zeros(len(body) + 1, bool)
@@ -130,14 +133,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, value: np.ndarray = LOWER
         total = np.zeros(b - a + 1, U64)
         np.cumsum(value[body[a:b]] * up[: b - a], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s] ^ (e - s).astype(U64)))
+        for k, out in zip(affixes, more, strict=True):
+            x, y = (s, np.minimum(s + k, e)) if k > 0 else (np.maximum(e + k, s), e)
+            out.append(np.where(e - s > abs(k), mix((total[y] - total[x]) * down[x] ^ U64(k & 0xFFFF) << U64(32)), U64(0)))
         starts.append(s + (a + lo))
         ends.append(e + (a + lo))
     if not hashes:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, U64), none, none, none
+        return np.zeros(0, U64), none, none, none, *(np.zeros(0, U64) for _ in affixes)
     s = np.concatenate(starts)
     row = np.searchsorted(offsets, s, side="right") - 1
-    return np.concatenate(hashes), row, s, np.concatenate(ends)
+    return np.concatenate(hashes), row, s, np.concatenate(ends), *map(np.concatenate, more)
 
 
 def binary_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

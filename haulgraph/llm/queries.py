@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
 from .common import table
 from .line_dedup import drop_lines
 from .shard_map import place
@@ -24,6 +25,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return encode_documents(table(spark, sf_dir, "documents"), model, digests=True)
 
 
+def fold(of: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxicity.fit(docs, labels.filter(fold(4) != 2), max_docs=1500)
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
+    return toxicity.score(docs, field, spans=False).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 SHARDS = [f"shard-{k:02d}" for k in range(16)]
 
 
@@ -39,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_sentencepiece": op4_sentencepiece,
+    "op7_toxicity_crf": op7_toxicity_crf,
     "op8_shard_table": op8_shard_table,
     "op10_line_dedup": op10_line_dedup,
 }
