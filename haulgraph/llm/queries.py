@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import lm_score, toxicity
 from .common import table
 from .line_dedup import drop_lines
 from .shard_map import place
@@ -29,6 +29,12 @@ def fold(of: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"), fold(5) != 1)
+    held_out = F.coalesce(fold(5) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     field = toxicity.fit(docs, labels.filter(fold(4) != 2), max_docs=1500)
@@ -51,6 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_lm_score": op6_lm_score,
     "op7_toxicity_crf": op7_toxicity_crf,
     "op8_shard_table": op8_shard_table,
     "op10_line_dedup": op10_line_dedup,
