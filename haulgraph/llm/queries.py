@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score, toxicity
+from . import ann, lm_score, toxicity
 from .common import table
 from .line_dedup import drop_lines
 from .shard_map import place
@@ -13,6 +13,10 @@ from .piece_codec import encode_documents
 from .ngram_join import jaccard_components
 
 
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
@@ -55,6 +59,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_additive_quantisation": op1_additive_quantisation,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_lm_score": op6_lm_score,
