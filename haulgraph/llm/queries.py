@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, lm_score, toxicity
 from .common import table
+from .decontam import leaks
 from .line_dedup import drop_lines
 from .shard_map import place
 from .piece_codec import encode_documents
@@ -53,6 +54,10 @@ def op8_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, slots=2053)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_lines(table(spark, sf_dir, "documents"), max_edits=1, min_words=8)
     return kept.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op6_lm_score": op6_lm_score,
     "op7_toxicity_crf": op7_toxicity_crf,
     "op8_shard_table": op8_shard_table,
+    "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
