@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm_score, toxicity
+from . import ann, license_scan, lm_score, toxicity, url_filter
 from .common import table
 from .decontam import leaks
+from .license_scan import licenses
 from .line_dedup import drop_lines
 from .shard_map import place
 from .piece_codec import encode_documents
@@ -22,6 +23,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     if model is None:
         import public_tokenizers
@@ -30,6 +37,15 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return encode_documents(table(spark, sf_dir, "documents"), model, digests=True)
 
 
+# The rules of the URL filter's contract.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def fold(of: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
@@ -66,7 +82,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_url_templates": op5_url_templates,
     "op6_lm_score": op6_lm_score,
     "op7_toxicity_crf": op7_toxicity_crf,
     "op8_shard_table": op8_shard_table,
@@ -77,9 +95,29 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 
+_IDF, _RARE, _UNITS = license_scan.weights(license_scan.TEMPLATES)
 _HASH = "('0x' || substr(md5({}), 1, 12))::BIGINT"
 
 SQL: dict[str, str] = {
+    "op3_license_scan": f"""
+WITH f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, {_LOWER.format("text")} AS low FROM documents),
+g AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS directory FROM f),
+t(name, w, x) AS (VALUES {", ".join(f"('{k}', '{w}', {x}::DOUBLE)" for k, v in _UNITS.items() for w, x in v.items())}),
+i(w, idf) AS (VALUES {", ".join(f"('{w}', {x}::DOUBLE)" for w, x in _IDF.items())}),
+l AS (SELECT DISTINCT unnest(string_split(low, chr(10))) AS line FROM g),
+c AS (SELECT line, regexp_extract_all(line, '[a-z0-9]+') AS words FROM l WHERE ({" OR ".join(f"contains(line, '{c}')" for c in license_scan.CUES)}) AND len(regexp_extract_all(line, '[a-z0-9]+')) > 0),
+u AS (SELECT line, w, count(*) AS tf FROM (SELECT line, unnest(words) AS w FROM c) GROUP BY line, w),
+n AS (SELECT line, sqrt(sum((tf * coalesce(idf, {_RARE}::DOUBLE)) ** 2)) AS norm FROM u LEFT JOIN i USING (w) GROUP BY line),
+d AS (SELECT u.line, name, round(sum(x * tf * idf) / any_value(norm), 5) AS score FROM u JOIN t USING (w) JOIN i USING (w) JOIN n ON n.line = u.line GROUP BY u.line, name),
+b AS (SELECT line, max(score) AS score, arg_min(name, {{'s': -score, 'n': name}}) AS name FROM d GROUP BY line HAVING max(score) >= 0.6),
+e AS (SELECT doc_id, path, unnest(string_split(low, chr(10))) AS line FROM g),
+h AS (SELECT doc_id, path, max(score) AS score, arg_min(name, {{'s': -score, 'n': name}}) AS own, sum(len(words)) AS inside FROM e JOIN b USING (line) JOIN c USING (line) GROUP BY doc_id, path),
+s AS (SELECT g.doc_id, g.path, directory, own, score, coalesce(2 * inside >= len(regexp_extract_all(low, '[a-z0-9]+')), false) AS licence_file FROM g LEFT JOIN h ON g.doc_id = h.doc_id),
+o AS (SELECT directory, arg_min(own, {{'n': -n, 'o': own}}) AS license FROM (SELECT directory, own, count(*) AS n FROM s WHERE licence_file GROUP BY directory, own) GROUP BY directory),
+p AS (SELECT a.directory, arg_max(o.directory, length(o.directory)) AS ancestor, arg_max(license, length(o.directory)) AS inherited
+      FROM (SELECT DISTINCT directory FROM s) a JOIN o ON a.directory = o.directory OR starts_with(a.directory, o.directory || '/') OR o.directory = '' GROUP BY a.directory)
+SELECT doc_id, path, coalesce(own, inherited) AS license, score, licence_file, CASE WHEN own IS NOT NULL THEN 'own' ELSE ancestor END AS origin
+FROM s LEFT JOIN p USING (directory)""",
     "op8_shard_table": f"""
 WITH RECURSIVE shards AS (SELECT k, 'shard-' || lpad(k::VARCHAR, 2, '0') AS name FROM range(16) t(k)),
 orders AS (SELECT k, list_transform(range(2053), lambda i: ({_HASH.format("name || '#offset'")} + i * ({_HASH.format("name || '#skip'")} % 2052 + 1)) % 2053) AS wish FROM shards),
