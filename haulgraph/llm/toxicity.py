@@ -55,7 +55,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
 
 
 def _columns(own: list[np.ndarray], near: list[np.ndarray]) -> np.ndarray:
-    return np.stack([(x >> U64(20)).astype(np.int64) % FEATURES for x in (*own, *near)])
+    return np.stack([((x >> U64(20)) % U64(FEATURES)).astype(np.int32) for x in (*own, *near)])
 
 
 class Field:
@@ -229,7 +229,7 @@ def _score(field: Field, spans: bool):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 700) -> Field:
     """Train on ``docs`` (doc_id, text) whose doc_id is in ``labels`` (doc_id, toxic)."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # one pass over the labels: how many there are of each, and the chosen ids
