@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+from . import analytics, network, relational, scalars  # noqa: F401
+from .network import routing_fixpoint as flagship  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
