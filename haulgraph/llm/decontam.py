@@ -153,10 +153,15 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_latent: np.ndarray, cosine: float, copy: float, paraphrase: float):
     names = ["doc_id", "item_id", "common", "share", "kind"]
+    sets = [set(words) for _, words, _ in items]
+    telling = (latent != 0).any(1)
+    widest = max(0, max(len(words) for _, words, _ in items) - HALF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, h, begin, count, first, n, number, half in _passages(batch.column(1), vocabulary):
+                live = telling[number]
+                number, half = number[live], half[live]
                 if not len(number):
                     continue
                 used = np.unique(np.concatenate((half, np.maximum(half - 1, 0))))
@@ -166,20 +171,27 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
                 for k in range(0, len(used), 20_000):
                     near = (y[k : k + 20_000] @ item_latent.T) >= cosine * np.maximum(length[k : k + 20_000, None], 1e-6)
                     near &= length[k : k + 20_000, None] > 1e-6
-                    for w, i in zip(*np.nonzero(near), strict=True):
-                        window = used[k + w]
-                        row = int(np.searchsorted(first, window, side="right")) - 1
-                        while count[row] == 0:
-                            row -= 1
+                    last = -1
+                    for w, i in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                        if w != last:
+                            last, window = w, int(used[k + w])
+                            row = int(np.searchsorted(first, window, side="right")) - 1
+                            while count[row] == 0:
+                                row -= 1
+                            at, low, high = int(begin[row]) + (window - int(first[row])) * HALF, int(begin[row]), int(begin[row] + count[row])
+                            around = h[max(low, at - widest) : min(high, at + WINDOW + widest)].tolist()
+                            there = set(around)
                         _, words, answer = items[i]
-                        at = begin[row] + (window - first[row]) * HALF
+                        # no subsequence is longer than the item's words that are there at all
+                        if len(words) - len(sets[i]) + len(sets[i] & there) < paraphrase * len(words):
+                            continue
                         reach = max(0, len(words) - HALF)
-                        text = h[max(begin[row], at - reach) : min(begin[row] + count[row], at + WINDOW + reach)].tolist()
+                        text = h[max(low, at - reach) : min(high, at + WINDOW + reach)].tolist()
                         common = lcs(words, text)
                         share = common / len(words)
                         kind = "copy" if share >= copy else "paraphrase" if share >= paraphrase and lcs(answer, text) >= 0.8 * len(answer) else None
-                        if kind and (old := best.get((row, int(i)))) is None or kind and old[0] < common:
-                            best[row, int(i)] = (common, share, kind)
+                        if kind and (old := best.get((row, i))) is None or kind and old[0] < common:
+                            best[row, i] = (common, share, kind)
                 if best:
                     keys = sorted(best)
                     rows = pa.array([r + a for r, _ in keys])
@@ -202,7 +214,7 @@ def _item(item_id, text: str) -> tuple:
     return item_id, words, answer if 3 <= len(answer) < len(words) else words[-6:]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float = 0.01, cosine: float = 0.2, copy: float = 0.6, paraphrase: float = 0.55, least: int = 5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float = 0.01, cosine: float = 0.35, copy: float = 0.6, paraphrase: float = 0.55, least: int = 5) -> DataFrame:
     """doc_id, item_id, common, share and kind of every document of ``docs`` that holds an item of ``benchmark``.
 
     Items of fewer than ``least`` words are no passages and match nothing; longer ones than ITEM_WORDS are cut into
