@@ -9,7 +9,9 @@ from haulgraph.sources import network_view as V
 
 from .registry import query, views
 
-N = F.count(F.lit(1)).alias("n")
+def _n():
+    return F.count(F.lit(1)).alias("n")
+
 
 
 @query("SELECT l_suppkey AS segment, l_returnflag AS mean, round(sum(l_quantity * (1 - l_discount)), 4) AS flow FROM lineitem GROUP BY ALL")
@@ -30,7 +32,7 @@ def summary_grouping_sets(spark, d):
 
 @query(f"{views('options')} SELECT mean, loss, count(*) AS n FROM options GROUP BY ROLLUP (mean, loss)")
 def type_rollup(spark, d):
-    return V.options(spark, d).rollup("mean", "loss").agg(N)
+    return V.options(spark, d).rollup("mean", "loss").agg(_n())
 
 
 @query("SELECT l_suppkey % 10 AS node, list_sort(list(DISTINCT l_partkey % 20)) AS neighbours FROM lineitem GROUP BY 1")
@@ -42,7 +44,7 @@ def adjacency_collect(spark, d):
 def complete_group_max(spark, d):
     b = V.branches(spark, d)
     n = b.select("node").distinct().agg(F.count(F.lit(1)).alias("all_nodes"))
-    best = b.groupBy("commodity", "node").agg(F.min("cost").alias("best")).groupBy("commodity").agg(F.max("best").alias("bound"), N)
+    best = b.groupBy("commodity", "node").agg(F.min("cost").alias("best")).groupBy("commodity").agg(F.max("best").alias("bound"), _n())
     return best.join(F.broadcast(n), F.col("n") == F.col("all_nodes")).select("commodity", "bound")
 
 
@@ -124,7 +126,7 @@ def topk_per_group(spark, d):
 
 @query("SELECT k, n, rank() OVER (ORDER BY n DESC) AS place FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1)")
 def rank_groups(spark, d):
-    g = V.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(N)
+    g = V.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(_n())
     return g.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))))  # one row for each of a few groups
 
 
@@ -167,7 +169,7 @@ def merge_intervals(spark, d):
 @query("SELECT event_type AS phase, count(*) AS n, max(value) AS most FROM events GROUP BY 1")
 def event_stream_summary(spark, d):
     """The batch counterpart of streaming.events.summary."""
-    return V.read(spark, d, "events").groupBy(F.col("event_type").alias("phase")).agg(N, F.max("value").alias("most"))
+    return V.read(spark, d, "events").groupBy(F.col("event_type").alias("phase")).agg(_n(), F.max("value").alias("most"))
 
 
 @query("SELECT event_id, event_type, round(value, 6) AS value FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (ORDER BY value DESC, event_id) <= 20")
