@@ -59,9 +59,9 @@ UNION ALL SELECT 'conversion', key || '+' || c_from, key || '+' || c_to, fee, 1
 def _model(spark, d):
     e = S.both_ways(V.edges(spark, d).select("src", "dst", "distance_m", F.split_part("graph_id", F.lit("_"), F.lit(1)).alias("mean")), "src", "dst")
     t = spark.createDataFrame([("PG", 0, 2.0), ("PG", 1, 3.0), ("PL", 2, 4.0)], "mean string, commodity int, rate double")
-    kinds = _kinds(spark).filter("c_from <> c_to").select(F.struct("*").alias("x")).agg(F.collect_list("x").alias("all"))  # a dimension of 20 pairs
+    kinds = _kinds(spark).filter("c_from <> c_to").select(F.struct("*").alias("x")).agg(F.collect_list("x"))  # a dimension of 20 pairs
     n = V.nodes(spark, d).filter("convertible").select(F.col("key").alias("node"))
-    c = n.join(F.broadcast(kinds)).select("node", F.explode("all").alias("x")).select("node", "x.*")
+    c = n.withColumn("all", kinds.scalar()).select("node", F.explode("all").alias("x")).select("node", "x.*")
     return B.model_edges(e, t, c)
 
 

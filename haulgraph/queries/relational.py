@@ -136,8 +136,8 @@ def conversion_expand(spark, d):
     pairs = c.select(F.col("c").alias("c_from"), F.col("i").alias("i")).join(F.broadcast(c.select(F.col("c").alias("c_to"), F.col("i").alias("j"))), F.col("i") != F.col("j"))
     n = V.read(spark, d, "supplier").filter("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("node"))
     # commodities are a dimension of a few dozen rows; nodes are multiplied by their pairs, which is the result's size
-    listed = pairs.agg(F.collect_list(F.struct("c_from", "c_to", "i", "j")).alias("p"))
-    return n.join(F.broadcast(listed)).select("node", F.explode("p").alias("x")).select("node", "x.c_from", "x.c_to", ((F.col("node") * 31 + F.col("x.i") * 7 + F.col("x.j") * 3) % 50 + 1).alias("cost"), F.round(F.lit(0.6) + ((F.col("x.i") * 5 + F.col("x.j") * 11) % 40) / 100.0, 2).alias("efficiency"))
+    listed = pairs.agg(F.collect_list(F.struct("c_from", "c_to", "i", "j")))
+    return n.withColumn("p", listed.scalar()).select("node", F.explode("p").alias("x")).select("node", "x.c_from", "x.c_to", ((F.col("node") * 31 + F.col("x.i") * 7 + F.col("x.j") * 3) % 50 + 1).alias("cost"), F.round(F.lit(0.6) + ((F.col("x.i") * 5 + F.col("x.j") * 11) % 40) / 100.0, 2).alias("efficiency"))
 
 
 @query(f"{views('nodes', 'starts')} SELECT start_id, key AS node FROM starts JOIN countries USING (nationkey) JOIN nodes USING (continent) WHERE node_type = 'port'")
@@ -167,8 +167,8 @@ def three_leg_argmin(spark, d):
     s = V.starts(spark, d).join(F.broadcast(V.countries(spark, d)), "nationkey").select("start_id", "lat", "cost", "continent")
     p = V.nodes(spark, d).filter("node_type = 'port'").select("key", F.col("lat").alias("p_lat"), "continent")
     first = s.join(p, "continent").select("start_id", "lat", "key", (F.col("cost") + F.abs(F.col("lat") - F.col("p_lat"))).alias("c"))
-    goal = p.filter("continent = 'EUROPE'").select(F.col("key").alias("to"), F.col("p_lat").alias("to_lat")).agg(F.collect_list(F.struct("to", "to_lat")).alias("goals"))
-    each = first.join(F.broadcast(goal)).withColumn("best", F.array_min(F.transform(F.filter("goals", lambda g: g["to"] != F.col("key")), lambda g: F.col("c") + F.abs(F.col("lat") - g["to_lat"]) * 0.1 + g["to"] % 11)))
+    goal = p.filter("continent = 'EUROPE'").select(F.col("key").alias("to"), F.col("p_lat").alias("to_lat")).agg(F.collect_list(F.struct("to", "to_lat")))
+    each = first.withColumn("goals", goal.scalar()).withColumn("best", F.array_min(F.transform(F.filter("goals", lambda g: g["to"] != F.col("key")), lambda g: F.col("c") + F.abs(F.col("lat") - g["to_lat"]) * 0.1 + g["to"] % 11)))
     return each.filter("best is not null").groupBy("start_id").agg(F.round(F.min("best"), 6).alias("cost"))
 
 
