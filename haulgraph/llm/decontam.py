@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +107,9 @@ def _windows(weighted: np.ndarray, number: np.ndarray, half: np.ndarray, n: int)
     return sums[:-1] + sums[1:]
 
 
-WORDS_BLOCK = 256
+WORDS_BLOCK = 64
+#: Sums of tasks meet in so many groups first, so neither step holds more than its share of the tasks or these.
+SUM_GROUPS = 1024
 
 
 def _range(vocabulary: Vocabulary, weight: np.ndarray, rank: int):
@@ -127,14 +130,15 @@ def _range(vocabulary: Vocabulary, weight: np.ndarray, rank: int):
                 at = number[order][lead]
                 total[at] += weight[at, None] * _rows_of(both, half[order], lead)
         for k in range(0, len(weight), WORDS_BLOCK):
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([total[k : k + WORDS_BLOCK].tobytes()], pa.binary())], ["block", "sums"])
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()), pa.array([total[k : k + WORDS_BLOCK].tobytes()], pa.binary())], ["block", "part", "sums"])
 
     return run
 
 
 def _add(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("sums"))
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+    first = table.slice(0, 1)
+    return pa.table({"block": first.column("block"), "part": first.column("part"), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -242,7 +246,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float
             keep[own[np.lexsort((own, df[own]))[:KEEP]]] = True
         weight = np.where(keep, np.log((total + 1) / (df + 1)) + 1, 0).astype(np.float32)
         width = min(rank, size)
-        parts = texts.mapInArrow(_range(vocabulary, weight, width), "block int, sums binary").groupBy("block").applyInArrow(_add, "block int, sums binary").collect()
+        schema_of_sums = "block int, part int, sums binary"
+        parts = texts.mapInArrow(_range(vocabulary, weight, width), schema_of_sums)
+        parts = parts.groupBy("block", "part").applyInArrow(_add, schema_of_sums).groupBy("block").applyInArrow(_add, schema_of_sums).collect()
         if not parts:
             return out
         found = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(parts, key=lambda r: r["block"])]).reshape(size, width)

@@ -31,6 +31,8 @@ from .common import U64, Scratch, binary_rows, bucket_of, mix, pack, row_chunks,
 
 CHUNK_TOKENS = 1_500_000
 SLICE = 4 << 20
+#: Text for each bucket of counts; buckets grow with the input, so what one task holds doesn't.
+BUCKET_BYTES = 16 << 20
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 
 
@@ -203,7 +205,8 @@ def score(docs: DataFrame, learn, mass: float = 48.0, scratch: Scratch | None =
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     asked = texts.mapInArrow(_ask(buckets), "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary")
     known = scratch.cut(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, words binary, word_counts binary, pairs binary, pair_counts binary, tokens long, distinct long"))
     tokens, distinct = known.agg(F.sum("tokens"), F.sum("distinct")).first()
