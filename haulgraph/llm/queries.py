@@ -58,7 +58,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    field = toxicity.fit(docs, labels.filter(fold(4) != 2), max_docs=700)
+    field = toxicity.fit(docs, labels.filter(fold(4) != 2), max_docs=400)
     held_out = F.coalesce(fold(4) == 2, F.lit(False))
     return toxicity.score(docs, field, spans=False).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

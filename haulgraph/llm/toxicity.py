@@ -51,11 +51,12 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
         before[1:] = np.where(sequence[1:] == sequence[:-1], word[:-1], U64(0))
         after[:-1] = np.where(sequence[1:] == sequence[:-1], word[1:], U64(0))
         near = [mix(before ^ U64(0x11)), mix(after ^ U64(0x22))]
-        return row, s, e, sequence, [word, *affix], near
+        short = lambda x: (x >> U64(32)).astype(np.uint32)
+        return row, s, e, sequence, [short(x) for x in (word, *affix)], [short(x) for x in near]
 
 
 def _columns(own: list[np.ndarray], near: list[np.ndarray]) -> np.ndarray:
-    return np.stack([((x >> U64(20)) % U64(FEATURES)).astype(np.int32) for x in (*own, *near)])
+    return np.stack([(x % np.uint32(FEATURES)).astype(np.int32) for x in (*own, *near)])
 
 
 class Field:
@@ -115,7 +116,7 @@ def _distinct(word: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Documents to learn words from: of near copies (an equal least hash of five words, under either mix) the first."""
     with np.errstate(over="ignore"):
         n = max(0, len(word) - 4)
-        h = sum((word[j : j + n] * U64(2 * j + 3) for j in range(5)), np.zeros(n, U64))
+        h = sum((word[j : j + n].astype(U64) * U64(2 * j + 3) for j in range(5)), np.zeros(n, U64))
         same = row[:n] == row[4 : n + 4]
         keep = np.ones(rows, bool)
         for salt in (0x77, 0x99):
@@ -143,7 +144,7 @@ def _telling(own: list[np.ndarray], row: np.ndarray, toxic: np.ndarray, use: np.
         if len(value):
             seen.append((value[lead[:-1]], np.diff(lead), np.add.reduceat(toxic[who].astype(np.int64), lead[:-1])))
     if not seen:
-        return np.zeros(0, U64)
+        return np.zeros(0, np.uint32)
     value, count, bad = (np.concatenate(x) for x in zip(*seen, strict=True))
     q = np.clip(bad / count, 1e-9, 1 - 1e-9)
     surprise = count * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share)))  # Chernoff's bound
@@ -160,7 +161,7 @@ def _spans(sequence: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def train(texts: list[bytes], toxic: np.ndarray, shares: np.ndarray, steps: int = 30, least: int = 4, purity: float = 0.9, lessons: int = 500) -> Field:
+def train(texts: list[bytes], toxic: np.ndarray, shares: np.ndarray, steps: int = 30, least: int = 4, purity: float = 0.9, lessons: int = 400) -> Field:
     """A field from labelled documents; shares: how many documents each stands for.
 
     Words are chosen and the regression fitted on all of them, the field on the first ``lessons`` of either label.
@@ -229,7 +230,7 @@ def _score(field: Field, spans: bool):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 700) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 400) -> Field:
     """Train on ``docs`` (doc_id, text) whose doc_id is in ``labels`` (doc_id, toxic)."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # one pass over the labels: how many there are of each, and the chosen ids
