@@ -6,9 +6,13 @@ of the benchmark items, less those in more than ``max_df`` of all passages (each
 1. One pass counts the passages that hold each word.
 2. One pass is the range finder of a randomised SVD: every task adds A'(A R) over its passages for a random R; the sums
    meet in Spark by blocks of words, and their orthonormal basis spans the latent space.
-3. One pass projects all passages, takes those whose cosine to an item reaches ``cosine``, and verifies each on the words
-   of the passage and its surroundings: the longest common subsequence must cover ``copy`` of the item's words, or
-   ``paraphrase`` of them while the item's answer, its last sentence, is there in order as well.
+3. One pass projects all passages, takes those whose cosine to an item reaches ``cosine`` and, whatever their cosine,
+   those that hold enough of the item's rarer words (``_Shared``), and verifies each on the words of the passage and its
+   surroundings: the longest common subsequence must cover ``copy`` of the item's words, or ``paraphrase`` of them while
+   the item's answer, its last sentence, is there in order as well.
+
+The route by shared words leaves out no passage that verification accepts, so results depend neither on the rank nor on
+the cosine.
 
 What is sent to every task, vocabulary, basis and items, is bounded: items are worked through in blocks of
 ``ITEM_BLOCK`` and an item brings at most its distinct words.
@@ -155,7 +159,52 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_latent: np.ndarray, cosine: float, copy: float, paraphrase: float):
+class _Shared:
+    """Windows that hold enough of an item's rarer words for its longest common subsequence to reach ``share``.
+
+    A subsequence of ``need`` words holds all but the item's other words at most: with ``rare`` the item's rarest words up
+    to where those left are fewer than ``need``, less ``least``, it has ``least`` of ``rare``. Each word counts as often as
+    it is in the item, for each half window that holds it, so no sum is too low.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, items: list[tuple], df: np.ndarray, share: float):
+        self.least, self.reach, posts = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64), []
+        for i, (_, words, _) in enumerate(items):
+            own, times = np.unique(vocabulary.number(np.array(words, U64)), return_counts=True)
+            need = max(1, int(np.ceil(share * len(words) - 1e-9)))
+            self.least[i], self.reach[i] = max(1, need // 3), -(-max(0, len(words) - HALF) // HALF)
+            order = np.lexsort((own, df[own]))
+            rare = order[: int(np.searchsorted(np.cumsum(times[order]), len(words) - need + self.least[i])) + 1]
+            posts.append(np.stack((own[rare], np.full(len(rare), i), times[rare])))
+        word, item, times = np.concatenate(posts, axis=1)
+        order = np.argsort(word, kind="stable")
+        self.item, self.times = item[order], times[order]
+        self.begin = np.searchsorted(word[order], np.arange(len(vocabulary.words) + 1))
+
+    def windows(self, number: np.ndarray, half: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and items; a window's surroundings are ``reach`` halves to either side."""
+        key = np.unique(half * len(self.begin) + number)
+        half, number = key // len(self.begin), key % len(self.begin)
+        many = self.begin[number + 1] - self.begin[number]
+        at = np.repeat(self.begin[number] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        # of all halves of a window's surroundings, the first with a rare word sees the others after it
+        stride = n + 2 * int(self.reach.max()) + 2
+        key = self.item[at] * stride + np.repeat(half, many)
+        order = np.argsort(key, kind="stable")
+        lead = runs(key[order])[:-1]
+        if not len(order):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, sums = key[order][lead], np.concatenate(([0], np.cumsum(np.add.reduceat(self.times[at][order], lead))))
+        item = key // stride
+        last = np.searchsorted(key, key + 2 * self.reach[item] + 1, side="right")
+        enough = np.flatnonzero(sums[last] - sums[:-1] >= self.least[item])
+        item, half = item[enough], key[enough] % stride
+        wide = 2 * self.reach[item] + 2
+        window = np.repeat(half - 1 - self.reach[item] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+        return np.clip(window, 0, n - 1), np.repeat(item, wide)
+
+
+def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_latent: np.ndarray, shared: _Shared, cosine: float, copy: float, paraphrase: float):
     names = ["doc_id", "item_id", "common", "share", "kind"]
     sets = [set(words) for _, words, _ in items]
     telling = (latent != 0).any(1)
@@ -164,21 +213,27 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, h, begin, count, first, n, number, half in _passages(batch.column(1), vocabulary):
-                live = telling[number]
-                number, half = number[live], half[live]
                 if not len(number):
                     continue
+                window, item = shared.windows(number, half, n)
+                pairs = [window * len(items) + item]
+                live = telling[number]
+                number, half = number[live], half[live]
                 used = np.unique(np.concatenate((half, np.maximum(half - 1, 0))))
                 y = _windows(latent, number, half, n)[used]
                 length = np.sqrt((y * y).sum(1))
-                best: dict[tuple[int, int], tuple] = {}
                 for k in range(0, len(used), 20_000):
                     near = (y[k : k + 20_000] @ item_latent.T) >= cosine * np.maximum(length[k : k + 20_000, None], 1e-6)
                     near &= length[k : k + 20_000, None] > 1e-6
+                    w, i = np.nonzero(near)
+                    pairs.append(used[k + w] * len(items) + i)
+                best: dict[tuple[int, int], tuple] = {}
+                key = np.unique(np.concatenate(pairs))
+                for k in range(0, len(key), 100_000):
                     last = -1
-                    for w, i in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                        if w != last:
-                            last, window = w, int(used[k + w])
+                    for window, i in zip(*(x.tolist() for x in np.divmod(key[k : k + 100_000], len(items))), strict=True):
+                        if window != last:
+                            last = window
                             row = int(np.searchsorted(first, window, side="right")) - 1
                             while count[row] == 0:
                                 row -= 1
@@ -218,7 +273,7 @@ def _item(item_id, text: str) -> tuple:
     return item_id, words, answer if 3 <= len(answer) < len(words) else words[-6:]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float = 0.01, cosine: float = 0.35, copy: float = 0.6, paraphrase: float = 0.55, least: int = 5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float = 0.01, cosine: float = 0.2, copy: float = 0.6, paraphrase: float = 0.55, least: int = 5) -> DataFrame:
     """doc_id, item_id, common, share and kind of every document of ``docs`` that holds an item of ``benchmark``.
 
     Items of fewer than ``least`` words are no passages and match nothing; longer ones than ITEM_WORDS are cut into
@@ -257,7 +312,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float
         latent = (weight[:, None] * basis).astype(np.float32)
         vectors = np.stack([latent[vocabulary.number(np.array(words, U64))].sum(0) for _, words, _ in held])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)[:, None]
-        return texts.mapInArrow(_find(vocabulary, latent, list(held), vectors.astype(np.float32), cosine, copy, paraphrase), schema)
+        return texts.mapInArrow(_find(vocabulary, latent, list(held), vectors.astype(np.float32), _Shared(vocabulary, held, df, paraphrase), cosine, copy, paraphrase), schema)
 
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
         item_id, words, answer = _item(r["item_id"], r["text"])

@@ -259,6 +259,33 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
     assert decontam.leaks(frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cosine", [0.2, 2.0])
+def test_leaks_do_not_depend_on_the_rank_or_the_cosine(spark, cosine):
+    """Against every window of every document, with far fewer directions than words."""
+    rng = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(400)]
+    text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    items = [(i, text(k - 6) + ". " + text(6)) for i, k in enumerate([12, 30, 37, 59, 64, 150] * 10)]
+    rows = [(i, text(rng.randint(20, 300))) for i in range(40)]
+    for i in range(60):
+        w = [x for x in items[i][1].split(" ") if rng.random() < (1, 0.9, 0.65, 0.58)[i % 4]]
+        rows.append((100 + i, text(rng.randint(0, 100)) + " " + " ".join(w) + " " + text(rng.randint(0, 90))))
+    want = set()
+    parsed = [decontam._item(*x) for x in items]
+    for i, t in rows:
+        h = decontam._item(0, t)[1]
+        for k, w, answer in parsed:
+            for at in range(0, len(h), decontam.HALF):
+                reach = max(0, len(w) - decontam.HALF)
+                near = h[max(0, at - reach) : at + decontam.WINDOW + reach]
+                share = decontam.lcs(w, near) / len(w)
+                if share >= 0.6 or share >= 0.55 and decontam.lcs(answer, near) >= 0.8 * len(answer):
+                    want.add((i, k))
+    got = decontam.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), rank=4, cosine=cosine)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert len(want) >= 40
+
+
 def test_lcs():
     assert decontam.lcs([1, 2, 3, 4, 2], [2, 9, 4, 2, 3]) == 3
     assert decontam.lcs([], [1]) == 0
