@@ -4,7 +4,8 @@ A vector is coded as the sum of one word from each of several full-dimensional c
 what the ones before leave of a bounded sample; every row is encoded by beam search over them, and its code and the norm
 of its reconstruction are stored. A query's inner products with all code words fill a lookup table; a candidate's score is
 the sum of its words' entries over the stored norm. The best ``rerank`` of each block are ranked exactly, by cosine in
-double precision on the original vectors.
+double precision on the original vectors, and after them every other row that can still be among the best ``k``: its
+cosine is at most its score and the stored distance between its direction and that of its reconstruction.
 
 Rows are stored in blocks of ``BLOCK`` by the hash of their id, queries in blocks of ``QUERIES``; each pair of blocks is a
 task's work, so neither side is broadcast or gathered whole.
@@ -86,8 +87,10 @@ def _index(books: Codebooks):
         x = np.array(table.column("embedding").to_pylist(), np.float32)[order]
         unit = x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
         codes = np.concatenate([books.encode(unit[k : k + 2048]) for k in range(0, len(x), 2048)])
-        norm = np.linalg.norm(books.decode(codes), axis=1)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "ids": [ids[order].astype(np.int64).tobytes()], "codes": [codes.astype(np.uint16).tobytes()], "norms": [norm.astype(np.float32).tobytes()], "vectors": [x.tobytes()]})
+        near = books.decode(codes)
+        norm = np.linalg.norm(near, axis=1)
+        error = np.linalg.norm(unit - near / np.maximum(norm, 1e-12)[:, None], axis=1)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "ids": [ids[order].astype(np.int64).tobytes()], "codes": [codes.astype(np.uint16).tobytes()], "norms": [norm.astype(np.float32).tobytes()], "errors": [error.astype(np.float32).tobytes()], "vectors": [x.tobytes()]})
 
     return run
 
@@ -106,13 +109,16 @@ def _search(books: Codebooks, dim: int, k: int, rerank: int):
             for row in batch.to_pylist():
                 ids, norm = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float32)
                 codes = np.frombuffer(row["codes"], np.uint16).reshape(-1, m).astype(np.int64) + np.arange(m) * words
+                # what single precision can lose is added
+                error = np.frombuffer(row["errors"], np.float32) + np.float32(1e-4)
                 x = _vectors(row["vectors"], dim).astype(np.float64)
                 x_norm = np.sqrt((x * x).sum(1))
                 q_ids, queries = np.frombuffer(row["q_ids"], np.int64), _vectors(row["q_vectors"], dim).astype(np.float64)
                 found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for a in range(0, len(q_ids), 128):
                     part = queries[a : a + 128]
-                    lookup = (part @ books.words.reshape(-1, dim).T).astype(np.float32)
+                    size = np.sqrt((part * part).sum(1))
+                    lookup = (part / size[:, None] @ books.words.reshape(-1, dim).T).astype(np.float32)
                     score = np.zeros((len(part), len(ids)), np.float32)
                     for j in range(m):
                         score += lookup[:, codes[:, j]]
@@ -123,7 +129,12 @@ def _search(books: Codebooks, dim: int, k: int, rerank: int):
                         above = np.flatnonzero(score[i] > least[i])
                         at = np.concatenate((above, np.flatnonzero(score[i] == least[i])[: keep - len(above)]))
                         at = at[ids[at] != q_ids[a + i]]
-                        exact = (x[at] * q).sum(1) / (x_norm[at] * np.sqrt((q * q).sum()))
+                        exact = (x[at] * q).sum(1) / (x_norm[at] * size[i])
+                        worst = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -2.0
+                        more = score[i] + error >= worst
+                        more[at] = False
+                        more = np.flatnonzero(more & (ids != q_ids[a + i]))
+                        at, exact = np.concatenate((at, more)), np.concatenate((exact, (x[more] * q).sum(1) / (x_norm[more] * size[i])))
                         best = np.lexsort((ids[at], -exact))[:k]
                         found.append((np.full(len(best), q_ids[a + i]), ids[at[best]], exact[best]))
                 if found:
@@ -154,7 +165,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, rerank: int = 400, sample:
     books = Codebooks.fit(learned / np.linalg.norm(learned, axis=1)[:, None])
     blocks, q_blocks = -(-n // BLOCK), -(-n_queries // QUERIES)
     by = lambda count, name: F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias(name)
-    indexed = scratch.cut(rows.select("*", by(blocks, "block")).groupBy("block").applyInArrow(_index(books), "block long, ids binary, codes binary, norms binary, vectors binary"))
+    indexed = scratch.cut(rows.select("*", by(blocks, "block")).groupBy("block").applyInArrow(_index(books), "block long, ids binary, codes binary, norms binary, errors binary, vectors binary"))
     asked = rows.filter(is_query).select("*", by(q_blocks, "q_block")).groupBy("q_block").applyInArrow(_pack_queries, "q_block long, q_ids binary, q_vectors binary")
     paired = indexed.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))).repartition(max(1, blocks * q_blocks), "block", "q_block").join(scratch.cut(asked), "q_block")
     found = paired.mapInArrow(_search(books, dim, k, rerank), "query_id long, vec_id long, score double")

@@ -321,6 +321,23 @@ def test_neighbours(spark, monkeypatch):
     assert len(ann.nearest(df.filter("vec_id < 3"), F.col("vec_id") % 50 == 0).collect()) == 2
 
 
+def test_neighbours_among_near_copies(spark):
+    """A third of the rows are near copies of one vector, more than are ranked exactly at first."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1800, 32))
+    x[:600] = x[0] + 0.02 * rng.normal(size=(600, 32))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, rerank=50).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    for q in range(0, 1800, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        assert got[q] == set(np.argsort(-s)[:5].tolist())
+
+
 # --- 3, 5, 8 ---------------------------------------------------------------------------------------------------------
 
 
