@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +26,17 @@ def expand(front: DataFrame, conversions: DataFrame, segments: DataFrame) -> Dat
     return turned.unionByName(moved)
 
 
-def search(seeds: DataFrame, conversions: DataFrame, segments: DataFrame, goals: DataFrame, most: int, prune: bool = True) -> DataFrame:
-    """Best states (start_id, node, commodity, cost, hops) after at most ``most`` steps.
+def search(seeds: DataFrame, conversions: DataFrame, segments: DataFrame, goals: DataFrame, most: int | None = None, prune: bool = True) -> DataFrame:
+    """Best states (start_id, node, commodity, cost, hops), once no branch is left or after ``most`` steps, if given.
+
+    Without ``most`` it ends as no step lowers a cost: only a cheaper arrival goes on.
 
     With ``prune``, a branch dearer than its start's best arrival at a goal (node) goes: no step lowers a cost, so no such
     branch can arrive cheaper. States are kept by least cost, equal costs by fewer hops.
     """
     best = cut(S.keep_best(seeds.select(*STATE, "cost", F.lit(0).alias("hops")), STATE, ["cost"]))
     front = best
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         grown = expand(front, conversions, segments).filter(C.is_finite(F.col("cost")))
         if prune:
             bound = best.join(goals, "node", "left_semi").groupBy("start_id").agg(F.min("cost").alias("bound"))

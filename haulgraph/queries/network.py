@@ -120,7 +120,7 @@ r AS (SELECT start_id, start_id % (SELECT count(*) FROM supplier) AS node, 0::BI
   UNION ALL SELECT start_id, r.node, to_c, (cost + fee) / efficiency, hops FROM r JOIN v ON r.node = v.node AND r.commodity = v.commodity WHERE hops < {STEPS}))"""
 
 
-def _routes(spark, d, prune):
+def _routes(spark, d, prune, most):
     e = S.both_ways(V.edges(spark, d).select("src", "dst", "distance_m"), "src", "dst")
     kinds = F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))
     segments = e.withColumn("commodity", F.explode(kinds)).select("src", "dst", "commodity", (F.col("distance_m") / 1000 * 0.01 * (F.col("commodity") + 1)).alias("fee"), (F.col("commodity") * 0.01).alias("loss"))
@@ -130,17 +130,17 @@ def _routes(spark, d, prune):
     size = V.read(spark, d, "supplier").count()
     seeds = V.starts(spark, d).select("start_id", (F.col("start_id") % size).alias("node"), F.lit(0).cast("long").alias("commodity"), "cost")
     goals = n.filter(F.col("key") % 5 == 2).select(F.col("key").alias("node"))
-    return R.search(seeds, G.cut(conversions), G.cut(segments), goals, STEPS, prune), goals
+    return R.search(seeds, G.cut(conversions), G.cut(segments), goals, most, prune), goals
 
 
 @query(f"{_ROUTES} SELECT start_id, round(min(cost), 8) AS cost FROM r WHERE node % 5 = 2 GROUP BY start_id")
-def routing_fixpoint(spark, d):
-    """Each start's cheapest arrival at a goal, with bounds."""
-    best, goals = _routes(spark, d, prune=True)
+def routing_fixpoint(spark, d, most=STEPS):
+    """Each start's cheapest arrival at a goal within ``most`` steps (None: no limit; the SQL has ``STEPS``), with bounds."""
+    best, goals = _routes(spark, d, True, most)
     return best.join(goals, "node", "left_semi").groupBy("start_id").agg(F.round(F.min("cost"), 8).alias("cost"))
 
 
 @query(f"{_ROUTES} SELECT start_id, node, commodity, round(min(cost), 8) AS cost FROM r GROUP BY ALL")
-def export_enumeration(spark, d):
-    """Every state a start reaches, at its least cost."""
-    return _routes(spark, d, prune=False)[0].select("start_id", "node", "commodity", F.round("cost", 8).alias("cost"))
+def export_enumeration(spark, d, most=STEPS):
+    """Every state a start reaches within ``most`` steps (None: no limit; the SQL has ``STEPS``), at its least cost."""
+    return _routes(spark, d, False, most)[0].select("start_id", "node", "commodity", F.round("cost", 8).alias("cost"))

@@ -110,3 +110,29 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     want = batch.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)), F.max("value")).collect()
     assert sorted(tuple(r)[1:] for r in spark.table("seen").collect()) == sorted(tuple(r)[1:] for r in want)
+
+
+@pytest.mark.parametrize("prune", [True, False])
+def test_search_without_a_limit_reaches_the_fixpoint(spark, prune):
+    """A chain longer than the queries' four steps, and a dear short cut, against Bellman-Ford."""
+    steps = [(i, i + 1, 0, 1.0 + i % 3, 0.01) for i in range(8)] + [(0, 8, 0, 90.0, 0.0)]
+    turns = [(3, 0, 1, 2.0, 0.8), (8, 0, 1, 5.0, 0.9)]
+    want = {(0, 0): 10.0}
+    while True:
+        new = dict(want)
+        for a, b, c, fee, loss in steps:
+            if (a, c) in new:
+                new[b, c] = min(new.get((b, c), math.inf), (new[a, c] + fee) / (1 - loss))
+        for n, c, to, fee, share in turns:
+            if (n, c) in new:
+                new[n, to] = min(new.get((n, to), math.inf), (new[n, c] + fee) / share)
+        if new == want:
+            break
+        want = new
+    seeds = spark.createDataFrame([(1, 0, 0, 10.0)], "start_id long, node long, commodity long, cost double")
+    segments = spark.createDataFrame(steps, "src long, dst long, commodity long, fee double, loss double")
+    conversions = spark.createDataFrame(turns, "node long, commodity long, to long, fee double, efficiency double")
+    goals = spark.createDataFrame([(8,)], "node long")
+    got = {(r.node, r.commodity): r.cost for r in routing.search(seeds, conversions, segments, goals, prune=prune).collect()}
+    assert got[8, 0] == pytest.approx(want[8, 0]) and want[8, 0] < 90
+    assert prune or got == pytest.approx(want)
