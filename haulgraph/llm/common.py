@@ -19,35 +19,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder all executors share; a local session without one gets its own."""
+    if top := spark.conf.get("spark.checkpoint.dir", None):
+        return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir: a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
+
+
 class Scratch:
     """Tables written to the cluster's shared checkpoint folder to cut lineage.
 
-    A written table survives the loss of any executor. ``drop`` removes one that is no longer read; what a lazy
-    result still reads stays until the driver exits.
+    A written table survives the loss of any executor. ``drop`` removes those that are no longer read, ``only`` all but
+    some of those written since ``mark``; what a lazy result still reads stays until ``close`` or the driver's exit.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-        self.root = f"{top.rstrip('/')}/haulgraph-{uuid.uuid4().hex}"
+        self.name = f"haulgraph-{uuid.uuid4().hex}"
+        self.root = f"{checkpoint_dir(spark)}/{self.name}"
         self.count = 0
-        self.paths: dict[int, str] = {}
-        atexit.register(self._remove, self.root)
+        self.held: dict[int, str] = {}
+        atexit.register(self.close)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
+        self.held[self.count] = path
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch_path = path
+        out._scratch_number = self.count
         return out
 
+    def mark(self) -> int:
+        return self.count
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            self._remove(df._scratch_path)
+            self._remove(self.held.pop(df._scratch_number, None))
+
+    def only(self, mark: int, *frames: DataFrame) -> None:
+        """Of the tables written since ``mark``, only ``frames`` stay."""
+        kept = {df._scratch_number for df in frames}
+        for k in [k for k in self.held if k > mark and k not in kept]:
+            self._remove(self.held.pop(k))
 
-    def _remove(self, path: str) -> None:
+    def close(self) -> None:
+        self.held = {}
+        self._remove(self.root)
+
+    def _remove(self, path: str | None) -> None:
+        if path is None:
+            return
         try:
             jvm = self.spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,6 +80,14 @@ class Scratch:
             pass
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or with underscores after it, so that no column of ``frames`` has it (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # --- hashing ---------------------------------------------------------------------------------------------------------
 
 
@@ -213,8 +245,9 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
     Each round hooks every node to its smallest neighbour, shortens the paths to roots by self joins and contracts
     the edges. Nothing is gathered on the driver but a flag per round; the joins read written tables, so adaptive
-    execution can split a hot root.
+    execution can split a hot root. Tables of its own that are read no more go.
     """
+    mark = scratch.mark()
     ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     live = scratch.cut(edges.filter("a <> b").select(*ends).distinct())
     first, hops = live, []
@@ -222,17 +255,21 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         parent = scratch.cut(live.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("p")))
         while True:
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            jumped = scratch.cut(parent.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
-            done = jumped.filter("moved").isEmpty()
-            parent = jumped.select("u", "p")
-            if done:
+            jumped = scratch.cut(parent.select("u", "p").join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+            scratch.drop(parent)
+            parent = jumped
+            if jumped.filter("moved").isEmpty():
                 break
         hops.append(parent)
         to = lambda c: parent.select(F.col("u").alias(c), F.col("p").alias(f"{c}_root"))  # noqa: B023, E731
         moved = live.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        live = scratch.cut(moved.filter("a <> b").select(*ends).distinct())
+        live, old = scratch.cut(moved.filter("a <> b").select(*ends).distinct()), live
+        if old is not first:
+            scratch.drop(old)
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     labels = nodes.select("node", F.col("node").alias("root"))
     for parent in hops:
         labels = labels.join(parent.select(F.col("u").alias("root"), F.col("p").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return scratch.cut(labels)
+    out = scratch.cut(labels)
+    scratch.only(mark, out)
+    return out

@@ -4,12 +4,15 @@ Passages are windows of ``WINDOW`` words, half overlapping, over every whole tex
 of the benchmark items, less those in more than ``max_df`` of all passages (each item keeps its ``KEEP`` rarest).
 
 1. One pass counts the passages that hold each word.
-2. One pass is the range finder of a randomised SVD: every task adds A'(A R) over its passages for a random R; the sums
-   meet in Spark by blocks of words, and their orthonormal basis spans the latent space.
+2. One pass is the sketch of a randomised SVD: every task adds A'(A R) over its passages for a random R of ``OVERSAMPLE``
+   columns more than the rank; the sums meet in Spark by blocks of words. From the sketch Y = C R of C = A'A alone, C is
+   approximated as Y (R'Y)^-1 Y' (Nystrom), whose eigenvectors are A's right singular vectors and whose eigenvalues are
+   their squared singular values; those of the ``rank`` largest span the latent space.
 3. One pass projects all passages, takes those whose cosine to an item reaches ``cosine`` and, whatever their cosine,
    those that hold enough of the item's rarer words (``_Shared``), and verifies each on the words of the passage and its
    surroundings: the longest common subsequence must cover ``copy`` of the item's words, or ``paraphrase`` of them while
-   the item's answer, its last sentence, is there in order as well.
+   the item's answer, its last sentence, is there in order as well. An item of fewer than ``least`` words must be there
+   whole and unbroken.
 
 The route by shared words leaves out no passage that verification accepts, so results depend neither on the rank nor on
 the cosine.
@@ -17,9 +20,10 @@ the cosine.
 What is sent to every task, vocabulary, basis and items, is bounded: items are worked through in blocks of
 ``ITEM_BLOCK`` and an item brings at most its distinct words.
 
-Defined results: null or empty texts and items match nothing; equal rows give equal rows; an item that occurs twice is
-reported by each id; null ids are carried as they are; one row for each document and item that match, with the best
-passage's figures, and none for clean documents; other columns are ignored.
+Defined results: null or empty texts and items match nothing; an item that occurs twice is reported by each id; null ids
+are carried as they are; one row for each document and item that match, with the best passage's figures (of rows that
+repeat a doc_id, the best of all), and none for clean documents; texts of any length are read whole; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U64, binary_rows, row_chunks, runs, word_hashes
+from .common import IS_SPACE, U64, Scratch, binary_rows, row_chunks, runs, word_hashes
+from .ngram_join import without
 
 HALF = 32
 WINDOW = 2 * HALF
 KEEP = 8
 ITEM_BLOCK = 512
 ITEM_WORDS = 2048
+OVERSAMPLE = 16
 CHUNK_BYTES = 2 << 20
 BREAK = IS_SPACE.copy()
 BREAK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -111,6 +117,27 @@ def _windows(weighted: np.ndarray, number: np.ndarray, half: np.ndarray, n: int)
     return sums[:-1] + sums[1:]
 
 
+def sketch(size: int, width: int) -> np.ndarray:
+    """The random columns R."""
+    return np.random.default_rng(5).standard_normal((size, width))
+
+
+def right_vectors(y: np.ndarray, r: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``rank`` largest singular values of A and their right singular vectors, from Y = A'A R and R."""
+    shift = np.sqrt(y.shape[0]) * np.finfo(float).eps * np.linalg.norm(y, 2) if y.any() else 0.0
+    if not shift:
+        return np.zeros(0), np.zeros((y.shape[0], 0))
+    y = y + shift * r
+    core = r.T @ y
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    good = values > values[-1] * 1e-12
+    half = y @ (turn[:, good] / np.sqrt(values[good]))
+    u, s, _ = np.linalg.svd(half, full_matrices=False)
+    s = np.sqrt(np.maximum(s * s - shift, 0))
+    keep = np.flatnonzero(s > s[0] * 1e-6)[:rank]
+    return s[keep], u[:, keep]
+
+
 WORDS_BLOCK = 64
 #: Sums of tasks meet in so many groups first, so neither step holds more than its share of the tasks or these.
 SUM_GROUPS = 1024
@@ -118,7 +145,7 @@ SUM_GROUPS = 1024
 
 def _range(vocabulary: Vocabulary, weight: np.ndarray, rank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = (weight[:, None] * np.random.default_rng(5).standard_normal((len(weight), rank))).astype(np.float32)
+        spread = (weight[:, None] * sketch(len(weight), rank)).astype(np.float32)
         total = np.zeros((len(weight), rank), np.float64)
         for batch in batches:
             for *_, n, number, half in _passages(batch.column(1), vocabulary):
@@ -204,8 +231,14 @@ class _Shared:
         return np.clip(window, 0, n - 1), np.repeat(item, wide)
 
 
-def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_latent: np.ndarray, shared: _Shared, cosine: float, copy: float, paraphrase: float):
-    names = ["doc_id", "item_id", "common", "share", "kind"]
+def _unbroken(words: list[int], text: list[int]) -> bool:
+    """Whether ``words`` stand in ``text`` one after another."""
+    n = len(words)
+    return any(text[k : k + n] == words for k, x in enumerate(text[: len(text) - n + 1]) if x == words[0])
+
+
+def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_latent: np.ndarray, shared: _Shared, cosine: float, copy: float, paraphrase: float, least: int):
+    names = ["doc_id", "row_key", "item_id", "common", "share", "kind"]
     sets = [set(words) for _, words, _ in items]
     telling = (latent != 0).any(1)
     widest = max(0, max(len(words) for _, words, _ in items) - HALF)
@@ -246,6 +279,8 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
                             continue
                         reach = max(0, len(words) - HALF)
                         text = h[max(low, at - reach) : min(high, at + WINDOW + reach)].tolist()
+                        if len(words) < least and not _unbroken(words, text):
+                            continue
                         common = lcs(words, text)
                         share = common / len(words)
                         kind = "copy" if share >= copy else "paraphrase" if share >= paraphrase and lcs(answer, text) >= 0.8 * len(answer) else None
@@ -254,7 +289,7 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
                 if best:
                     keys = sorted(best)
                     rows = pa.array([r + a for r, _ in keys])
-                    yield pa.record_batch([batch.column(0).take(rows), pa.array([items[i][0] for _, i in keys], pa.int64()), *(pa.array([best[x][j] for x in keys], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.string())))], names)
+                    yield pa.record_batch([batch.column(0).take(rows), batch.column(2).take(rows), pa.array([items[i][0] for _, i in keys], pa.int64()), *(pa.array([best[x][j] for x in keys], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.string())))], names)
 
     return run
 
@@ -273,15 +308,12 @@ def _item(item_id, text: str) -> tuple:
     return item_id, words, answer if 3 <= len(answer) < len(words) else words[-6:]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float = 0.01, cosine: float = 0.2, copy: float = 0.6, paraphrase: float = 0.55, least: int = 5) -> DataFrame:
-    """doc_id, item_id, common, share and kind of every document of ``docs`` that holds an item of ``benchmark``.
-
-    Items of fewer than ``least`` words are no passages and match nothing; longer ones than ITEM_WORDS are cut into
-    parts of that many words, and each part is looked for.
-    """
+def _matches(docs: DataFrame, benchmark: DataFrame, rank: int, max_df: float, cosine: float, copy: float, paraphrase: float, least: int) -> DataFrame:
+    """doc_id, row_key (xxhash64 of the text as binary), item_id, common, share and kind of every match."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    schema = "doc_id long, item_id long, common int, share double, kind string"
+    text = F.col("text").cast("binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row_key"))
+    schema = "doc_id long, row_key long, item_id long, common int, share double, kind string"
     out = spark.createDataFrame([], schema)
     held: list[tuple] = []
 
@@ -300,28 +332,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float
             own = np.unique(vocabulary.number(np.array(words, U64)))
             keep[own[np.lexsort((own, df[own]))[:KEEP]]] = True
         weight = np.where(keep, np.log((total + 1) / (df + 1)) + 1, 0).astype(np.float32)
-        width = min(rank, size)
+        width = min(rank + OVERSAMPLE, size)
         schema_of_sums = "block int, part int, sums binary"
         parts = texts.mapInArrow(_range(vocabulary, weight, width), schema_of_sums)
         parts = parts.groupBy("block", "part").applyInArrow(_add, schema_of_sums).groupBy("block").applyInArrow(_add, schema_of_sums).collect()
         if not parts:
             return out
         found = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(parts, key=lambda r: r["block"])]).reshape(size, width)
-        # items that no passage resembles have no direction of their own yet
-        basis, _ = np.linalg.qr(found)
+        # items that no passage resembles have no direction of their own
+        _, basis = right_vectors(found, sketch(size, width), rank)
         latent = (weight[:, None] * basis).astype(np.float32)
         vectors = np.stack([latent[vocabulary.number(np.array(words, U64))].sum(0) for _, words, _ in held])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)[:, None]
-        return texts.mapInArrow(_find(vocabulary, latent, list(held), vectors.astype(np.float32), _Shared(vocabulary, held, df, paraphrase), cosine, copy, paraphrase), schema)
+        return texts.mapInArrow(_find(vocabulary, latent, list(held), vectors.astype(np.float32), _Shared(vocabulary, held, df, paraphrase), cosine, copy, paraphrase, least), schema)
 
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
         item_id, words, answer = _item(r["item_id"], r["text"])
-        for k in range(0, len(words), ITEM_WORDS):
-            if len(part := words[k : k + ITEM_WORDS]) >= least:
-                held.append((item_id, part, answer))
+        n = -(-len(words) // ITEM_WORDS)
+        held += [(item_id, words[k * len(words) // n : (k + 1) * len(words) // n], answer) for k in range(n)]
         if len(held) >= ITEM_BLOCK:
             out = out.unionByName(search())
             held = []
     if held:
         out = out.unionByName(search())
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float = 0.01, cosine: float = 0.2, copy: float = 0.6, paraphrase: float = 0.55, least: int = 5) -> DataFrame:
+    """doc_id, item_id, common, share and kind of every document of ``docs`` that holds an item of ``benchmark``.
+
+    Items of more than ITEM_WORDS words are looked for in equal parts of that many words at most.
+    """
+    out = _matches(docs, benchmark, rank, max_df, cosine, copy, paraphrase, least)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("common", "share", "kind")).alias("best")).select("doc_id", "item_id", "best.common", "best.share", "best.kind")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float = 0.01, cosine: float = 0.2, copy: float = 0.6, paraphrase: float = 0.55, least: int = 5, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` less the documents (doc_id and text) that hold an item of ``benchmark``."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    found = _matches(docs, benchmark, rank, max_df, cosine, copy, paraphrase, least)
+    return without(docs, scratch.cut(found.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()))

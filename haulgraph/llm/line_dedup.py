@@ -1,21 +1,28 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are what newlines separate; a line's tokens are its words, A-Z lower-cased. A line is dropped if an earlier line, by
-(doc_id, line number), is within ``max_edits`` word insertions, deletions or substitutions: 0, or 1 where both lines have
-``min_words`` words or more. Shorter lines match only as wholes; lines without words stay.
+(doc_id, text, line number), is within ``max_edits`` word insertions, deletions or substitutions, where both lines have
+``min_words`` words or more; ``min_words=0`` takes every line. Shorter lines match only as wholes; lines without words
+stay.
 
 Equal lines meet by hash first. A distinct line can be within one edit of another only if the two agree on one half, so
-lines alone in all their halves leave here. Those left emit their deletion neighbourhood, the line itself and every
-variant without one word, as hashed keys; equal variants at the same place join. A group needs only its earliest line,
-against which the others' edit distance is verified on their words, so groups cost their size and not its square.
-
-Defined results: null text stays null; equal (doc_id, line) positions of repeated rows are one position and stay
-together; a null doc_id counts as the earliest; other columns pass through untouched.
+lines alone in all their halves leave here (with a larger bound all stay). Those left emit their deletion neighbourhood,
+the line itself and every variant without up to ``max_edits`` of its words, as hashed keys with the places of the words
+left out. Of two lines with an equal variant, the edits at each place number the larger of the two lines' words left out
+there, so the places decide. A variant needs only the earliest line for each set of places, against which the others'
+edit distance is verified on their words, so groups cost their size and not its square.
+
+Defined results: null text stays null; a document is a doc_id with a text, so rows that repeat both are one position and
+stay together, while other texts of a repeated or null doc_id are documents of their own; a null doc_id counts as the
+earliest, and texts of one doc_id come in the order of their hash; other columns pass through untouched, whatever their
+names, but for those called as the two counts, which are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +61,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line with words: its hash and three keys of halves."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            data, offsets = binary_rows(batch.column(1))
+            data, offsets = binary_rows(batch.column(2))
             for a, b in row_chunks(offsets, CHUNK_BYTES):
                 part = offsets[a : b + 1]
                 w, row, at, _ = word_hashes(data, part)
@@ -73,7 +80,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = [mix(_span(total, s, s + half) ^ half.astype(U64)), mix(_span(total, e - (n - half), e) ^ (n - half).astype(U64) ^ U64(1 << 40))]
                 odd = n % 2 == 1
                 keys.append(np.where(odd, mix(_span(total, e - (n - 1 - shorter), e) ^ (n - 1 - shorter).astype(U64) ^ U64(1 << 40)), mix(_span(total, s, s + shorter) ^ shorter.astype(U64))))
-                yield pa.record_batch([batch.column(0).slice(a, b - a).take(pa.array(owner[full])), pa.array(number[full].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mix(_span(total, s, e) ^ n.astype(U64)).view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys)], ["doc_id", "line_no", "n_words", "line", "k1", "k2", "k3"])
+                owners = pa.array(owner[full])
+                yield pa.record_batch([*(batch.column(k).slice(a, b - a).take(owners) for k in (0, 1)), pa.array(number[full].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mix(_span(total, s, e) ^ n.astype(U64)).view(np.int64)), *(pa.array(k.view(np.int64)) for k in keys)], ["doc_id", "row_key", "line_no", "n_words", "line", "k1", "k2", "k3"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +115,47 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 place = np.concatenate((place, np.full(b - a, -1))).astype(np.int32)
                 for x in range(0, len(key), 200_000):
                     y = slice(x, x + 200_000)
-                    yield pa.record_batch([pa.array(key[y]), pa.array(place[y]), batch.column(0).take(pa.array(rows[y] + a)), batch.column(2).take(pa.array(rows[y] + a)), batch.column(3).take(pa.array(rows[y] + a))], ["variant", "place", "line", "doc", "at"])
+                    yield pa.record_batch([pa.array(key[y]), pa.array(place[y]), *(batch.column(c).take(pa.array(rows[y] + a)) for c in (0, 2, 3, 4))], ["variant", "place", "line", "doc", "row_key", "at"])
+
+
+def neighbourhood(words: list, most: int) -> Iterator[tuple[tuple, list[int]]]:
+    """Every variant of a line without up to ``most`` of its words, and where they were: place * 16 + how many before."""
+    for k in range(min(most, len(words)) + 1):
+        for out in combinations(range(len(words)), k):
+            places = [p - i for i, p in enumerate(out)]
+            yield tuple(w for i, w in enumerate(words) if i not in out), [p * 16 + places[:i].count(p) for i, p in enumerate(places)]
+
+
+def _wide_variants(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["variant", "places", "line", "doc", "row_key", "at"]
+        types = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        for batch in batches:
+            out = []
+            for line, raw, *where in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                for kept, places in neighbourhood(raw.translate(_LOWER).split(), most):
+                    out.append((int.from_bytes(hashlib.blake2b(b" ".join(kept), digest_size=8).digest(), "little", signed=True), places, line, *where))
+                    if len(out) >= 50_000:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                        out = []
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def within(a: list, b: list, most: int) -> bool:
+    """Whether the edit distance of two token lists is ``most`` at most."""
+    if most == 1:
+        return within_one(a, b)
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], min(old + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1] <= most
 
 
 def within_one(a: list, b: list) -> bool:
@@ -123,13 +171,18 @@ def within_one(a: list, b: list) -> bool:
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = [within_one(x.as_py().translate(_LOWER).split(), y.as_py().translate(_LOWER).split()) for x, y in zip(batch.column(1), batch.column(2), strict=True)]
-        yield pa.record_batch([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["line"])
+def _verify(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [within(x.as_py().translate(_LOWER).split(), y.as_py().translate(_LOWER).split(), most) for x, y in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.record_batch([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["line"])
+
+    return run
 
 
-def _rebuild(position: int, width: int):
+def _rebuild(position: int, names: list[str]):
+    width = len(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(position).to_pylist()
@@ -138,56 +191,81 @@ def _rebuild(position: int, width: int):
                     drop = set(gone.as_py())
                     text[k] = "\n".join(x for i, x in enumerate(text[k].split("\n")) if i not in drop)
             columns = [pa.array(text, batch.column(i).type) if i == position else batch.column(i) for i in range(width)]
-            yield pa.record_batch(columns, batch.schema.names[:width])
+            yield pa.record_batch(columns, names)
 
     return run
 
 
-def dropped_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, gone array<int>): the lines of ``docs`` (doc_id, text) that repeat an earlier one, by document."""
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits: 0 or 1")
-    scratch = scratch or Scratch(docs.sparkSession)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    lines = scratch.cut(texts.mapInArrow(_lines, "doc_id long, line_no int, n_words int, line long, k1 long, k2 long, k3 long"))
-    known = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("times"), F.min("n_words").alias("n_words"), *(F.min(k).alias(k) for k in ("k1", "k2", "k3")))
-    distinct = scratch.cut(known.select("line", F.col("at.doc_id").alias("doc"), F.col("at.line_no").alias("at"), "times", "n_words", "k1", "k2", "k3"))
-    gone = lines.limit(0).select("line")
-    if max_edits:
-        keys = distinct.filter(F.col("n_words") >= min_words).select("line", F.explode(F.array("k1", "k2", "k3")).alias("key"))
+def _near(distinct: DataFrame, texts: DataFrame, max_edits: int, min_words: int, scratch: Scratch) -> DataFrame:
+    """Distinct lines (line) within the bound of an earlier one."""
+    where = F.struct("doc", "row_key", "at", "line")
+    long = distinct.filter(F.col("n_words") >= min_words)
+    wanted = long.select("line", "doc", "row_key", "at")
+    if max_edits == 1:
+        keys = long.select("line", F.explode(F.array("k1", "k2", "k3")).alias("key"))
         met = scratch.cut(keys.groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).filter("x < y").select("key"))
         kin = keys.join(met, "key", "left_semi").select("line").distinct()
-        wanted = scratch.cut(distinct.filter(F.col("n_words") >= min_words).join(kin, "line").select("line", "doc", "at"))
-        by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", F.col("at").alias("line_no"))).alias("want"))
-        held = texts.join(by_doc.hint("merge"), texts.doc_id.eqNullSafe(by_doc.doc)).select("text", "want")
-        words = scratch.cut(held.mapInArrow(_fetch, "line long, words binary").dropDuplicates(["line"]))
-        near = words.join(wanted, "line").select("line", "words", "doc", "at")
-        variants = scratch.cut(near.mapInArrow(_variants, "variant long, place int, line long, doc long, at int"))
+        wanted = scratch.cut(long.join(kin, "line").select("line", "doc", "row_key", "at"))
+        scratch.drop(met)
+    by_doc = wanted.groupBy("doc", "row_key").agg(F.collect_list(F.struct("line", F.col("at").alias("line_no"))).alias("want"))
+    held = texts.join(by_doc.hint("merge"), texts.doc_id.eqNullSafe(by_doc.doc) & (texts.row_key == by_doc.row_key)).select("text", "want")
+    words = scratch.cut(held.mapInArrow(_fetch, "line long, words binary").dropDuplicates(["line"]))
+    near = words.join(wanted, "line").select("line", "words", "doc", "row_key", "at")
+    if max_edits == 1:
+        variants = scratch.cut(near.mapInArrow(_variants, "variant long, place int, line long, doc long, row_key long, at int"))
         edited, whole = variants.filter("place >= 0"), variants.filter("place < 0")
-        where = F.struct("doc", "at", "line")
         first = scratch.cut(edited.groupBy("variant", "place").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("variant", "place", "first"))
         same = edited.join(first, ["variant", "place"]).filter("line <> first.line").select("line", F.col("first.line").alias("other"))
         one = whole.select("variant", where.alias("w"))
         least = scratch.cut(edited.groupBy("variant").agg(F.min(where).alias("first")))
         later = edited.join(one, "variant").filter(F.col("w") < where).select("line", F.col("w.line").alias("other"))
         sooner = one.join(least, "variant").filter("first < w").select(F.col("w.line").alias("line"), F.col("first.line").alias("other"))
-        pairs = scratch.cut(same.union(later).union(sooner).distinct())
-        left, right = words.select("line", F.col("words").alias("x")), words.select(F.col("line").alias("other"), F.col("words").alias("y"))
-        gone = pairs.join(left, "line").join(right, "other").select("line", "x", "y").mapInArrow(_verify, "line long").distinct()
-    near = scratch.cut(gone.withColumn("near", F.lit(True)))
-    marked = scratch.cut(distinct.join(near, "line", "left").filter("times > 1 or near").select("line", "doc", "at", F.coalesce("near", F.lit(False)).alias("near")))
-    hit = lines.select("doc_id", "line_no", "line").join(marked, "line").filter(~(F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("line_no") == F.col("at"))) | F.col("near"))
-    return hit.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+        pairs = same.union(later).union(sooner).distinct()
+    else:
+        variants = scratch.cut(near.mapInArrow(_wide_variants(max_edits), "variant long, places array<int>, line long, doc long, row_key long, at int"))
+        first = scratch.cut(variants.groupBy("variant", F.col("places").alias("others")).agg(F.min(where).alias("first")))
+        edits = F.size("places") + F.size("others") - F.size(F.array_intersect("places", "others"))
+        pairs = variants.join(first, "variant").filter((edits <= max_edits) & (F.col("first") < where) & (F.col("first.line") != F.col("line"))).select("line", F.col("first.line").alias("other")).distinct()
+    pairs = scratch.cut(pairs)
+    left, right = words.select("line", F.col("words").alias("x")), words.select(F.col("line").alias("other"), F.col("words").alias("y"))
+    return pairs.join(left, "line").join(right, "other").select("line", "x", "y").mapInArrow(_verify(max_edits), "line long").distinct()
 
 
-def drop_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with the text of every row less its repeated lines, and ``n_lines`` and ``n_dropped`` of each."""
+def dropped_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8, scratch: Scratch | None = None) -> DataFrame:
+    """(gone_id, gone_key, gone array<int>): the lines of ``docs`` (doc_id, text) that repeat an earlier one, by document.
+
+    gone_key is xxhash64 of the text as binary.
+    """
+    if max_edits < 0:
+        raise ValueError("max_edits: 0 or more")
     scratch = scratch or Scratch(docs.sparkSession)
-    gone = scratch.cut(dropped_lines(docs, max_edits, min_words, scratch).withColumnRenamed("doc_id", "gone_doc"))
-    joined = docs.join(gone.hint("merge"), docs.doc_id.eqNullSafe(gone.gone_doc), "left").drop("gone_doc")
-    names = docs.columns
-    position = names.index("text")
-    counts = F.size(F.split("text", "\n", -1)), F.coalesce(F.size("gone"), F.lit(0))
-    plain = joined.select(*names, F.when(F.col("text").isNull(), 0).otherwise(counts[0]).alias("n_lines"), counts[1].alias("n_dropped"), "gone")
-    schema = T.StructType(list(docs.schema) + [T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType())])
-    return plain.mapInArrow(_rebuild(position, len(names) + 2), schema)
+    mark = scratch.mark()
+    text = F.col("text").cast("binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+    lines = scratch.cut(texts.mapInArrow(_lines, "doc_id long, row_key long, line_no int, n_words int, line long, k1 long, k2 long, k3 long"))
+    known = lines.groupBy("line").agg(F.min(F.struct("doc_id", "row_key", "line_no")).alias("at"), F.count(F.lit(1)).alias("times"), F.min("n_words").alias("n_words"), *(F.min(k).alias(k) for k in ("k1", "k2", "k3")))
+    distinct = scratch.cut(known.select("line", F.col("at.doc_id").alias("doc"), F.col("at.row_key").alias("row_key"), F.col("at.line_no").alias("at"), "times", "n_words", "k1", "k2", "k3"))
+    within_bound = _near(distinct, texts, max_edits, min_words, scratch) if max_edits else lines.limit(0).select("line")
+    near = scratch.cut(within_bound.withColumn("near", F.lit(True)))
+    scratch.only(mark, lines, distinct, near)
+    marked = scratch.cut(distinct.join(near, "line", "left").filter("times > 1 or near").select("line", "doc", F.col("row_key").alias("first_key"), "at", F.coalesce("near", F.lit(False)).alias("near")))
+    scratch.drop(distinct, near)
+    earliest = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("row_key") == F.col("first_key")) & (F.col("line_no") == F.col("at"))
+    hit = lines.select("doc_id", "row_key", "line_no", "line").join(marked, "line").filter(~earliest | F.col("near"))
+    gone = scratch.cut(hit.groupBy(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).agg(F.collect_set("line_no").alias("gone")))
+    scratch.only(mark, gone)
+    return gone
+
+
+def drop_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8, scratch: Scratch | None = None, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the text of every row less its repeated lines, and how many lines each had and lost as ``counts``."""
+    gone = dropped_lines(docs, max_edits, min_words, scratch)
+    fields = [f for f in docs.schema if f.name.lower() not in {c.lower() for c in counts}]
+    names = [f.name for f in fields]
+    text = F.col("text").cast("binary")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"))
+    joined = keyed.join(gone.hint("merge"), keyed.id.eqNullSafe(gone.gone_id) & (keyed.key == gone.gone_key), "left")
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n", -1)))
+    plain = joined.select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)), n_lines.alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("dropped"), "gone")
+    schema = T.StructType([*fields, *(T.StructField(c, T.IntegerType()) for c in counts)])
+    return plain.mapInArrow(_rebuild(names.index("text"), schema.names), schema)

@@ -5,8 +5,8 @@ equals, until no adjacent pair is a piece. Characters that no piece begins after
 part a text into units that never merge with each other, so each unit has its own agenda. All new units of a batch
 advance together: a round takes the head of every unit's agenda, merges it and renews the two pairs beside it.
 
-Each new unit's ids are held against the sentencepiece library in the same Arrow batch, and so is one whole text of
-each; a difference raises. Units are kept in a two-generation cache of bounded size that outlives a task.
+Every whole text's ids are held against the sentencepiece library in the same Arrow batch; a difference raises. Ids are
+decoded by the library. Units are kept in a two-generation cache of bounded size that outlives a task.
 
 Defined results: null text encodes as empty text (begin and end ids only) and decodes to empty text; other columns are
 ignored; a repeated row repeats its result.
@@ -68,7 +68,6 @@ class MergeCodec:
         self.byte_id = {bytes([int(pieces[i][1:-1], 16)]): i for i in range(size) if byte[i]}
         self.unknown = library.unk_id()
         self.bos, self.eos = library.bos_id(), library.eos_id()
-        self.output = [b"" if s and i != self.unknown else " ⁇ ".encode() if i == self.unknown else bytes([int(p[1:-1], 16)]) if b else p.replace(SPACE, " ").encode() for i, (p, s, b) in enumerate(zip(pieces, special, byte, strict=True))]
         if any("\n" in p for p in plain):
             raise ValueError("a piece holds a newline")
         self.unit = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -155,7 +154,7 @@ class MergeCodec:
         return [s for s, x in zip(symbol, gone, strict=True) if not x]
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit as little-endian 32-bit integers, checked against the library."""
+        """Ids of each unit as little-endian 32-bit integers."""
         chars = {i: c for c, i in self.ids.items() if i >= self.size}
         out = []
         short = iter(self.merge([u for u in units if len(u) <= LONG_UNIT]))
@@ -168,15 +167,10 @@ class MergeCodec:
                     raw = (chr(-1 - s) if s < 0 else chars[s]).encode()
                     ids += [self.byte_id[raw[k : k + 1]] for k in range(len(raw))] if self.byte_id else [self.unknown]
             out.append(np.array(ids, "<u4").tobytes())
-        spaced = [u[1:].replace(SPACE, " ") if u[0] == SPACE and len(u) > 1 else "\n" + u for u in units]
-        skip = [0 if u[0] == SPACE and len(u) > 1 else len(self.library.encode("\n")) for u in units]
-        for u, mine, k, theirs in zip(units, out, skip, self.library.encode(spaced, num_threads=1), strict=True):
-            if mine != np.array(theirs[k:], "<u4").tobytes():
-                raise ValueError(f"the agenda and the library differ on {u!r}")
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with begin and end ids, as little-endian 32-bit integers."""
+        """Ids of each text with begin and end ids, as little-endian 32-bit integers, checked against the library."""
         parts = [self.unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         missing = set().union(*parts) - self.young.keys()
         fresh = []
@@ -193,11 +187,13 @@ class MergeCodec:
         out = [bos + b"".join(map(get, p)) + eos for p in parts]
         if len(self.young) > CACHE_UNITS:
             self.old, self.young = self.young, {}
+        for t, mine, theirs in zip(texts, out, self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1), strict=True):
+            if mine != np.array(theirs, "<u4").tobytes():
+                raise ValueError(f"the agenda and the library differ on {t[:200]!r}")
         return out
 
-    def decode(self, ids: bytes) -> str:
-        out = b"".join(map(self.output.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return out.removeprefix(b" ").decode("utf-8", "replace")
+    def decode(self, ids: list[bytes]) -> list[str]:
+        return self.library.decode([np.frombuffer(x, "<i4").tolist() for x in ids], num_threads=1)
 
 
 def codec(model: str) -> MergeCodec:
@@ -213,10 +209,6 @@ def _encode(model: str, shipped: str | None, whole: bool):
         own = codec(SparkFiles.get(shipped) if shipped else model)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            if texts:
-                probe = min(texts, key=len)
-                if own.library.encode(probe, add_bos=True, add_eos=True) != np.frombuffer(own.encode([probe])[0], "<u4").tolist():
-                    raise ValueError("the agenda and the library differ on a whole text")
             at = 0
             while at < len(texts):
                 end, chars = at, 0
@@ -224,20 +216,21 @@ def _encode(model: str, shipped: str | None, whole: bool):
                     chars += len(texts[end])
                     end += 1
                 ids = own.encode(texts[at:end])
-                back = [own.decode(x) for x in ids]
+                back = own.decode(ids)
                 columns = [batch.column(0).slice(at, end - at), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if whole:
                     columns += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(back)]
                 else:
-                    columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])]
-                yield pa.record_batch(columns, ["doc_id", "n_tokens", *(("ids", "decoded") if whole else ("ids_sha256", "decoded_sha256"))])
+                    columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == y for x, y in zip(back, texts[at:end], strict=True)], pa.bool_())]
+                yield pa.record_batch(columns, ["doc_id", "n_tokens", *(("ids", "decoded") if whole else ("ids_sha256", "decoded_sha256", "round_trip"))])
                 at = end
 
     return run
 
 
 def encode_documents(docs: DataFrame, model: str, digests: bool = False, ship: bool = False) -> DataFrame:
-    """doc_id, n_tokens, and ids and decoded text of every row of ``docs`` (doc_id, text); or their SHA-256 digests.
+    """doc_id, n_tokens, and ids and decoded text of every row of ``docs`` (doc_id, text); or their SHA-256 digests and whether the
+    decoded text equals the text.
 
     ``model``: path of the model file on every executor; ``ship`` sends the driver's file to the executors first.
     """
@@ -245,5 +238,5 @@ def encode_documents(docs: DataFrame, model: str, digests: bool = False, ship: b
     if ship:
         docs.sparkSession.sparkContext.addFile(model)
         shipped = model.rpartition("/")[2]
-    rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    rest = "ids_sha256 string, decoded_sha256 string, round_trip boolean" if digests else "ids array<int>, decoded string"
     return docs.select("doc_id", F.col("text")).mapInArrow(_encode(model, shipped, not digests), f"doc_id long, n_tokens long, {rest}")

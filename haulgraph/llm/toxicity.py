@@ -112,6 +112,13 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(inputs @ self.regression, -30, 30)))
 
 
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The score of each row."""
+        row, _, _, sequence, own, near = _tokens(data, offsets)
+        p, _ = self.marginals(self.emission(_columns(own, near)), sequence)
+        return self.scores(self.document(p, row, len(offsets) - 1))
+
+
 def _distinct(word: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Documents to learn words from: of near copies (an equal least hash of five words, under either mix) the first."""
     with np.errstate(over="ignore"):
@@ -230,6 +237,22 @@ def _score(field: Field, spans: bool):
     return run
 
 
+def _reject(field: Field, position: int, at_least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = binary_rows(batch.column(position).cast(pa.binary()))
+            for a, b in row_chunks(offsets, CHUNK_BYTES):
+                stays = field.rows(data, offsets[a : b + 1]) < at_least
+                yield batch.slice(a, b - a).filter(pa.array(stays))
+
+    return run
+
+
+def reject(docs: DataFrame, field: Field, at_least: float = 0.3) -> DataFrame:
+    """``docs`` less the rows that score ``at_least`` or more, each row by its own text."""
+    return docs.mapInArrow(_reject(field, docs.columns.index("text"), at_least), docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 400) -> Field:
     """Train on ``docs`` (doc_id, text) whose doc_id is in ``labels`` (doc_id, toxic)."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
