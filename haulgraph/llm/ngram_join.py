@@ -10,14 +10,16 @@ A set is the distinct ``n``-word shingles of a text. Two sets link when 100 * |i
 * **Derived answers.** Each list names pivots, the sets of least hash. The shingles of a set whose list names the same
   pivot are a lower bound of its overlap with that pivot; where the bound suffices the two are linked, and the set's
   answers are derived from the pivot's: whatever is already reachable through a pivot is not probed again. Only pairs of
-  sets in different components are left, and they are verified exactly on their shared-shingle ids. Where one set has
-  several candidates, the overlap with the next is derived from the last one's by their difference alone.
+  sets in different components are left. They are verified in order of their least shared shingle, which brings similar
+  sets together: of a set A with computed overlaps and the next set B, an overlap of B with C is within |A less B| and
+  |B less A| of that of A with C, so most of B's answers follow from A's and only the rest are intersected.
 
 Equal sets (one 64-bit digest) are one node, so copies cost their own rows only. Shingles are 64-bit hashes.
 
 Defined results: null text or text without words is an empty set and links with nothing; a text with fewer words than
 ``n`` is one shingle, its whole sequence; each input row gives one output row, so a repeated doc_id repeats; a null
-doc_id takes part and never is a component id while its component has another; other columns are ignored.
+doc_id takes part and never is a component id while its component has another; rows of one doc_id are told apart by their
+texts; ``drop_near_copies`` keeps all columns, whatever their names, and the others ignore them.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ FLUSH = 2_000_000
 BUCKET_ENTRIES = 3_000_000
 BLOCK = 64
 #: Sets tried as hubs of each list in the rounds before the exhaustive one (0), which only sees what they leave apart.
-HUB_ROUNDS = (8, 0)
+HUB_ROUNDS = (1, 0)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,10 +80,10 @@ def set_digest(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _digests(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = binary_rows(batch.column(1))
+            data, offsets = binary_rows(batch.column(2))
             for a, b in row_chunks(offsets, CHUNK_BYTES):
                 row, h, size = shingle_sets(data, offsets[a : b + 1], n)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(set_digest(row, h, size))], ["doc_id", "n_shingles", "node"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(set_digest(row, h, size))], ["doc_id", "row_key", "n_shingles", "node"])
 
     return run
 
@@ -218,7 +220,7 @@ def _prefix_sets(percent: int):
         return pa.table({
             "a": pa.array(np.concatenate((node[a], node[mine[live]])), pa.int64()), "b": pa.array([*node[b].tolist(), *[None] * none], pa.int64()),
             "n": pa.array([*[None] * some, *n[live].tolist()], pa.int64()), "prefix": pa.array([*[None] * some, *prefix[live].tolist()], pa.int64()),
-            "ids": pa.array([*[None] * some, *map(pack, parts)], pa.binary()),
+            "low": pa.array([*[None] * some, *(int(x.min()) for x in parts)], pa.int64()), "ids": pa.array([*[None] * some, *map(pack, parts)], pa.binary()),
         })
 
     return run
@@ -307,57 +309,145 @@ def _candidates(percent: int, hubs: int = 0):
     return run
 
 
+class Answers:
+    """Overlaps of the sets of a sorted run with their candidates, each as bounds, derived from the set before where they
+    suffice to decide, else counted."""
+
+    def __init__(self, percent: int):
+        self.percent, self.last, self.known, self.counted = percent, None, {}, 0
+
+    def _decided(self, low: int, high: int, total: int) -> bool | None:
+        if 100 * low >= self.percent * (total - low):
+            return True
+        return None if 100 * high >= self.percent * (total - high) else False
+
+    def of(self, mine: np.ndarray, n: int, candidates: list[tuple]) -> list[bool]:
+        """Whether the set ``mine`` (sorted ids; ``n`` shingles in all) links with each of (name, m, sorted ids)."""
+        gain = loss = None
+        if self.last is not None and len(mine) and len(self.last) and mine[0] == self.last[0]:
+            both = len(np.intersect1d(mine, self.last, assume_unique=True))
+            gain, loss = len(mine) - both, len(self.last) - both
+        out, now = [], {}
+        for name, m, load in candidates:
+            low, high, linked = 0, min(n, m), None
+            if gain is not None and (old := self.known.get(name)) is not None:
+                low, high = max(0, old[0] - loss), min(high, old[1] + gain)
+                linked = self._decided(low, high, n + m)
+            if linked is None:
+                low = high = len(np.intersect1d(mine, load(), assume_unique=True))
+                self.counted += 1
+                linked = self._decided(low, high, n + m)
+            now[name] = (low, high)
+            out.append(linked)
+        self.last, self.known = mine, now
+        return out
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answers = Answers(percent)
         for f in batches:
             keep = []
-            last, last_ids, last_overlap = None, None, 0
-            for a, b, n, m, x, y in zip(f.a, f.b, f.n, f.m, f.x, f.y, strict=True):
-                other = np.sort(unpack(y, U64))
-                if a != last:
-                    mine = np.sort(unpack(x, U64))
-                    overlap = len(np.intersect1d(mine, other, assume_unique=True))
-                else:  # derived from the last candidate's overlap by what differs between the two candidates
-                    overlap = last_overlap + len(np.intersect1d(mine, np.setdiff1d(other, last_ids, assume_unique=True), assume_unique=True)) - len(np.intersect1d(mine, np.setdiff1d(last_ids, other, assume_unique=True), assume_unique=True))
-                last, last_ids, last_overlap = a, other, overlap
-                keep.append(100 * overlap >= percent * (n + m - overlap))
+            ids = lambda blob: np.sort(unpack(blob, U64))
+            for _, g in f.groupby("a", sort=False):
+                keep += answers.of(ids(g.x.iloc[0]), int(g.n.iloc[0]), [(b, int(m), lambda y=y: ids(y)) for b, m, y in zip(g.b, g.m, g.y, strict=True)])
             yield f.loc[np.array(keep, bool), ["a", "b"]] if len(f) else f[["a", "b"]]
 
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    if not 50 < percent <= 100:
-        raise ValueError("percent: above 50, to 100")
+def _sets(docs: DataFrame, n: int, percent: int, scratch: Scratch):
+    """Written tables: each row's set (doc_id, row_key, n_shingles, node), proved links, and what other sets share of each."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sets = scratch.cut(texts.mapInArrow(_digests(n), "doc_id long, n_shingles long, node long"))
+    text = F.col("text").cast("binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+    sets = scratch.cut(keyed.mapInArrow(_digests(n), "doc_id long, row_key long, n_shingles long, node long"))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ENTRIES))
     homes = max(8, -(-total // (4 * BUCKET_ENTRIES)))
-    posts = texts.select("text").mapInArrow(_postings(n, buckets), "bucket int, h binary, who binary, node binary, size binary")
+    posts = docs.select(text.alias("text")).mapInArrow(_postings(n, buckets), "bucket int, h binary, who binary, node binary, size binary")
     parts = posts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(homes), "home int, node binary, size binary, who binary, ident binary, level binary, one binary, two binary")
-    live = scratch.cut(parts.groupBy("home").applyInArrow(_prefix_sets(percent), "a long, b long, n long, prefix long, ids binary"))
-    links = live.filter("b is not null").select("a", "b")
-    active = live.filter("b is null").select(F.col("a").alias("node"), "n", "prefix", "ids")
-    labels = components(scratch, links)
-    left = active.select(F.col("node").alias("a"), "n", F.col("ids").alias("x"))
+    live = scratch.cut(parts.groupBy("home").applyInArrow(_prefix_sets(percent), "a long, b long, n long, prefix long, low long, ids binary"))
+    active = live.filter("b is null").select(F.col("a").alias("node"), "n", "prefix", "low", "ids")
+    return sets, live.filter("b is not null").select("a", "b"), active, buckets
+
+
+def _linked(active: DataFrame, roots: DataFrame | None, buckets: int, percent: int, hubs: int, scratch: Scratch) -> DataFrame:
+    """Pairs of sets that link, of those that the lists bring together across roots."""
+    mark = scratch.mark()
+    rooted = active.withColumn("root", F.col("node")) if roots is None else active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    probes = rooted.select("node", "root", "n", "prefix", "ids").mapInArrow(_probes(buckets, percent), "bucket int, ids binary, who binary, rest binary, node binary, root binary, size binary, share binary")
+    pairs = scratch.cut(probes.groupBy("bucket").applyInArrow(_candidates(percent, hubs), "a long, b long").distinct())
+    left = active.select(F.col("node").alias("a"), "n", "low", F.col("ids").alias("x"))
     right = active.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("ids").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "low", "x", "y").sortWithinPartitions("low", "a", "b")
+    found = scratch.cut(both.mapInPandas(_verify(percent), "a long, b long"))
+    scratch.only(mark, found)
+    return found
+
+
+def _classes(docs: DataFrame, n: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Each row's set, and each set's component: its least document (doc_id, row_key)."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent: above 50, to 100")
+    mark = scratch.mark()
+    sets, links, active, buckets = _sets(docs, n, percent, scratch)
+    labels = components(scratch, links)
     for hubs in HUB_ROUNDS:
-        rooted = active.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", "prefix", "ids")
-        probes = rooted.mapInArrow(_probes(buckets, percent), "bucket int, ids binary, who binary, rest binary, node binary, root binary, size binary, share binary")
-        pairs = scratch.cut(probes.groupBy("bucket").applyInArrow(_candidates(percent, hubs), "a long, b long").distinct())
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").sortWithinPartitions("a", "b")
-        more = scratch.cut(both.mapInPandas(_verify(percent), "a long, b long"))
+        more = _linked(active, labels, buckets, percent, hubs, scratch)
         if not more.isEmpty():
             links = links.union(more)
+            scratch.drop(labels)
             labels = components(scratch, links)
-    firsts = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    firsts = sets.filter("n_shingles > 0").groupBy("node").agg(F.min(place).alias("doc"))
     named = scratch.cut(firsts.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc"))
-    least = scratch.cut(named.groupBy("root").agg(F.min("doc").alias("component")))
-    ids = scratch.cut(named.join(least, "root").select("node", "component"))
+    least = named.groupBy("root").agg(F.min("doc").alias("least"))
+    ids = scratch.cut(named.join(least, "root").select("node", F.col("least.doc_id").alias("first_id"), F.col("least.row_key").alias("first_key")))
+    scratch.only(mark, sets, ids)
+    return sets, ids
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    sets, ids = _classes(docs, n, percent, scratch or Scratch(docs.sparkSession))
     empty = F.col("n_shingles") == 0
     out = sets.join(ids, (sets.node == ids.node) & ~empty, "left")
-    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 75, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` less all but one document of each component, that of the least doc_id.
+
+    A document is a doc_id with a text: rows that repeat both stay or go together, and so a null or repeated doc_id never
+    takes other texts along. Rows without words stay.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    sets, ids = _classes(docs, n, percent, scratch)
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("row_key") == F.col("first_key")))
+    mark = scratch.mark()
+    gone = sets.filter("n_shingles > 0").join(ids, "node").filter(later).select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
+    gone = scratch.cut(gone)
+    scratch.drop(sets, ids)
+    scratch.only(mark, gone)
+    return without(docs, gone)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text are not in ``gone`` (gone_id, gone_key); null ids match each other."""
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("binary")).alias("key"))
+    return keyed.join(gone, keyed.id.eqNullSafe(gone.gone_id) & (keyed.key == gone.gone_key), "left_anti").select("row.*")
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) between distinct sets, and each row's set (doc_id, n_shingles, node).
+
+    Every pair of sets that link is one row, so a group of many different near copies has the square of its size of them;
+    copies of a set have none. ``jaccard_components`` needs no such pairs.
+    """
+    if not 50 < percent <= 100:
+        raise ValueError("percent: above 50, to 100")
+    scratch = scratch or Scratch(docs.sparkSession)
+    sets, links, active, buckets = _sets(docs, n, percent, scratch)
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    return links.union(_linked(active, None, buckets, percent, 0, scratch)).select(*pair).distinct(), sets.select("doc_id", "n_shingles", "node")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from haulgraph.llm import ann, decontam, license_scan, lm_score, shard_map, toxicity, url_filter
 from haulgraph.llm.line_dedup import drop_lines
-from haulgraph.llm.ngram_join import jaccard_components
+from haulgraph.llm.ngram_join import Answers, drop_near_copies, jaccard_components, jaccard_links
 from haulgraph.llm.queries import URL_RULES
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -89,19 +89,64 @@ def test_components_of_nothing_and_of_repeats(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (4, 4), (4, 4), (9, 4)]
 
 
+def brute_links(texts, n=5, percent=75):
+    sets = [frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) for w in map(words, texts) if w]
+    sets = list(dict.fromkeys(sets))
+    return sum(100 * len(a & b) >= percent * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_equal_brute_force(spark, seed):
+    rows = corpus(seed)
+    links, sets = jaccard_links(frame(spark, rows))
+    assert links.count() == brute_links([t for _, t in rows])
+    assert sets.count() == len(rows)
+
+
+def test_a_large_group_that_shares_a_passage_but_does_not_link(spark):
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(20)) + " " + passage) for i in range(2000)]
+    rows += [(5000 + i, passage + f" e{i}") for i in range(300)]  # near copies of one another
+    got = {r.doc_id: r.component_id for r in jaccard_components(frame(spark, rows)).collect()}
+    assert got == {i: i if i < 5000 else 5000 for i, _ in rows}
+
+
+def test_answers_are_derived_from_a_similar_set():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate(([0], rng.choice(np.arange(1, 220), 150, replace=False)))) for _ in range(12)]
+    base = np.arange(200)
+    sets += [np.unique(np.concatenate((base[:1], np.delete(base, rng.choice(np.arange(1, 200), 8, replace=False))))) for _ in range(12)]
+    answers, asked = Answers(75), 0
+    for a in sets:
+        others = [(k, len(b), lambda b=b: b) for k, b in enumerate(sets)]
+        want = [100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)) for b in sets]
+        assert answers.of(a, len(a), others) == want
+        asked += len(others)
+    assert answers.counted < 0.8 * asked
+
+
+def test_near_copies_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f"), (None, "q r s t u v"), (3, "a b c d e f"), (3, "z z z z y"), (7, "z z z z y"), (7, "m n o p q"), (None, None), (2, "")]
+    got = drop_near_copies(frame(spark, rows))
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(None, "q r s t u v"), (3, "a b c d e f"), (3, "z z z z y"), (7, "m n o p q"), (None, None), (2, "")], key=str)
+    assert got.columns == empty(spark).columns
+
+
 # --- 10: line dedup --------------------------------------------------------------------------------------------------
 
 
-def near(a, b):
+def near(a, b, most=1):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, d[0] = d[0], i
         for j, y in enumerate(b, 1):
             last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
-    return d[-1] <= 1
+    return d[-1] <= most
 
 
-def brute_lines(rows, least=8):
+def brute_lines(rows, least=8, most=1):
     seen, out = [], {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         if t is None:
@@ -110,7 +155,7 @@ def brute_lines(rows, least=8):
         kept = []
         for line in t.split("\n"):
             w = words(line)
-            if not w or not any(w == v or len(w) >= least and len(v) >= least and abs(len(v) - len(w)) < 2 and near(w, v) for v in seen):
+            if not w or not any(w == v or len(w) >= least and len(v) >= least and abs(len(v) - len(w)) <= most and near(w, v, most) for v in seen):
                 kept.append(line)
             seen.append(w)
         out[i] = "\n".join(kept)
@@ -133,6 +178,34 @@ def test_line_dedup_equals_brute_force(spark):
     assert drop_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_null_and_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "beta two"), (4, "new first\nbeta two"), (4, "other first\nunique line kept"), (None, "same line here\nmore"), (None, "same line here\nelse"), (4, "new first\nbeta two"), (5, None)]
+    names = "doc_id long, gone string, n_lines int, text string, gone_doc long, `at` int, line long, n_dropped string, dropped int, c0 int"
+    out = drop_lines(spark.createDataFrame([(i, "g", 7, t, 8, 9, 10, "x", 11, 12) for i, t in rows], names))
+    assert out.columns == ["doc_id", "gone", "text", "gone_doc", "at", "line", "dropped", "c0", "n_lines", "n_dropped"]
+    got = out.collect()
+    assert {(r.gone, r.gone_doc, r.at, r.line, r.dropped, r.c0) for r in got} == {("g", 8, 9, 10, 11, 12)}
+    kept = collections.Counter((r.doc_id, r.text) for r in got)
+    null = sorted(t for (i, t) in kept if i is None)
+    assert null in (["more", "same line here\nelse"], ["else", "same line here\nmore"])
+    assert {k: n for k, n in kept.items() if k[0] is not None} == {(1, "beta two"): 1, (4, "new first"): 2, (4, "other first\nunique line kept"): 1, (5, None): 1}
+
+
+@pytest.mark.parametrize("edits", [2, 3])
+def test_line_dedup_with_a_larger_bound(spark, edits):
+    rng = random.Random(edits)
+    base = [[f"w{rng.randrange(6)}" for _ in range(rng.randint(3, 7))] for _ in range(25)]
+    rows = []
+    for i in range(70):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 1)] = [f"w{rng.randrange(6)}"] if rng.random() < 0.6 else []
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.text for r in drop_lines(frame(spark, rows), max_edits=edits, min_words=3).collect()}
+    assert got == brute_lines(rows, 3, edits)
+
+
 # --- 4: SentencePiece ------------------------------------------------------------------------------------------------
 
 

@@ -52,3 +52,29 @@ def test_stages(spark, folder):
     assert set(groups) - set(clean) == {65}
     assert set(encoded) == set(clean)
     assert {r.doc_id: r.ids_sha256 for r in P.run(spark, folder).collect()} == {i: r.ids_sha256 for i, r in encoded.items()}
+
+
+def test_rows_without_ids_repeats_long_texts_and_clashing_names(spark, folder, tmp_path):
+    names = "doc_id long, text string, n_lines string, gone int, score string, n_dropped int, key long, row string"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    toxic = "scoundrel wretch scoundrel wretch scoundrel"
+    plain = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id in (1, 2, 5, 6)").orderBy("doc_id").collect()
+    rows = [(None, toxic), (None, plain[0].text), (None, plain[1].text), (1, plain[2].text), (1, plain[3].text), (1, plain[3].text), (2, item + " again"), (2, None), (3, ""), (9, "word " * 50_000)]
+    spark.createDataFrame([(i, t, "a", 1, "b", 2, 3, "c") for i, t in rows], names).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    field = P.toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scratch, out = Scratch(spark), P.toxicity.reject(docs, field)
+    for _, stage in P.STAGES[1:-1]:
+        out = scratch.cut(stage(spark, out, str(tmp_path)))
+        assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([r for r in rows if r[1] != toxic and r[1] != item + " again"], key=str)
+    assert P.encode(spark, out, str(tmp_path)).filter("round_trip").count() == len(got)
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
