@@ -1,11 +1,15 @@
 """Five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-toxicity: documents that the field rejects (score of 0.3 or more) go. line dedup: repeated lines go, and documents left
-without a word that had some. n-gram Jaccard join: one document of each component, that of the least id, stays.
-benchmark decontamination: documents that hold an item go. SentencePiece: every document with its number of tokens and the
-digests of its ids and decoded text, which must equal the text. All but the last return the columns of documents.
+toxicity: rows that the field rejects (score of 0.3 or more) go. line dedup: repeated lines go, and documents left without
+a word that had some. n-gram Jaccard join: one document of each component, that of the least id, stays. benchmark
+decontamination: documents that hold an item go. SentencePiece: every document with its number of tokens, the digests of
+its ids and decoded text, and whether the decoded text equals the text. All but the last return the columns of documents,
+whatever their names.
 
-Null and empty texts pass all stages; of repeated rows of a document that stays, all stay.
+Every stage decides by row or by document, which is a doc_id with a text: a null or repeated doc_id never takes another
+text along. Null and empty texts pass all stages; of repeated rows of a document that stays, all stay.
+
+A stage's intermediate tables go when a later stage begins whose input does not read them.
 """
 
 from __future__ import annotations
@@ -14,50 +18,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulgraph.llm import toxicity
-from haulgraph.llm.common import Scratch, table
-from haulgraph.llm.decontam import leaks
+from haulgraph.llm.common import Scratch, table, unused
+from haulgraph.llm.decontam import drop_leaks
 from haulgraph.llm.line_dedup import drop_lines
-from haulgraph.llm.ngram_join import jaccard_components
+from haulgraph.llm.ngram_join import drop_near_copies
 from haulgraph.llm.piece_codec import encode_documents
 
+_held: list[Scratch] = []
+
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in ``gone`` (doc_id); null ids match each other."""
-    out = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(out, docs.doc_id.eqNullSafe(out.gone_id), "left_anti")
+def _scratch(spark: SparkSession, docs: DataFrame) -> Scratch:
+    """A stage's own scratch; those of stages whose results ``docs`` no longer reads lazily go."""
+    reads = docs.inputFiles() if _held else []
+    for old in [s for s in _held if s.spark is not spark or not any(s.name in file for file in reads)]:
+        old.close()
+        _held.remove(old)
+    _held.append(Scratch(spark))
+    return _held[-1]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, field, spans=False).filter("score >= 0.3"))
+    _scratch(spark, docs)
+    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), at_least=0.3)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = drop_lines(docs)
-    worded = F.col("text").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]") | (F.col("n_dropped") == 0)
-    size = {"n_chars": F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return kept.filter(worded).withColumns(size).select(docs.columns)
+    lines, dropped = unused("n_lines", docs), unused("n_dropped", docs)
+    kept = drop_lines(docs, counts=(lines, dropped), scratch=_scratch(spark, docs))
+    worded = F.col("text").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]") | (F.col(dropped) == 0)
+    if "n_chars" in docs.columns:
+        size = F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars"))
+        kept = kept.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
+    return kept.filter(worded).drop(lines, dropped)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_components(docs, n=5, percent=75)
-    return _without(docs, classes.filter("component_id <> doc_id"))
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs, n=5, percent=75, scratch=_scratch(spark, docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), scratch=_scratch(spark, docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    _scratch(spark, docs)
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
-    ("n-gram Jaccard join", drop_near_copies),
+    ("n-gram Jaccard join", drop_copies),
     ("benchmark decontamination", drop_benchmark),
     ("SentencePiece encoding and decoding", encode),
 ]
@@ -72,6 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         before, docs = docs, scratch.cut(stage(spark, docs, sf_dir))
-        if hasattr(before, "_scratch_path"):
+        if hasattr(before, "_scratch_number"):
             scratch.drop(before)
     return docs
