@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy, tidy_group
 
 BLOCK = 8192
 QUERIES = 1024
@@ -165,9 +165,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, rerank: int = 400, sample:
     books = Codebooks.fit(learned / np.linalg.norm(learned, axis=1)[:, None])
     blocks, q_blocks = -(-n // BLOCK), -(-n_queries // QUERIES)
     by = lambda count, name: F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias(name)
-    indexed = scratch.cut(rows.select("*", by(blocks, "block")).groupBy("block").applyInArrow(_index(books), "block long, ids binary, codes binary, norms binary, errors binary, vectors binary"))
-    asked = rows.filter(is_query).select("*", by(q_blocks, "q_block")).groupBy("q_block").applyInArrow(_pack_queries, "q_block long, q_ids binary, q_vectors binary")
+    indexed = scratch.cut(rows.select("*", by(blocks, "block")).groupBy("block").applyInArrow(tidy_group(_index(books)), "block long, ids binary, codes binary, norms binary, errors binary, vectors binary"))
+    asked = rows.filter(is_query).select("*", by(q_blocks, "q_block")).groupBy("q_block").applyInArrow(tidy_group(_pack_queries), "q_block long, q_ids binary, q_vectors binary")
     paired = indexed.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))).repartition(max(1, blocks * q_blocks), "block", "q_block").join(scratch.cut(asked), "q_block")
-    found = paired.mapInArrow(_search(books, dim, k, rerank), "query_id long, vec_id long, score double")
+    found = paired.mapInArrow(tidy(_search(books, dim, k, rerank)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

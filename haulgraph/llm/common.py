@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -88,6 +89,43 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that an idle worker holds little of what its last task used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(f):
+    """``f``, over batches or a group, with memory given back after it."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(it)
+        finally:
+            trim()
+
+    return batches
+
+
+def tidy_group(f):
+    def group(*tables: pa.Table) -> pa.Table:
+        try:
+            return f(*tables)
+        finally:
+            trim()
+
+    def one(table: pa.Table) -> pa.Table:
+        return group(table)
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        return group(left, right)
+
+    return two if f.__code__.co_argcount == 2 else one
+
+
 # --- hashing ---------------------------------------------------------------------------------------------------------
 
 

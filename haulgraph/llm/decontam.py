@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, U64, Scratch, binary_rows, row_chunks, runs, word_hashes
+from .common import IS_SPACE, U64, Scratch, binary_rows, row_chunks, runs, tidy, tidy_group, word_hashes
 from .ngram_join import without
 
 HALF = 32
@@ -320,7 +320,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rank: int, max_df: float, co
     def search() -> DataFrame:
         vocabulary = Vocabulary(np.array(sorted({w for _, words, _ in held for w in words}), U64))
         size = len(vocabulary.words)
-        counted = texts.mapInArrow(_count(vocabulary), "word long, passages long").groupBy("word").agg(F.sum("passages").alias("n")).collect()
+        counted = texts.mapInArrow(tidy(_count(vocabulary)), "word long, passages long").groupBy("word").agg(F.sum("passages").alias("n")).collect()
         df, total = np.zeros(size), 0
         for r in counted:
             if r["word"] < 0:
@@ -334,8 +334,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rank: int, max_df: float, co
         weight = np.where(keep, np.log((total + 1) / (df + 1)) + 1, 0).astype(np.float32)
         width = min(rank + OVERSAMPLE, size)
         schema_of_sums = "block int, part int, sums binary"
-        parts = texts.mapInArrow(_range(vocabulary, weight, width), schema_of_sums)
-        parts = parts.groupBy("block", "part").applyInArrow(_add, schema_of_sums).groupBy("block").applyInArrow(_add, schema_of_sums).collect()
+        parts = texts.mapInArrow(tidy(_range(vocabulary, weight, width)), schema_of_sums)
+        parts = parts.groupBy("block", "part").applyInArrow(tidy_group(_add), schema_of_sums).groupBy("block").applyInArrow(tidy_group(_add), schema_of_sums).collect()
         if not parts:
             return out
         found = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(parts, key=lambda r: r["block"])]).reshape(size, width)
@@ -344,7 +344,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rank: int, max_df: float, co
         latent = (weight[:, None] * basis).astype(np.float32)
         vectors = np.stack([latent[vocabulary.number(np.array(words, U64))].sum(0) for _, words, _ in held])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)[:, None]
-        return texts.mapInArrow(_find(vocabulary, latent, list(held), vectors.astype(np.float32), _Shared(vocabulary, held, df, paraphrase), cosine, copy, paraphrase, least), schema)
+        return texts.mapInArrow(tidy(_find(vocabulary, latent, list(held), vectors.astype(np.float32), _Shared(vocabulary, held, df, paraphrase), cosine, copy, paraphrase, least)), schema)
 
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
         item_id, words, answer = _item(r["item_id"], r["text"])

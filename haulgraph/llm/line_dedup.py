@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Scratch, binary_rows, mix, powers, row_chunks, word_hashes
+from .common import U64, Scratch, binary_rows, mix, powers, row_chunks, tidy, word_hashes
 
 CHUNK_BYTES = 2 << 20
 
@@ -209,10 +209,10 @@ def _near(distinct: DataFrame, texts: DataFrame, max_edits: int, min_words: int,
         scratch.drop(met)
     by_doc = wanted.groupBy("doc", "row_key").agg(F.collect_list(F.struct("line", F.col("at").alias("line_no"))).alias("want"))
     held = texts.join(by_doc.hint("merge"), texts.doc_id.eqNullSafe(by_doc.doc) & (texts.row_key == by_doc.row_key)).select("text", "want")
-    words = scratch.cut(held.mapInArrow(_fetch, "line long, words binary").dropDuplicates(["line"]))
+    words = scratch.cut(held.mapInArrow(tidy(_fetch), "line long, words binary").dropDuplicates(["line"]))
     near = words.join(wanted, "line").select("line", "words", "doc", "row_key", "at")
     if max_edits == 1:
-        variants = scratch.cut(near.mapInArrow(_variants, "variant long, place int, line long, doc long, row_key long, at int"))
+        variants = scratch.cut(near.mapInArrow(tidy(_variants), "variant long, place int, line long, doc long, row_key long, at int"))
         edited, whole = variants.filter("place >= 0"), variants.filter("place < 0")
         first = scratch.cut(edited.groupBy("variant", "place").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("variant", "place", "first"))
         same = edited.join(first, ["variant", "place"]).filter("line <> first.line").select("line", F.col("first.line").alias("other"))
@@ -222,13 +222,13 @@ def _near(distinct: DataFrame, texts: DataFrame, max_edits: int, min_words: int,
         sooner = one.join(least, "variant").filter("first < w").select(F.col("w.line").alias("line"), F.col("first.line").alias("other"))
         pairs = same.union(later).union(sooner).distinct()
     else:
-        variants = scratch.cut(near.mapInArrow(_wide_variants(max_edits), "variant long, places array<int>, line long, doc long, row_key long, at int"))
+        variants = scratch.cut(near.mapInArrow(tidy(_wide_variants(max_edits)), "variant long, places array<int>, line long, doc long, row_key long, at int"))
         first = scratch.cut(variants.groupBy("variant", F.col("places").alias("others")).agg(F.min(where).alias("first")))
         edits = F.size("places") + F.size("others") - F.size(F.array_intersect("places", "others"))
         pairs = variants.join(first, "variant").filter((edits <= max_edits) & (F.col("first") < where) & (F.col("first.line") != F.col("line"))).select("line", F.col("first.line").alias("other")).distinct()
     pairs = scratch.cut(pairs)
     left, right = words.select("line", F.col("words").alias("x")), words.select(F.col("line").alias("other"), F.col("words").alias("y"))
-    return pairs.join(left, "line").join(right, "other").select("line", "x", "y").mapInArrow(_verify(max_edits), "line long").distinct()
+    return pairs.join(left, "line").join(right, "other").select("line", "x", "y").mapInArrow(tidy(_verify(max_edits)), "line long").distinct()
 
 
 def dropped_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8, scratch: Scratch | None = None) -> DataFrame:
@@ -242,7 +242,7 @@ def dropped_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8, scrat
     mark = scratch.mark()
     text = F.col("text").cast("binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
-    lines = scratch.cut(texts.mapInArrow(_lines, "doc_id long, row_key long, line_no int, n_words int, line long, k1 long, k2 long, k3 long"))
+    lines = scratch.cut(texts.mapInArrow(tidy(_lines), "doc_id long, row_key long, line_no int, n_words int, line long, k1 long, k2 long, k3 long"))
     known = lines.groupBy("line").agg(F.min(F.struct("doc_id", "row_key", "line_no")).alias("at"), F.count(F.lit(1)).alias("times"), F.min("n_words").alias("n_words"), *(F.min(k).alias(k) for k in ("k1", "k2", "k3")))
     distinct = scratch.cut(known.select("line", F.col("at.doc_id").alias("doc"), F.col("at.row_key").alias("row_key"), F.col("at.line_no").alias("at"), "times", "n_words", "k1", "k2", "k3"))
     within_bound = _near(distinct, texts, max_edits, min_words, scratch) if max_edits else lines.limit(0).select("line")
@@ -268,4 +268,4 @@ def drop_lines(docs: DataFrame, max_edits: int = 1, min_words: int = 8, scratch:
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n", -1)))
     plain = joined.select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)), n_lines.alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("dropped"), "gone")
     schema = T.StructType([*fields, *(T.StructField(c, T.IntegerType()) for c in counts)])
-    return plain.mapInArrow(_rebuild(names.index("text"), schema.names), schema)
+    return plain.mapInArrow(tidy(_rebuild(names.index("text"), schema.names)), schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, binary_rows, bucket_of, mix, pack, row_chunks, runs, unpack, word_hashes
+from .common import U64, Scratch, binary_rows, bucket_of, mix, pack, row_chunks, runs, tidy, tidy_group, unpack, word_hashes
 
 CHUNK_TOKENS = 1_500_000
 SLICE = 4 << 20
@@ -207,9 +207,9 @@ def score(docs: DataFrame, learn, mass: float = 48.0, scratch: Scratch | None =
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    asked = texts.mapInArrow(_ask(buckets), "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary")
-    known = scratch.cut(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, words binary, word_counts binary, pairs binary, pair_counts binary, tokens long, distinct long"))
+    asked = texts.mapInArrow(tidy(_ask(buckets)), "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary")
+    known = scratch.cut(asked.groupBy("bucket").applyInArrow(tidy_group(_answer), "chunk long, words binary, word_counts binary, pairs binary, pair_counts binary, tokens long, distinct long"))
     tokens, distinct = known.agg(F.sum("tokens"), F.sum("distinct")).first()
-    parts = texts.mapInArrow(_texts, "chunk long, ids array<long>, learn binary, words binary, index binary, lengths binary")
+    parts = texts.mapInArrow(tidy(_texts), "chunk long, ids array<long>, learn binary, words binary, index binary, lengths binary")
     schema = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score(tokens or 0, distinct or 0, mass), schema)
+    return parts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(tidy_group(_score(tokens or 0, distinct or 0, mass)), schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, binary_rows, bucket_of, components, mix, pack, row_chunks, runs, unpack, word_hashes
+from .common import U64, Scratch, binary_rows, bucket_of, components, mix, pack, row_chunks, runs, tidy, tidy_group, unpack, word_hashes
 
 CHUNK_BYTES = 2 << 20
 FLUSH = 2_000_000
@@ -361,13 +361,13 @@ def _sets(docs: DataFrame, n: int, percent: int, scratch: Scratch):
     spark = docs.sparkSession
     text = F.col("text").cast("binary")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
-    sets = scratch.cut(keyed.mapInArrow(_digests(n), "doc_id long, row_key long, n_shingles long, node long"))
+    sets = scratch.cut(keyed.mapInArrow(tidy(_digests(n)), "doc_id long, row_key long, n_shingles long, node long"))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_ENTRIES))
     homes = max(8, -(-total // (4 * BUCKET_ENTRIES)))
-    posts = docs.select(text.alias("text")).mapInArrow(_postings(n, buckets), "bucket int, h binary, who binary, node binary, size binary")
-    parts = posts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists(homes), "home int, node binary, size binary, who binary, ident binary, level binary, one binary, two binary")
-    live = scratch.cut(parts.groupBy("home").applyInArrow(_prefix_sets(percent), "a long, b long, n long, prefix long, low long, ids binary"))
+    posts = docs.select(text.alias("text")).mapInArrow(tidy(_postings(n, buckets)), "bucket int, h binary, who binary, node binary, size binary")
+    parts = posts.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy_group(_lists(homes)), "home int, node binary, size binary, who binary, ident binary, level binary, one binary, two binary")
+    live = scratch.cut(parts.groupBy("home").applyInArrow(tidy_group(_prefix_sets(percent)), "a long, b long, n long, prefix long, low long, ids binary"))
     active = live.filter("b is null").select(F.col("a").alias("node"), "n", "prefix", "low", "ids")
     return sets, live.filter("b is not null").select("a", "b"), active, buckets
 
@@ -376,12 +376,12 @@ def _linked(active: DataFrame, roots: DataFrame | None, buckets: int, percent: i
     """Pairs of sets that link, of those that the lists bring together across roots."""
     mark = scratch.mark()
     rooted = active.withColumn("root", F.col("node")) if roots is None else active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    probes = rooted.select("node", "root", "n", "prefix", "ids").mapInArrow(_probes(buckets, percent), "bucket int, ids binary, who binary, rest binary, node binary, root binary, size binary, share binary")
-    pairs = scratch.cut(probes.groupBy("bucket").applyInArrow(_candidates(percent, hubs), "a long, b long").distinct())
+    probes = rooted.select("node", "root", "n", "prefix", "ids").mapInArrow(tidy(_probes(buckets, percent)), "bucket int, ids binary, who binary, rest binary, node binary, root binary, size binary, share binary")
+    pairs = scratch.cut(probes.groupBy("bucket").applyInArrow(tidy_group(_candidates(percent, hubs)), "a long, b long").distinct())
     left = active.select(F.col("node").alias("a"), "n", "low", F.col("ids").alias("x"))
     right = active.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("ids").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "low", "x", "y").sortWithinPartitions("low", "a", "b")
-    found = scratch.cut(both.mapInPandas(_verify(percent), "a long, b long"))
+    found = scratch.cut(both.mapInPandas(tidy(_verify(percent)), "a long, b long"))
     scratch.only(mark, found)
     return found
 

@@ -27,8 +27,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SPACE = "▁"
-CACHE_UNITS = 400_000
+CACHE_UNITS = 100_000
 TEXT_CHARS = 1 << 20
 NEVER = np.int64(1) << 24
 PLACE = 36
@@ -239,4 +241,4 @@ def encode_documents(docs: DataFrame, model: str, digests: bool = False, ship: b
         docs.sparkSession.sparkContext.addFile(model)
         shipped = model.rpartition("/")[2]
     rest = "ids_sha256 string, decoded_sha256 string, round_trip boolean" if digests else "ids array<int>, decoded string"
-    return docs.select("doc_id", F.col("text")).mapInArrow(_encode(model, shipped, not digests), f"doc_id long, n_tokens long, {rest}")
+    return docs.select("doc_id", F.col("text")).mapInArrow(tidy(_encode(model, shipped, not digests)), f"doc_id long, n_tokens long, {rest}")

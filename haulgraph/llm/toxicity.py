@@ -1,17 +1,19 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Tokens are runs of ASCII letters, digits and non-ASCII characters; a sequence is a line, cut after ``SEQUENCE`` tokens.
+Tokens are runs of ASCII letters, digits and non-ASCII characters; a sequence is a line, however long.
 Token labels come from document labels: of all words, prefixes and suffixes, those are chosen that toxic documents have and
 hardly any others, beyond chance among as many features (near copies count once); tokens with a chosen feature in toxic
 documents are toxic. The field has hashed features (the word, its affixes, both neighbours) and transitions, and is
 trained on those tokens by its exact gradient. Forward-backward marginals give offending spans; their sum, largest
-value and share feed a logistic regression on the document labels.
+value and share feed a logistic regression on the document labels. All lines advance together in blocks of ``BLOCK`` tokens;
+where a line goes on, a block's recursion is a product of two-by-two matrices that carries the state into the next block.
 
 Training reads at most ``max_docs`` toxic and three times as many other labelled documents (those of least hash); it is a
 fitted classifier, and that bound is its only sample. Scoring reads every whole text.
 
-Defined results: null and empty texts get the score of a text without tokens; equal texts get equal scores; labels of a
-doc_id that appears more than once count as toxic if any is; rows with null labels are not used; without training rows
+Defined results: null and empty texts get the score of a text without tokens; texts are read whole, whatever their length;
+equal texts, repeated rows too, get equal scores; of rows with one doc_id the training takes one; labels of a doc_id that
+appears more than once count as toxic if any is; rows with null labels are not used; without training rows
 of both labels every score is the share of toxic ones (0 if there are none); other columns are ignored.
 """
 
@@ -24,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, binary_rows, mix, row_chunks, runs, word_hashes
+from .common import U64, binary_rows, mix, row_chunks, runs, tidy, word_hashes
 
 BREAK = np.zeros(256, bool)
 BREAK[:128] = True
 BREAK[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 AFFIXES = (3, 4, 5, 6, 7, -3, -4, -5)
 FEATURES = 1 << 18
-SEQUENCE = 64
+BLOCK = 64
 CHUNK_BYTES = 1 << 20
 
 
@@ -44,9 +46,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
         line = newline[s - lo] if len(s) else s
         fresh = np.ones(len(s), bool)
         fresh[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
-        begin = np.flatnonzero(fresh)
-        place = np.arange(len(s)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(s)]))))
-        sequence = np.cumsum(fresh | (place % SEQUENCE == 0)) - 1
+        sequence = np.cumsum(fresh) - 1
         before, after = np.zeros(len(s), U64), np.zeros(len(s), U64)
         before[1:] = np.where(sequence[1:] == sequence[:-1], word[:-1], U64(0))
         after[:-1] = np.where(sequence[1:] == sequence[:-1], word[1:], U64(0))
@@ -69,37 +69,81 @@ class Field:
     def emission(self, columns: np.ndarray) -> np.ndarray:
         return np.clip(self.weight[columns].sum(0) + self.bias, -30, 30)
 
-    def marginals(self, emission: np.ndarray, sequence: np.ndarray):
-        """Forward-backward over all sequences at once: each token's probability of the toxic label.
+    def marginals(self, emission: np.ndarray, line: np.ndarray):
+        """Forward-backward over all lines at once: each token's probability of the toxic label.
 
         With two labels, the ratio of the forward values of the labels is all that is carried on, and likewise backward.
         """
-        n = int(sequence[-1]) + 1 if len(sequence) else 0
-        first = np.searchsorted(sequence, np.arange(n))
-        place = np.arange(len(sequence)) - first[sequence]
-        width = int(place.max()) + 1 if len(place) else 0
+        begin = np.flatnonzero(np.diff(line, prepend=-1))
+        at = np.arange(len(line)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(line)])))) if len(line) else line
+        place = at % BLOCK
+        block = np.cumsum(place == 0) - 1
+        depth = at[place == 0] // BLOCK
+        n, width = len(depth), int(place.max()) + 1 if len(place) else 0
         grid = np.ones((width, n))
         live = np.zeros((width, n), bool)
-        grid[place, sequence], live[place, sequence] = np.exp(emission), True
+        grid[place, block], live[place, block] = np.exp(emission), True
         t = np.exp(self.transition)
+        enter, leave = self._carry(grid, live, depth, t)
         forward, backward = np.empty_like(grid), np.ones_like(grid)
         for k in range(width):
-            forward[k] = grid[k] if k == 0 else grid[k] * (t[0, 1] + forward[k - 1] * t[1, 1]) / (t[0, 0] + forward[k - 1] * t[1, 0])
-        for k in range(width - 2, -1, -1):
-            x = grid[k + 1] * backward[k + 1]
-            backward[k] = np.where(live[k + 1], (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), 1.0)
+            f = forward[k - 1] if k else enter
+            forward[k] = grid[k] * (t[0, 1] + f * t[1, 1]) / (t[0, 0] + f * t[1, 0])
+            if k == 0:
+                forward[0] = np.where(depth > 0, forward[0], grid[0])
+        for k in range(width - 1, -1, -1):
+            if k == width - 1:
+                backward[k] = leave
+            else:
+                x = grid[k + 1] * backward[k + 1]
+                backward[k] = np.where(live[k + 1], (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), leave)
         odds = forward * backward
-        return (odds / (1 + odds))[place, sequence], (forward, backward, grid, live, t)
+        return (odds / (1 + odds))[place, block], (forward, backward, grid, live, t, enter, depth)
+
+    def _carry(self, grid: np.ndarray, live: np.ndarray, depth: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The forward ratio before each block and the backward ratio at its last token, where a line has several."""
+        enter, leave = np.ones(len(depth)), np.ones(len(depth))
+        deeper = np.concatenate((depth[1:] > 0, [False]))[: len(depth)]
+        some = np.flatnonzero(deeper | (depth > 0))
+        if not len(some):
+            return enter, leave
+        one, none = np.ones(len(some)), np.zeros(len(some))
+        ahead, back = [one, none, none, one], [one, none, none, one]  # matrices by rows
+
+        def times(a: list, b: list, on: np.ndarray, old: list) -> list:
+            c = [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]]
+            size = sum(c)
+            return [np.where(on, x / size, y) for x, y in zip(c, old, strict=True)]
+
+        for k in range(len(grid)):
+            x, on = grid[k, some], live[k, some]
+            first = (depth[some] == 0) & (k == 0)
+            step = [np.where(first, 0, x * t[1, 1]), np.where(first, x, x * t[0, 1]), np.where(first, 0, t[1, 0]), np.where(first, 1, t[0, 0])]
+            ahead = times(step, ahead, on, ahead)
+            back = times(back, [x * t[1, 1], np.full_like(x, t[1, 0]), x * t[0, 1], np.full_like(x, t[0, 0])], on, back)
+        turn = lambda m, r, i: (m[0][i] * r + m[1][i]) / (m[2][i] * r + m[3][i])
+        order = np.argsort(depth[some], kind="stable")
+        levels = np.searchsorted(depth[some][order], np.arange(depth.max() + 2))
+        for d in range(depth.max() + 1):
+            i = order[levels[d] : levels[d + 1]]
+            go = i[deeper[some[i]]]
+            enter[some[go] + 1] = turn(ahead, enter[some[go]], go)
+        for d in range(depth.max(), 0, -1):
+            i = order[levels[d] : levels[d + 1]]
+            leave[some[i] - 1] = turn(back, leave[some[i]], i)
+        return enter, leave
 
     def pairs(self, parts) -> np.ndarray:
         """Expected transitions."""
-        forward, backward, grid, live, t = parts
-        if len(grid) < 2:
+        forward, backward, grid, live, t, enter, depth = parts
+        if not grid.size:
             return np.zeros((2, 2))
-        r, x, on = forward[:-1], grid[1:] * backward[1:], live[1:]
-        cells = np.stack([np.broadcast_to(t[0, 0], r.shape), t[0, 1] * x, r * t[1, 0], r * t[1, 1] * x])
-        cells = cells / cells.sum(0)
-        return (cells * on).sum((1, 2)).reshape(2, 2)
+
+        def expected(r: np.ndarray, x: np.ndarray, on: np.ndarray) -> np.ndarray:
+            cells = np.stack([np.broadcast_to(t[0, 0], r.shape), t[0, 1] * x, r * t[1, 0], r * t[1, 1] * x])
+            return (cells / cells.sum(0) * on).reshape(4, -1).sum(1).reshape(2, 2)
+
+        return expected(forward[:-1], grid[1:] * backward[1:], live[1:]) + expected(enter, grid[0] * backward[0], depth > 0)
 
     def document(self, p: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """Inputs of the documents' regression."""
@@ -160,7 +204,7 @@ def _telling(own: list[np.ndarray], row: np.ndarray, toxic: np.ndarray, use: np.
 
 
 def _spans(sequence: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Runs of about ``size`` tokens that part no sequence."""
+    """Runs of about ``size`` tokens that part no line."""
     cuts = [0]
     while cuts[-1] < len(sequence):
         at = min(cuts[-1] + size, len(sequence))
@@ -250,7 +294,7 @@ def _reject(field: Field, position: int, at_least: float):
 
 def reject(docs: DataFrame, field: Field, at_least: float = 0.3) -> DataFrame:
     """``docs`` less the rows that score ``at_least`` or more, each row by its own text."""
-    return docs.mapInArrow(_reject(field, docs.columns.index("text"), at_least), docs.schema)
+    return docs.mapInArrow(tidy(_reject(field, docs.columns.index("text"), at_least)), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 400) -> Field:
@@ -260,8 +304,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 400) -> Field:
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = {r["doc_id"]: r["toxic"] for y in (0, 1) for r in known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs * (3 - 2 * y)).collect()}
     wanted = docs.sparkSession.createDataFrame([(k,) for k in sorted(chosen)], "doc_id long")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted), "doc_id").collect() if chosen else []
-    texts = sorted({r["doc_id"]: bytes(r["text"] or b"") for r in sorted(texts, key=lambda r: bytes(r["text"] or b""))}.items())
+    # one text of each id, so what comes to the driver is bounded in rows
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(wanted), "doc_id")
+    texts = sorted((r["doc_id"], bytes(r["text"] or b"")) for r in found.groupBy("doc_id").agg(F.max("text").alias("text")).collect()) if chosen else []
     toxic = np.array([chosen[k] == 1 for k, _ in texts], bool)
     shares = np.where(toxic, total.get(1, 0) / max(1, toxic.sum()), total.get(0, 0) / max(1, (~toxic).sum()))
     return train([t for _, t in texts], toxic, shares)
@@ -270,4 +315,4 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 400) -> Field:
 def score(docs: DataFrame, field: Field, spans: bool = True) -> DataFrame:
     """doc_id, score and, if asked for, offending character spans of every row of ``docs``."""
     more = ", spans array<struct<start int, stop int, p double>>" if spans else ""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_score(field, spans), f"doc_id long, score double{more}")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_score(field, spans)), f"doc_id long, score double{more}")

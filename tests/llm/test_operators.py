@@ -306,6 +306,61 @@ def test_marginals_equal_enumeration():
         assert p[sequence == s] == pytest.approx(one / total)
 
 
+def chain(field, e):
+    """Plain forward-backward of one line: probabilities of the toxic label, expected transitions, log of the sum."""
+    t, x = np.exp(field.transition), np.stack([np.ones(len(e)), np.exp(e)], 1)
+    a, b, logs = [x[0]], [np.ones(2)], 0.0
+    for k in range(1, len(e)):
+        a.append(x[k] * (a[-1] @ t))
+        logs += math.log(a[-1].sum())
+        a[-1] = a[-1] / a[-1].sum()
+    for k in range(len(e) - 1, 0, -1):
+        b.append(t @ (x[k] * b[-1]))
+        b[-1] = b[-1] / b[-1].sum()
+    b = b[::-1]
+    p = np.array([(u * v)[1] / (u * v).sum() for u, v in zip(a, b, strict=True)])
+    pairs = sum((c / c.sum() for c in (a[k - 1][:, None] * t * (x[k] * b[k]) for k in range(1, len(e)))), np.zeros((2, 2)))
+    return p, pairs, logs + math.log(a[-1].sum())
+
+
+def test_long_lines_are_one_chain():
+    rng = np.random.default_rng(4)
+    field = toxicity.Field(np.zeros(4), rng.normal(size=(2, 2)) * 2, 0.0)
+    lengths = [1, 200, 64, 65, 3, 128, 700]
+    line, e = np.repeat(np.arange(len(lengths)), lengths), rng.normal(size=sum(lengths)) * 3
+    p, parts = field.marginals(e, line)
+    want = [chain(field, e[line == k]) for k in range(len(lengths))]
+    assert p == pytest.approx(np.concatenate([x[0] for x in want]), abs=1e-9)
+    assert field.pairs(parts) == pytest.approx(sum(x[1] for x in want), abs=1e-6)
+    step = 1e-5  # the expected transitions are the gradient of the log of the sum
+    for i, j in ((0, 1), (1, 1)):
+        near = []
+        for sign in (1, -1):
+            field.transition[i, j] += sign * step
+            near.append(sum(chain(field, e[line == k])[2] for k in range(len(lengths))))
+            field.transition[i, j] -= sign * step
+        assert field.pairs(parts)[i, j] == pytest.approx((near[0] - near[1]) / (2 * step), rel=1e-4)
+
+
+def test_document_scores_equal_a_plain_chain(spark):
+    rng = random.Random(8)
+    rows = [(i, "\n".join(" ".join(rng.choice(["ok", "fine", "wretch", "villain", f"w{rng.randrange(50)}"][: 3 + 2 * (i % 2)]) for _ in range(rng.randint(1, 150))) for _ in range(3))) for i in range(60)]
+    rows += [(3, rows[3][1]), (None, rows[3][1]), (70, None), (71, " \n "), (72, "wretch " * 30_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    field = toxicity.fit(frame(spark, rows), labels)
+    got = collections.defaultdict(set)
+    for r in toxicity.score(frame(spark, rows), field, spans=False).collect():
+        got[r.doc_id].add(round(r.score, 9))
+    for i, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        _, _, _, line, own, near = toxicity._tokens(raw, np.array([0, len(raw)]))
+        e = field.emission(toxicity._columns(own, near))
+        p = np.concatenate([chain(field, e[line == k])[0] for k in range(int(line.max()) + 1)]) if len(line) else np.zeros(0)
+        inputs = np.array([1, p.max() if len(p) and p.max() > 0.01 else 0, math.log1p(p.sum()), p.sum() / max(1, len(p))])
+        assert got[i] == {round(1 / (1 + math.exp(-min(30, max(-30, inputs @ field.regression)))), 9)}
+    assert got[None] == got[3]
+
+
 # --- 9: decontamination ----------------------------------------------------------------------------------------------
 
 
