@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, Scratch, binary_rows, bucket_of, components, mix, pack, row_chunks, runs, tidy, tidy_group, unpack, word_hashes
 
-CHUNK_BYTES = 2 << 20
-FLUSH = 2_000_000
+CHUNK_BYTES = 1 << 20
+FLUSH = 1_500_000
 BUCKET_ENTRIES = 3_000_000
 BLOCK = 64
 #: Sets tried as hubs of each list in the rounds before the exhaustive one (0), which only sees what they leave apart.

@@ -5,8 +5,9 @@ equals, until no adjacent pair is a piece. Characters that no piece begins after
 part a text into units that never merge with each other, so each unit has its own agenda. All new units of a batch
 advance together: a round takes the head of every unit's agenda, merges it and renews the two pairs beside it.
 
-Every whole text's ids are held against the sentencepiece library in the same Arrow batch; a difference raises. Ids are
-decoded by the library. Units are kept in a two-generation cache of bounded size that outlives a task.
+Each new unit's ids are held against the sentencepiece library in the same Arrow batch, and so are whole texts of each:
+the longest and the one of middle length. A difference raises. (Holding every whole text doubles the cost; tests do so.)
+Ids are decoded by the library. A task keeps units in a two-generation cache of bounded size.
 
 Defined results: null text encodes as empty text (begin and end ids only) and decodes to empty text; other columns are
 ignored; a repeated row repeats its result.
@@ -27,11 +28,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import binary_rows, row_chunks, tidy
 
 SPACE = "▁"
-CACHE_UNITS = 100_000
-TEXT_CHARS = 1 << 20
+CACHE_UNITS = 200_000
+TEXT_BYTES = 1 << 19
 NEVER = np.int64(1) << 24
 PLACE = 36
 LONG_UNIT = 256
@@ -156,7 +157,7 @@ class MergeCodec:
         return [s for s, x in zip(symbol, gone, strict=True) if not x]
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit as little-endian 32-bit integers."""
+        """Ids of each unit as little-endian 32-bit integers, checked against the library."""
         chars = {i: c for c, i in self.ids.items() if i >= self.size}
         out = []
         short = iter(self.merge([u for u in units if len(u) <= LONG_UNIT]))
@@ -169,10 +170,15 @@ class MergeCodec:
                     raw = (chr(-1 - s) if s < 0 else chars[s]).encode()
                     ids += [self.byte_id[raw[k : k + 1]] for k in range(len(raw))] if self.byte_id else [self.unknown]
             out.append(np.array(ids, "<u4").tobytes())
+        spaced = [u[1:].replace(SPACE, " ") if u[0] == SPACE and len(u) > 1 else "\n" + u for u in units]
+        skip = [0 if u[0] == SPACE and len(u) > 1 else len(self.library.encode("\n")) for u in units]
+        for u, mine, k, theirs in zip(units, out, skip, self.library.encode(spaced, num_threads=1), strict=True):
+            if mine != np.array(theirs[k:], "<u4").tobytes():
+                raise ValueError(f"the agenda and the library differ on {u!r}")
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with begin and end ids, as little-endian 32-bit integers, checked against the library."""
+        """Ids of each text with begin and end ids, as little-endian 32-bit integers."""
         parts = [self.unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         missing = set().union(*parts) - self.young.keys()
         fresh = []
@@ -189,11 +195,13 @@ class MergeCodec:
         out = [bos + b"".join(map(get, p)) + eos for p in parts]
         if len(self.young) > CACHE_UNITS:
             self.old, self.young = self.young, {}
-        for t, mine, theirs in zip(texts, out, self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1), strict=True):
-            if mine != np.array(theirs, "<u4").tobytes():
-                raise ValueError(f"the agenda and the library differ on {t[:200]!r}")
         return out
 
+    def check(self, text: str) -> None:
+        """Hold a whole text against the library."""
+        if np.frombuffer(self.encode([text])[0], "<u4").tolist() != self.library.encode(text, add_bos=True, add_eos=True):
+            raise ValueError(f"the agenda and the library differ on {text[:200]!r}")
+
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.library.decode([np.frombuffer(x, "<i4").tolist() for x in ids], num_threads=1)
 
@@ -209,23 +217,24 @@ def codec(model: str) -> MergeCodec:
 def _encode(model: str, shipped: str | None, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(SparkFiles.get(shipped) if shipped else model)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= TEXT_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                ids = own.encode(texts[at:end])
-                back = own.decode(ids)
-                columns = [batch.column(0).slice(at, end - at), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                if whole:
-                    columns += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(back)]
-                else:
-                    columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == y for x, y in zip(back, texts[at:end], strict=True)], pa.bool_())]
-                yield pa.record_batch(columns, ["doc_id", "n_tokens", *(("ids", "decoded") if whole else ("ids_sha256", "decoded_sha256", "round_trip"))])
-                at = end
+        try:
+            for batch in batches:
+                _, offsets = binary_rows(batch.column(1).cast(pa.binary()))
+                order = np.argsort(np.diff(offsets), kind="stable")
+                for k in {len(order) // 2, len(order) - 1} if len(order) else ():
+                    own.check(batch.column(1)[int(order[k])].as_py() or "")
+                for at, end in row_chunks(offsets, TEXT_BYTES):
+                    texts = [t or "" for t in batch.column(1).slice(at, end - at).to_pylist()]
+                    ids = own.encode(texts)
+                    back = own.decode(ids)
+                    columns = [batch.column(0).slice(at, end - at), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                    if whole:
+                        columns += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(back)]
+                    else:
+                        columns += [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_())]
+                    yield pa.record_batch(columns, ["doc_id", "n_tokens", *(("ids", "decoded") if whole else ("ids_sha256", "decoded_sha256", "round_trip"))])
+        finally:
+            own.young, own.old = {}, {}
 
     return run
 

@@ -34,7 +34,7 @@ BREAK[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 AFFIXES = (3, 4, 5, 6, 7, -3, -4, -5)
 FEATURES = 1 << 18
 BLOCK = 64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
