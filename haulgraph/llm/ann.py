@@ -74,18 +74,21 @@ class Codebooks:
         return sum(self.words[m][codes[:, m]] for m in range(len(self.words)))
 
 
-def _vectors(blob: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(blob, np.float32).reshape(-1, dim)
+def _vectors(blob: bytes, dim: int, kind: str) -> np.ndarray:
+    """Vectors in double precision, each times a power of two, which no cosine feels and no square overflows."""
+    x = np.frombuffer(blob, kind).reshape(-1, dim).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
-def _index(books: Codebooks):
+def _index(books: Codebooks, dim: int, kind: str):
     """A block of rows with their codes and norms."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False)
         order = np.argsort(ids)
-        x = np.array(table.column("embedding").to_pylist(), np.float32)[order]
-        unit = x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+        x = np.array(table.column("embedding").to_pylist(), kind)[order]
+        unit = _vectors(x.tobytes(), dim, kind)
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
         codes = np.concatenate([books.encode(unit[k : k + 2048]) for k in range(0, len(x), 2048)])
         near = books.decode(codes)
         norm = np.linalg.norm(near, axis=1)
@@ -95,14 +98,17 @@ def _index(books: Codebooks):
     return run
 
 
-def _pack_queries(table: pa.Table) -> pa.Table:
-    ids = table.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False)
-    order = np.argsort(ids)
-    x = np.array(table.column("embedding").to_pylist(), np.float32)[order]
-    return pa.table({"q_block": pa.array([table.column("q_block")[0].as_py()], pa.int64()), "q_ids": [ids[order].astype(np.int64).tobytes()], "q_vectors": [x.tobytes()]})
+def _pack_queries(kind: str):
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("vec_id").combine_chunks().to_numpy(zero_copy_only=False)
+        order = np.argsort(ids)
+        x = np.array(table.column("embedding").to_pylist(), kind)[order]
+        return pa.table({"q_block": pa.array([table.column("q_block")[0].as_py()], pa.int64()), "q_ids": [ids[order].astype(np.int64).tobytes()], "q_vectors": [x.tobytes()]})
+
+    return run
 
 
-def _search(books: Codebooks, dim: int, k: int, rerank: int):
+def _search(books: Codebooks, dim: int, kind: str, k: int, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, words, _ = books.words.shape
         for batch in batches:
@@ -111,9 +117,9 @@ def _search(books: Codebooks, dim: int, k: int, rerank: int):
                 codes = np.frombuffer(row["codes"], np.uint16).reshape(-1, m).astype(np.int64) + np.arange(m) * words
                 # what single precision can lose is added
                 error = np.frombuffer(row["errors"], np.float32) + np.float32(1e-4)
-                x = _vectors(row["vectors"], dim).astype(np.float64)
+                x = _vectors(row["vectors"], dim, kind)
                 x_norm = np.sqrt((x * x).sum(1))
-                q_ids, queries = np.frombuffer(row["q_ids"], np.int64), _vectors(row["q_vectors"], dim).astype(np.float64)
+                q_ids, queries = np.frombuffer(row["q_ids"], np.int64), _vectors(row["q_vectors"], dim, kind)
                 found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for a in range(0, len(q_ids), 128):
                     part = queries[a : a + 128]
@@ -150,7 +156,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, rerank: int = 400, sample:
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
-    whole = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    # single precision stays as it is, all else is held in double
+    kind, cast = ("<f4", "float") if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else ("<f8", "double")
+    whole = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{cast}>").alias("embedding"))
     fine = whole.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     lengths = fine.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -162,12 +170,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, rerank: int = 400, sample:
     if not n_queries:
         return empty
     learned = np.array([r["embedding"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()], np.float64)
+    learned = _vectors(learned.tobytes(), dim, "<f8")
     books = Codebooks.fit(learned / np.linalg.norm(learned, axis=1)[:, None])
     blocks, q_blocks = -(-n // BLOCK), -(-n_queries // QUERIES)
     by = lambda count, name: F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias(name)
-    indexed = scratch.cut(rows.select("*", by(blocks, "block")).groupBy("block").applyInArrow(tidy_group(_index(books)), "block long, ids binary, codes binary, norms binary, errors binary, vectors binary"))
-    asked = rows.filter(is_query).select("*", by(q_blocks, "q_block")).groupBy("q_block").applyInArrow(tidy_group(_pack_queries), "q_block long, q_ids binary, q_vectors binary")
+    indexed = scratch.cut(rows.select("*", by(blocks, "block")).groupBy("block").applyInArrow(tidy_group(_index(books, dim, kind)), "block long, ids binary, codes binary, norms binary, errors binary, vectors binary"))
+    asked = rows.filter(is_query).select("*", by(q_blocks, "q_block")).groupBy("q_block").applyInArrow(tidy_group(_pack_queries(kind)), "q_block long, q_ids binary, q_vectors binary")
     paired = indexed.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))).repartition(max(1, blocks * q_blocks), "block", "q_block").join(scratch.cut(asked), "q_block")
-    found = paired.mapInArrow(tidy(_search(books, dim, k, rerank)), "query_id long, vec_id long, score double")
+    found = paired.mapInArrow(tidy(_search(books, dim, kind, k, rerank)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,15 +1,23 @@
-"""License scan in SQL functions alone: header lines against templates, then inheritance along directories.
-
-Every line of a text that holds a cue is weighted by TF-IDF (the inverse document frequency is that of the templates; a
-word of no template weighs as the rarest) and compared with every template by sparse cosine; the best of all lines of
-``least`` or more is the file's own license, equal scores going to the lesser name. This is one projection over the rows,
-without a shuffle. A file is a licence file if lines that match hold half of its words or more. A directory has the
-license that most of its licence files name (ties: the lesser name); a file without its own takes that of the nearest
-ancestor directory that has one. Inheritance joins distinct directories with their ancestors, then files by directory, so
-no join has more rows than there are files or directories times their depth.
-
-Defined results: null and empty texts have no license of their own; a null path has no directory; a path without ``/`` is
-in the root ``''``; repeated rows repeat; the input's other columns are dropped.
+"""License scan in SQL functions alone: windows of a text against templates, then inheritance along directories.
+
+A template of n words is compared with every window of n words of a text, an eighth of n apart, whatever lines or comment
+marks part them, so a header wrapped over lines, a sentence inside a paragraph and a whole licence text are all found. A
+window and a template are sparse vectors of square root of term frequency by inverse document frequency (that of the
+templates; a word of no template weighs as the rarest), compared by cosine. The best window of ``least`` or more (more for
+templates under ``SHORT`` words) names the file's own license; equal scores go to the lesser name.
+
+No window can reach ``least`` unless the words that the whole text shares with the template hold ``least`` squared of the
+template's squared weight, so texts that do not share as much are skipped exactly. All this is one projection over the
+rows, without a shuffle, written once.
+
+A file is a licence file if it names a license and is called as one (LICENSE, COPYING, ...), or if its best window holds
+two thirds of its words. A directory has the license that most of its licence files name (ties: the lesser name); a file
+without its own takes that of the nearest ancestor directory that has one. Inheritance joins distinct directories with
+their ancestors, then files by directory, so no join has more rows than there are files or directories times their depth.
+
+Defined results: null and empty texts have no license of their own; texts of any length are read whole; a null path has no
+directory; a path without ``/`` is in the root ``''``; repeated rows repeat; the input's other columns are dropped, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,79 +28,142 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Short forms by which licenses are named in headers.
+from .common import Scratch
+
+# How licenses are named in headers, and the texts of short licenses or the beginnings of long ones.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "To the extent possible under law, all copyright and related rights to this work are waived, CC0 public domain dedication.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC0-1.0": ["To the extent possible under law, all copyright and related rights to this work are waived, CC0 public domain dedication.", "SPDX-License-Identifier: CC0-1.0"],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble",
+    ],
+    "ISC": [
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "LGPL-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
 }
-CUES = ("licen", "redistribution", "public domain")
+# Fixed value: how licence files are called, with any ending.
+LICENCE_NAMES = "^(licen[cs]e|copying|unlicense|copyright|notice)([._-].*)?$"
+SHORT, SHORT_LEAST = 20, 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def weights(templates: dict[str, str]) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
-    """Inverse document frequencies, that of an unknown word, and each template's unit vector."""
-    words = {k: re.findall("[a-z0-9]+", v.lower()) for k, v in templates.items()}
-    df = {w: sum(w in x for x in words.values()) for x in words.values() for w in x}
-    idf = {w: round(math.log((1 + len(words)) / (1 + n)) + 1, 6) for w, n in df.items()}
+def templates(texts: dict[str, list[str]], least: float) -> tuple[dict[str, float], float, list[dict]]:
+    """Inverse document frequencies, that of an unknown word, and each template's size, step, least score and unit vector."""
+    words = [(k, re.findall("[a-z0-9]+", x.lower())) for k, xs in sorted(texts.items()) for x in xs]
+    df = {w: sum(w in x for _, x in words) for _, x in words for w in x}
+    idf = {w: round(math.log((1 + len(words)) / (1 + n)) + 1, 6) for w, n in sorted(df.items())}
     rare = round(math.log(1 + len(words)) + 1, 6)
-    out = {}
-    for k, x in words.items():
-        v = {w: x.count(w) * idf[w] for w in x}
+    out = []
+    for k, x in words:
+        v = {w: math.sqrt(x.count(w)) * idf[w] for w in sorted(set(x))}
         norm = math.sqrt(sum(y * y for y in v.values()))
-        out[k] = {w: round(y / norm, 6) for w, y in v.items()}
+        out.append({"name": k, "n": len(x), "step": max(1, len(x) // 8), "least": max(least, SHORT_LEAST if len(x) < SHORT else 0), "vector": {w: round(y / norm, 6) for w, y in v.items()}})
     return idf, rare, out
 
 
-def _literal(d: dict):
-    return F.map_from_arrays(F.array(*map(F.lit, d)), F.array(*map(F.lit, d.values())))
+def keys(vector: dict[str, float], idf: dict[str, float], least: float) -> set[str]:
+    """Words, the rarest first, of which a window of ``least`` or more has one: the others' squared weight is too low."""
+    order = sorted(vector, key=lambda w: (-idf[w], w))
+    left, out = sum(x * x for x in vector.values()), set()
+    for w in order:
+        if left < least * least - 1e-4:
+            break
+        out.add(w)
+        left -= vector[w] ** 2
+    return out
+
 
+def _literal(xs) -> F.Column:
+    return F.array(*map(F.lit, xs))
 
-def scan(files: DataFrame, templates: dict[str, str] | None = None, least: float = 0.6) -> DataFrame:
+
+def scan(files: DataFrame, texts: dict[str, list[str]] | None = None, least: float = 0.6) -> DataFrame:
     """doc_id, path, directory, own, score, licence_file of every row of ``files`` (doc_id, path, text)."""
-    idf, rare, vectors = weights(templates or TEMPLATES)
-    low = lambda c: F.translate(c, UPPER, LOWER)
-    words = lambda c: F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0))
-    known, books = _literal(idf), F.array(*(F.struct(F.lit(k).alias("name"), F.map_keys(_literal(v)).alias("words"), F.map_values(_literal(v)).alias("weights")) for k, v in sorted(vectors.items())))
+    idf, rare, forms = templates(texts or TEMPLATES, least)
     add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-
-    def best(line):
-        w = words(line)
-        times = lambda x: F.size(F.filter(w, lambda y: y == x))
-        weight = lambda x: times(x) * F.coalesce(F.element_at(known, x), F.lit(rare))
-        norm = F.sqrt(add(F.array_distinct(w), lambda x: weight(x) * weight(x)))
-        dots = F.transform(books, lambda b: F.struct(F.round(add(F.zip_with(b["words"], b["weights"], lambda x, y: y * weight(x)), lambda x: x) / norm, 5).alias("score"), b["name"].alias("name")))
-        top = F.aggregate(dots, F.struct(F.lit(0.0).alias("score"), F.lit("").alias("name")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
-        return F.struct(top["score"].alias("score"), top["name"].alias("name"), F.size(w).alias("words"))
-
-    cue = lambda x: F.exists(F.array(*map(F.lit, CUES)), lambda c: F.contains(x, c)) & (F.size(words(x)) > 0)
-    lines = F.filter(F.split(low(F.col("text")), "\n", -1), cue)
-    hits = F.filter(F.transform(lines, best), lambda h: h["score"] >= least)
-    rows = files.select("doc_id", "path", "text", hits.alias("hits"))
-    top = F.aggregate("hits", F.struct(F.lit(0.0).alias("score"), F.lit("").alias("name"), F.lit(0).alias("words")), lambda a, x: F.when((x["score"] > a["score"]) | ((x["score"] == a["score"]) & (x["name"] < a["name"])), x).otherwise(a))
-    inside = F.aggregate("hits", F.lit(0), lambda a, x: a + x["words"])
-    return rows.withColumn("top", top).select(
-        "doc_id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("directory"),
-        F.when(F.size("hits") > 0, F.col("top.name")).alias("own"), F.when(F.size("hits") > 0, F.col("top.score")).alias("score"),
-        F.coalesce((F.size("hits") > 0) & (2 * inside >= F.size(words(low(F.col("text"))))), F.lit(False)).alias("licence_file"),
+    weight_of = F.map_from_arrays(_literal(idf), _literal(idf.values()))
+    telling = _literal(sorted(set().union(*(keys(f["vector"], idf, f["least"]) for f in forms))))
+    none = F.array().cast("array<struct<score:double,name:string,n:int>>")
+
+    def best(form: dict) -> F.Column:
+        """The form's best window, if it has what ``least`` asks for."""
+        mine, mass = _literal(form["vector"]), _literal([x * x for x in form["vector"].values()])
+        size, n, step = F.size("words"), form["n"], form["step"]
+        enough = add(F.zip_with(mine, mass, lambda w, x: F.when(F.array_contains("shared", w), x).otherwise(0.0)), lambda x: x) >= form["least"] ** 2 - 1e-4
+        share = _literal([x * idf[w] for w, x in form["vector"].items()])
+
+        def score(k):
+            window = F.slice("words", k * step + 1, F.lit(n))
+            norm = F.sqrt(add(F.slice("squares", k * step + 1, F.lit(n)), lambda x: x))
+            count = lambda w: F.sqrt(F.size(F.filter(window, lambda y: y == w)).cast("double"))
+            return F.round(add(F.zip_with(mine, share, lambda w, x: x * count(w)), lambda x: x) / norm, 5)
+
+        last = F.greatest(F.lit(0), F.ceil((size - n) / F.lit(step)).cast("int"))
+        top = F.array_max(F.transform(F.sequence(F.lit(0), last), score))
+        return F.when((size > 0) & enough, F.struct(top.alias("score"), F.lit(form["name"]).alias("name"), F.lit(n).alias("n")))
+
+    rows = files.select("doc_id", "path", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
+    rows = rows.withColumn("shared", F.array_intersect("words", _literal(idf)))
+    rows = rows.withColumn("squares", F.when(F.arrays_overlap("shared", telling), F.transform("words", lambda w: F.pow(F.coalesce(F.try_element_at(weight_of, w), F.lit(rare)), F.lit(2.0)))))
+    found = F.filter(F.array(*map(best, forms)), lambda h: h.isNotNull())
+    rows = rows.withColumn("hits", F.when(F.col("squares").isNotNull(), found).otherwise(none))
+    passes = lambda h: h["score"] >= F.when(h["n"] < SHORT, F.lit(max(least, SHORT_LEAST))).otherwise(F.lit(least))
+    ahead = lambda a, x: (x["score"] > a["score"]) | ((x["score"] == a["score"]) & ((x["name"] < a["name"]) | ((x["name"] == a["name"]) & (x["n"] > a["n"]))))
+    start = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("name"), F.lit(0).alias("n"))
+    top = F.aggregate(F.filter("hits", passes), start, lambda a, x: F.when(ahead(a, x), x).otherwise(a))
+    own = F.col("top.n") > 0
+    called = F.coalesce(F.lower(F.regexp_extract("path", "[^/]*$", 0)).rlike(LICENCE_NAMES), F.lit(False))
+    return rows.select("doc_id", "path", F.size("words").alias("n_words"), top.alias("top")).select(
+        "doc_id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("directory"), F.when(own, F.col("top.name")).alias("own"), F.when(own, F.col("top.score")).alias("score"),
+        F.coalesce(own & (called | (2 * F.col("n_words") <= 3 * F.col("top.n"))), F.lit(False)).alias("licence_file"),
     )
 
 
-def licenses(files: DataFrame, templates: dict[str, str] | None = None, least: float = 0.6) -> DataFrame:
+def licenses(files: DataFrame, texts: dict[str, list[str]] | None = None, least: float = 0.6, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, path, license, score, licence_file and origin (own, the directory it is inherited from, or null)."""
-    scanned = scan(files, templates, least)
+    scratch = scratch or Scratch(files.sparkSession)
+    scanned = scratch.cut(scan(files, texts, least))
     named = scanned.filter(F.col("licence_file") & F.col("directory").isNotNull()).groupBy("directory", "own").agg(F.count(F.lit(1)).alias("n"))
     most = F.min(F.struct((-F.col("n")).alias("n"), "own"))["own"]
     of_directory = named.groupBy(F.col("directory").alias("ancestor")).agg(most.alias("license"))
     parts = F.split("directory", "/", -1)
-    up = files.select(F.regexp_replace("path", "/?[^/]*$", "").alias("directory")).filter("directory is not null").distinct()
+    up = scanned.select("directory").filter("directory is not null").distinct()
     climbs = up.select("directory", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("depth", "ancestor")).distinct()
     given = climbs.join(of_directory, "ancestor").groupBy("directory").agg(F.max(F.struct("depth", "ancestor", "license")).alias("given")).select("directory", F.col("given.ancestor").alias("ancestor"), F.col("given.license").alias("inherited"))
     out = scanned.join(given, "directory", "left")

@@ -95,29 +95,31 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 
-_IDF, _RARE, _UNITS = license_scan.weights(license_scan.TEMPLATES)
+_IDF, _RARE, _FORMS = license_scan.templates(license_scan.TEMPLATES, 0.6)
 _HASH = "('0x' || substr(md5({}), 1, 12))::BIGINT"
 
 SQL: dict[str, str] = {
     "op3_license_scan": f"""
-WITH f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, {_LOWER.format("text")} AS low FROM documents),
-g AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS directory FROM f),
-t(name, w, x) AS (VALUES {", ".join(f"('{k}', '{w}', {x}::DOUBLE)" for k, v in _UNITS.items() for w, x in v.items())}),
+WITH t(id, name, n, step, least) AS (VALUES {", ".join(f"({k}, '{f['name']}', {f['n']}, {f['step']}, {f['least']}::DOUBLE)" for k, f in enumerate(_FORMS))}),
+v(id, w, x) AS (VALUES {", ".join(f"({k}, '{w}', {x}::DOUBLE)" for k, f in enumerate(_FORMS) for w, x in f["vector"].items())}),
 i(w, idf) AS (VALUES {", ".join(f"('{w}', {x}::DOUBLE)" for w, x in _IDF.items())}),
-l AS (SELECT DISTINCT unnest(string_split(low, chr(10))) AS line FROM g),
-c AS (SELECT line, regexp_extract_all(line, '[a-z0-9]+') AS words FROM l WHERE ({" OR ".join(f"contains(line, '{c}')" for c in license_scan.CUES)}) AND len(regexp_extract_all(line, '[a-z0-9]+')) > 0),
-u AS (SELECT line, w, count(*) AS tf FROM (SELECT line, unnest(words) AS w FROM c) GROUP BY line, w),
-n AS (SELECT line, sqrt(sum((tf * coalesce(idf, {_RARE}::DOUBLE)) ** 2)) AS norm FROM u LEFT JOIN i USING (w) GROUP BY line),
-d AS (SELECT u.line, name, round(sum(x * tf * idf) / any_value(norm), 5) AS score FROM u JOIN t USING (w) JOIN i USING (w) JOIN n ON n.line = u.line GROUP BY u.line, name),
-b AS (SELECT line, max(score) AS score, arg_min(name, {{'s': -score, 'n': name}}) AS name FROM d GROUP BY line HAVING max(score) >= 0.6),
-e AS (SELECT doc_id, path, unnest(string_split(low, chr(10))) AS line FROM g),
-h AS (SELECT doc_id, path, max(score) AS score, arg_min(name, {{'s': -score, 'n': name}}) AS own, sum(len(words)) AS inside FROM e JOIN b USING (line) JOIN c USING (line) GROUP BY doc_id, path),
-s AS (SELECT g.doc_id, g.path, directory, own, score, coalesce(2 * inside >= len(regexp_extract_all(low, '[a-z0-9]+')), false) AS licence_file FROM g LEFT JOIN h ON g.doc_id = h.doc_id),
-o AS (SELECT directory, arg_min(own, {{'n': -n, 'o': own}}) AS license FROM (SELECT directory, own, count(*) AS n FROM s WHERE licence_file GROUP BY directory, own) GROUP BY directory),
-p AS (SELECT a.directory, arg_max(o.directory, length(o.directory)) AS ancestor, arg_max(license, length(o.directory)) AS inherited
-      FROM (SELECT DISTINCT directory FROM s) a JOIN o ON a.directory = o.directory OR starts_with(a.directory, o.directory || '/') OR o.directory = '' GROUP BY a.directory)
+f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+') AS words FROM documents),
+g AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS directory, words, coalesce(len(words), 0) AS size FROM f),
+p AS (SELECT doc_id, size, unnest(words) AS w, unnest(range(len(words))) AS p FROM g),
+q AS (SELECT doc_id, size, w, p, sum(coalesce(idf, {_RARE}::DOUBLE) ** 2) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM p LEFT JOIN i USING (w)),
+o AS (SELECT doc_id, id, w, x, p, n, step, size, greatest(0, ceil((size - n) / step))::BIGINT AS last FROM q JOIN v USING (w) JOIN t USING (id)),
+k AS (SELECT doc_id, id, w, x, n, step, size, unnest(range(greatest(0, ceil((p - n + 1) / step))::BIGINT, least(last, p // step) + 1)) AS k FROM o),
+c AS (SELECT doc_id, id, k, n, step, size, w, any_value(x) AS x, count(*) AS c FROM k GROUP BY doc_id, id, k, n, step, size, w),
+d AS (SELECT doc_id, id, k * step AS first, least(k * step + n, size) - 1 AS final, sum(x * idf * sqrt(c)) AS dot FROM c JOIN i USING (w) GROUP BY doc_id, id, k, n, step, size),
+z AS (SELECT d.doc_id, d.id, max(round(dot / sqrt(e.run - coalesce(b.run, 0)), 5)) AS score
+      FROM d JOIN q e ON e.doc_id = d.doc_id AND e.p = d.final LEFT JOIN q b ON b.doc_id = d.doc_id AND b.p = d.first - 1 GROUP BY d.doc_id, d.id),
+h AS (SELECT doc_id, max(score) AS score, arg_min(name, {{'s': -score, 'm': name, 'n': -n}}) AS own, arg_min(n, {{'s': -score, 'm': name, 'n': -n}}) AS inside FROM z JOIN t USING (id) WHERE score >= least GROUP BY doc_id),
+s AS (SELECT g.doc_id, g.path, directory, own, score, coalesce(own IS NOT NULL AND 2 * size <= 3 * inside, false) AS licence_file FROM g LEFT JOIN h ON g.doc_id = h.doc_id),
+r AS (SELECT directory, arg_min(own, {{'n': -n, 'o': own}}) AS license FROM (SELECT directory, own, count(*) AS n FROM s WHERE licence_file GROUP BY directory, own) GROUP BY directory),
+a AS (SELECT a.directory, arg_max(r.directory, length(r.directory)) AS ancestor, arg_max(license, length(r.directory)) AS inherited
+      FROM (SELECT DISTINCT directory FROM s) a JOIN r ON a.directory = r.directory OR starts_with(a.directory, r.directory || '/') OR r.directory = '' GROUP BY a.directory)
 SELECT doc_id, path, coalesce(own, inherited) AS license, score, licence_file, CASE WHEN own IS NOT NULL THEN 'own' ELSE ancestor END AS origin
-FROM s LEFT JOIN p USING (directory)""",
+FROM s LEFT JOIN a USING (directory)""",
     "op8_shard_table": f"""
 WITH RECURSIVE shards AS (SELECT k, 'shard-' || lpad(k::VARCHAR, 2, '0') AS name FROM range(16) t(k)),
 orders AS (SELECT k, list_transform(range(2053), lambda i: ({_HASH.format("name || '#offset'")} + i * ({_HASH.format("name || '#skip'")} % 2052 + 1)) % 2053) AS wish FROM shards),

@@ -7,8 +7,8 @@ modulo the table's size. Shares differ by one slot at most, and a shard that lea
 The table has ``slots`` rows whatever the input, so it is broadcast; placing a row costs one hash and one probe.
 
 Defined results: a null key places like an empty one; equal keys place alike; names of shards must be distinct, and
-there may be no more than ``slots`` of them; the output is the input's columns with ``slot`` and ``shard``, which the
-input may not have.
+there may be no more than ``slots`` of them; the output is the input's columns, repeated rows repeated, with ``slot`` and
+``shard``, which replace columns of the input that are called so (the key may be one); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_SLOTS = 65537
+#: The table is filled by one task, in time that grows with the square of the slots.
+MAX_SLOTS = 4099
 
 
 def hash48(text):
@@ -55,4 +56,6 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int) -> DataFram
 def place(df: DataFrame, key: str, shards: list[str], slots: int = 2053) -> DataFrame:
     """``df`` with each row's slot and shard."""
     owners = lookup_table(df.sparkSession, shards, slots)
-    return df.withColumn("slot", (hash48(F.coalesce(F.col(key).cast("string"), F.lit(""))) % slots).cast("int")).join(F.broadcast(owners), "slot", "left").select(*df.columns, "slot", "shard")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
+    keyed = df.select(*kept, (hash48(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))) % slots).cast("int").alias("slot"))
+    return keyed.join(F.broadcast(owners), "slot", "left").select(*kept, "slot", "shard")

@@ -9,9 +9,12 @@ rules come first: of the rules that fit a page's host or a parent domain and beg
 
 The tree is grown over distinct (host, shape) counts, not pages; only blocked shapes join back to the pages.
 
-Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; paths deeper
-than ``DEPTH`` segments share a last wildcard; page ids may be null (then unlabelled) and repeat; several labels of a page
-count as bad if any is; without labels every page that no rule fits is allowed; other columns are ignored.
+What all paths of a branch share is taken at once, so the tree has as many rounds as a path has partings.
+
+Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; paths may be
+of any length and depth; page ids may be null (then unlabelled) and repeat, each row being judged by its own url; several
+labels of a page count as bad if any is; without labels every page that no rule fits is allowed; other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-DEPTH = 6
 MAX_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,10 +50,24 @@ def _fits(rule: tuple[str, str, str]):
 
 def grow(shapes: DataFrame, scratch: Scratch, many: int = 20, varied: float = 0.5, similar: float = 1.96) -> DataFrame:
     """(host, shape, template, pages, labelled, bad): the template of every shape, level by level."""
-    tree = scratch.cut(shapes.withColumn("template", F.lit("")))
-    for level in range(DEPTH):
-        segment = F.get("shape", F.lit(level))
-        child = tree.filter(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    mark, done = scratch.mark(), []
+    names = ["host", "shape", "template", "pages", "labelled", "bad"]
+    tree = scratch.cut(shapes.withColumn("template", F.lit("")).withColumn("level", F.lit(0)))
+    alike_to = F.aggregate(F.sequence(F.lit(0), F.least(F.size("low"), F.size("high"))), F.lit(0), lambda a, i: F.when((a == i) & (F.get("low", i) == F.get("high", i)), i + 1).otherwise(a))
+    rest = F.slice("shape", F.col("level") + 1, F.greatest(F.size("shape") - F.col("level"), F.lit(0)))
+    while True:
+        # what all of a node's paths share is taken at once; what is alone in its node, or at its end, has its template
+        common = tree.groupBy("host", "template").agg(F.min(rest).alias("low"), F.max(rest).alias("high")).select("host", "template", alike_to.alias("more"))
+        along = F.slice("shape", F.col("level") + 1, F.col("more"))
+        ending = F.when(F.col("more") > 0, F.concat("template", F.lit("/"), F.array_join(along, "/"))).otherwise(F.col("template"))
+        known = scratch.cut(tree.join(common, ["host", "template"]).select("host", "shape", ending.alias("template"), "pages", "labelled", "bad", (F.col("level") + F.col("more")).alias("level")))
+        ends = F.size("shape") <= F.col("level")
+        done.append(known.filter(ends).select(names))
+        tree = known.filter(~ends)
+        if tree.isEmpty():
+            break
+        segment = F.get("shape", F.col("level"))
+        child = tree.groupBy("host", "template", segment.alias("segment")).agg(F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         child = scratch.cut(child)
         node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("pages").alias("all_pages"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         share = F.col("all_bad") / F.greatest(F.col("all_labelled"), F.lit(1))
@@ -61,10 +77,13 @@ def grow(shapes: DataFrame, scratch: Scratch, many: int = 20, varied: float = 0.
         alike = (F.col("children") > 1) & (F.abs(z) < similar) & (F.col("all_labelled") > 0)
         name = F.when(wild | alike, F.lit("*")).otherwise(F.col("segment"))
         step = scratch.cut(child.join(node, ["host", "template"]).select("host", "template", "segment", F.concat("template", F.lit("/"), name).alias("next")))
-        tree = scratch.cut(tree.withColumn("segment", segment).join(step, ["host", "template", "segment"], "left").select("host", "shape", F.coalesce("next", "template").alias("template"), "pages", "labelled", "bad"))
-        if level and tree.filter(F.size("shape") > level + 1).isEmpty():
-            break
-    return tree
+        tree = scratch.cut(tree.withColumn("segment", segment).join(step, ["host", "template", "segment"]).select("host", "shape", F.col("next").alias("template"), "pages", "labelled", "bad", (F.col("level") + 1).alias("level")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    out = scratch.cut(out)
+    scratch.only(mark, out)
+    return out
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], reject: float = 0.5, mass: float = 4.0, scratch: Scratch | None = None) -> DataFrame:
@@ -77,7 +96,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     scratch = scratch or Scratch(pages.sparkSession)
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    shape = F.transform(F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(segments), _shape)
+    shape = F.transform(segments, _shape)
     rows = scratch.cut(parts.withColumn("shape", shape))
     known = labels.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     shapes = rows.filter("host <> ''").join(known, "page_id", "left").groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))

@@ -387,6 +387,67 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
     assert decontam.leaks(frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_equal_an_exhaustive_search(spark):
+    """Every window of every document against every item by a plain longest common subsequence."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(60)]  # few words, so much is shared by chance
+    text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    items = [(i, text(rng.randint(8, 90)) + ". " + text(5)) for i in range(10)] + [(20, "v1 v2"), (21, "V3, v4 v5"), (22, text(20) + ". " + text(3)), (10, None)]
+    items += [(30, items[0][1]), (30, items[1][1])]
+    rows = []
+    for i in range(60):
+        w = text(rng.randint(0, 250)).split(" ")
+        if i % 2:
+            part = rng.choice(items[:10])[1].replace(".", "").split(" ")
+            for _ in range(rng.randint(0, len(part) // 2)):
+                part[rng.randrange(len(part))] = rng.choice(vocabulary)
+            w[rng.randrange(len(w) + 1) : 0] = part
+        rows.append((i, " ".join(w)))
+    rows += [(None, items[3][1]), (5, rows[5][1]), (70, ""), (71, None), (72, text(3000))]
+    split = lambda t: re.findall("[^\\s!-/:-@\\[-`{-~]+", (t or "").lower())
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    want = set()
+    for i, t in rows:
+        w = split(t)
+        for item, x in items:
+            if not (q := split(x)):
+                continue
+            answer = split(x.split(".")[-1])
+            answer = answer if 3 <= len(answer) < len(q) else q[-6:]
+            reach = max(0, len(q) - 32)
+            for at in range(-32, len(w), 32):
+                if at < 0 and at + 32 < 0 or not w:
+                    continue
+                near = w[max(0, at - reach) : at + 64 + reach]
+                if len(q) < 5 and not any(near[k : k + len(q)] == q for k in range(len(near))):
+                    continue
+                share = lcs(q, near) / len(q)
+                if share >= 0.6 or share >= 0.55 and lcs(answer, near) >= 0.8 * len(answer):
+                    want.add((i, item))
+                    break
+    got = decontam.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert {i for _, i in want} >= {20, 30} and len(want) < 0.8 * len(rows) * len(items)
+
+
+def test_right_vectors_equal_an_exact_decomposition():
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(400, 8)) @ np.diag([9, 7, 5, 4, 3, 2, 1.5, 1]) @ rng.normal(size=(8, 90))
+    r = decontam.sketch(90, 24)
+    s, v = decontam.right_vectors(a.T @ (a @ r), r, 6)
+    _, want, vt = np.linalg.svd(a, full_matrices=False)
+    assert s == pytest.approx(want[:6], rel=1e-6)
+    assert np.abs((v * vt[:6].T).sum(0)) == pytest.approx(np.ones(6), abs=1e-6)
+
+
 @pytest.mark.parametrize("cosine", [0.2, 2.0])
 def test_leaks_do_not_depend_on_the_rank_or_the_cosine(spark, cosine):
     """Against every window of every document, with far fewer directions than words."""
@@ -423,7 +484,7 @@ def test_lcs():
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 200)
+    monkeypatch.setattr(ann, "BLOCK", 400)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 16)).astype(np.float32)
     x[100:160] = x[100]  # equal vectors: ties to the lesser id
@@ -431,7 +492,7 @@ def test_neighbours(spark, monkeypatch):
     rows += [(2000, None, 1), (2050, [0.0] * 16, 1), (2100, [1.0] * 15 + [float("nan")], 1), (2150, [1.0] * 3, 1), (None, [1.0] * 16, 1), (2200, [None] + [1.0] * 15, 1), rows[7]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int")
     got = collections.defaultdict(list)
-    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, rerank=30).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     hit = 0
@@ -449,6 +510,15 @@ def test_neighbours(spark, monkeypatch):
     assert len(ann.nearest(df.filter("vec_id < 3"), F.col("vec_id") % 50 == 0).collect()) == 2
 
 
+def test_neighbours_of_very_small_and_very_large_doubles(spark):
+    x = [[1e-50, 2e-50], [1e39, 1.0], [1e200, 2e200], [3.0, 1e-300], [0.0, 5e-324], [1e308, -1e308]]
+    df = spark.createDataFrame([(50 * i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect()}
+    unit = [[a / max(map(abs, v)) for a in v] for v in x]
+    cosine = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    assert got == {(50 * i, 50 * j): pytest.approx(cosine(unit[i], unit[j]), abs=1e-12) for i in range(6) for j in range(6) if i != j}
+
+
 def test_neighbours_among_near_copies(spark):
     """A third of the rows are near copies of one vector, more than are ranked exactly at first."""
     rng = np.random.default_rng(6)
@@ -483,6 +553,101 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert license_scan.licenses(df.limit(0)).count() == 0
 
 
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_licences_of_real_files(spark):
+    forms = license_scan.TEMPLATES
+    long = {k: max(v, key=len) for k, v in forms.items()}
+    gpl = next(t for t in forms["GPL-3.0"] if t.startswith("This program"))
+    apache = next(t for t in forms["Apache-2.0"] if "obtain a copy" in t)
+    code = "\n".join(f"int f{i}(int a{i}) {{ return a{i} * {i} + g{i}(a{i}); }}" for i in range(200))
+    rows = [
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrapped(long["MIT"], 72)), ("m/src/a.c", code),
+        ("b/LICENSE.txt", "Copyright (c) 2001, The Authors\nAll rights reserved.\n\n" + wrapped(long["BSD-3-Clause"], 66)), ("b/x/y/z.c", code),
+        ("a/COPYING", "\n      Apache License\n   Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n 1. Definitions.\n\n" + code),
+        ("a/deep/er/file.py", "import os"), ("g/four.c", wrapped("Copyright (C) 2011 Some One. " + gpl, 70, " * ") + "\n" + code), ("g/lone.c", code),
+        ("p/header.py", "#!/usr/bin/env python\n# Copyright 2015 Some One\n#\n" + wrapped(apache, 60, "# ") + "\n" + code), ("p/mpl.js", "/* " + wrapped(long["MPL-2.0"], 50, " * ") + " */\n" + code),
+        ("s/spdx.h", "// SPDX-License-Identifier: BSD-3-Clause\n" + code), ("s/inside.md", "Our code is good. It is released under the MIT License. See the docs for more of this and that."),
+        ("s/prose.txt", "The use of this software in any form is the work of the people who use it, and the terms of the work are not the terms of the law."),
+    ]
+    df = spark.createDataFrame([(i, p, t, "x", 3) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string, own string, score int")
+    got = {r.path: (r.license, r.licence_file, r.origin) for r in license_scan.licenses(df).collect()}
+    assert got == {
+        "m/LICENSE": ("MIT", True, "own"), "m/src/a.c": ("MIT", False, "m"), "b/LICENSE.txt": ("BSD-3-Clause", True, "own"), "b/x/y/z.c": ("BSD-3-Clause", False, "b"),
+        "a/COPYING": ("Apache-2.0", True, "own"), "a/deep/er/file.py": ("Apache-2.0", False, "a"), "g/four.c": ("GPL-3.0", False, "own"), "g/lone.c": (None, False, None),
+        "p/header.py": ("Apache-2.0", False, "own"), "p/mpl.js": ("MPL-2.0", False, "own"), "s/spdx.h": ("BSD-3-Clause", False, "own"), "s/inside.md": ("MIT", False, "own"), "s/prose.txt": (None, False, None),
+    }
+
+
+def test_licences_of_repeated_tied_and_long_texts(spark):
+    forms = {"B": ["one two three four"], "A": ["one two three four"], "C": ["five six seven eight"]}
+    text = "zzz yyy xxx one two three four"
+    df = spark.createDataFrame([(1, "d/a", text), (1, "d/a", text), (None, "d/LICENSE", "five six seven eight"), (2, "d/e/x", "w " * 100_000 + text), (3, "d/y", "one two")], "doc_id long, path string, text string")
+    got = collections.Counter((r.doc_id, r.license, r.origin) for r in license_scan.licenses(df, forms).collect())
+    assert got == {(1, "A", "own"): 2, (None, "C", "own"): 1, (2, "A", "own"): 1, (3, "C", "d"): 1}
+
+
+def brute_templates(shapes, many=20, varied=0.5, similar=1.96):
+    """{(host, shape): template} of shapes {(host, shape): (pages, labelled, bad)}, by recursion from the root."""
+    out = {}
+
+    def grow(members, template, level):
+        for key in [k for k in members if len(k[1]) <= level]:
+            out[key] = template
+        deeper = [k for k in members if len(k[1]) > level]
+        child = collections.defaultdict(lambda: np.zeros(3))
+        for k in deeper:
+            child[k[1][level]] += shapes[k]
+        total, following = sum(child.values()), collections.defaultdict(list)
+        for k in deeper:
+            pages, labelled, bad = child[k[1][level]]
+            share = total[2] / max(1, total[1])
+            z = (bad - share * labelled) / math.sqrt(max(share * (1 - share) * labelled, 1e-9))
+            star = len(child) >= many and len(child) >= varied * total[0] or len(child) > 1 and abs(z) < similar and total[1] > 0
+            following[template + "/" + ("*" if star else k[1][level])].append(k)
+        for name, some in following.items():
+            grow(some, name, level + 1)
+
+    for h in {k[0] for k in shapes}:
+        grow([k for k in shapes if k[0] == h], "", 0)
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(9)
+    urls = [f"http://h{rng.randrange(3)}.test/" + "/".join(rng.choice(["a", "b", "c", f"v{rng.randrange(40)}", str(rng.randrange(9))]) for _ in range(rng.randint(0, 5))) for _ in range(400)]
+    urls += ["http://h0.test/" + "deep/" * 60 + x for x in ("a", "b")] + ["http://h1.test/bad/" + "x/" * 8 + f"spam/{i}" for i in range(12)] + ["http://h1.test/bad/" + "x/" * 8 + f"fine/{i}" for i in range(12)]
+    rows = [(i, u, "x", 1) for i, u in enumerate(urls)] + [(None, urls[0], "x", 1), (3, urls[3], "x", 1)]
+    labels = [(i, int("spam" in u or "/a/" in u and rng.random() < 0.8 or rng.random() < 0.1)) for i, u in enumerate(urls) if i % 2] + [(1, 1), (None, 1), (5, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, shape string, purity int")
+    got = url_filter.judge(pages, spark.createDataFrame(labels, "page_id long, bad int"), []).collect()
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            known[i] = max(y, known.get(i, 0))
+    shape = lambda u: tuple("<n>" if x.isdigit() else x for x in u.split("/", 3)[3].split("/"))
+    shapes = collections.defaultdict(lambda: np.zeros(3))
+    for i, u, *_ in rows:
+        shapes[u.split("/")[2], shape(u)] += (1, i in known, known.get(i, 0))
+    template = brute_templates(shapes)
+    sums, hosts = collections.defaultdict(lambda: np.zeros(3)), collections.defaultdict(lambda: np.zeros(3))
+    for k, x in shapes.items():
+        sums[k[0], template[k]] += x
+        hosts[k[0]] += x
+    every = sum(hosts.values())
+    purity = lambda h, t: (sums[h, t][2] + 4 * (hosts[h][2] + 4 * every[2] / every[1]) / (hosts[h][1] + 4)) / (sums[h, t][1] + 4)
+    want = collections.Counter()
+    for i, u, *_ in rows:
+        h, t = u.split("/")[2], template[u.split("/")[2], shape(u)]
+        want[i, "block" if purity(h, t) >= 0.5 and sums[h, t][1] > 0 else "allow"] += 1
+    assert collections.Counter((r.page_id, r.verdict) for r in got) == want
+    assert {r.verdict for r in got if r.path.endswith("spam/1")} == {"block"} and {r.verdict for r in got if r.path.endswith("fine/1")} == {"allow"}
+
+
 def test_url_rules_and_templates(spark):
     urls = ["http://A.example.COM/en/7?x", "https://b.com/en/1#t", "http://c.example.net/de/85", "http://c.example.net/de/7", "x://org/es/", "no scheme", None, "http://h.test/bad/1", "http://com/en", "s://xcom/en/1"]
     urls += [f"http://h.test/bad/{i}" for i in range(2, 40)] + [f"http://h.test/good/{i}" for i in range(40)]
@@ -513,3 +678,12 @@ def test_shards_take_turns(spark):
     assert len(got) == 3 and all(r.shard == owner[h("" if r.doc_id is None else str(r.doc_id)) % 101] for r in got)
     with pytest.raises(ValueError):
         shard_map.lookup_table(spark, names, 100)
+
+
+def test_shards_of_clashing_columns_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", 7, "old", 1), ("a", 7, "old", 1), (None, 8, "new", 2)], "key string, slot int, shard string, owner int")
+    out = shard_map.place(df, "key", ["x", "y"], 7)
+    assert out.columns == ["key", "owner", "slot", "shard"] and out.count() == 3 and {r.shard for r in out.collect()} <= {"x", "y"}
+    by_shard = shard_map.place(df, "shard", ["x", "y"], 7).collect()
+    assert len(by_shard) == 3 and by_shard[0] == by_shard[1]
+    assert shard_map.place(df.limit(0), "key", ["x", "y"], 7).count() == 0
