@@ -50,3 +50,20 @@ def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
         ).otherwise(F.lit(0)),
     )
     return F.when(n < 4, F.lit(False)).otherwise(crossings % 2 == 1)
+
+
+def ring_area_m2(ring: Column) -> Column:
+    """Area on the sphere of a ring of (lon, lat) structs, closed or not."""
+    n = F.size(ring)
+
+    def side(i: Column) -> Column:
+        a, b = F.element_at(ring, i), F.element_at(ring, i % n + 1)
+        return (F.radians(b["lon"]) - F.radians(a["lon"])) * (2 + F.sin(F.radians(a["lat"])) + F.sin(F.radians(b["lat"])))
+
+    return F.abs(F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda t, i: t + side(i))) * (EARTH_M * EARTH_M / 2)
+
+
+def sphere_point(i: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of point i of an even spread over the sphere, by hash."""
+    share = lambda tag: F.conv(F.substring(F.md5(F.concat(i.cast("string"), F.lit(tag))), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    return F.degrees(F.asin(2 * share("#lat") - 1)), 360 * share("#lon") - 180

@@ -67,3 +67,19 @@ def nearest_cell(points: DataFrame, cells: DataFrame) -> DataFrame:
     met = around.join(cells.select(F.col("cell"), F.col("cell_lat").alias("_lat"), F.col("cell_lon").alias("_lon")), ["_lat", "_lon"])
     far = haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
     return met.groupBy("id").agg(F.min(F.struct(far.alias("distance_m"), "cell")).alias("m")).select("id", "m.cell", "m.distance_m")
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """Points (id, lat, lon) with the polygons (ring: array of (lon, lat), closed) that hold them.
+
+    Both sides meet by grid cells of ``cell`` degrees: a polygon in every cell of its frame, a point in its own, so the join
+    is an equi-join and a large polygon's points are spread over its cells.
+    """
+    from haulgraph.functions.geo import point_in_ring
+
+    at = lambda x: F.floor(x / cell)
+    ends = lambda f, c: at(f(F.transform("ring", lambda p: p[c])))
+    rows = F.explode(F.sequence(ends(F.array_min, "lat"), ends(F.array_max, "lat"))).alias("row")
+    spread = polygons.select("*", rows).select("*", F.explode(F.sequence(ends(F.array_min, "lon"), ends(F.array_max, "lon"))).alias("column"))
+    placed = points.select("id", "lat", "lon", at(F.col("lat")).alias("row"), at(F.col("lon")).alias("column"))
+    return placed.join(spread, ["row", "column"]).filter(point_in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).drop("row", "column", "ring", "lat", "lon")

@@ -24,16 +24,15 @@ def destination_bound(branches: DataFrame, conversions: DataFrame, rates: DataFr
     return done.groupBy("branch_id").agg(F.min((F.col("total") + F.col("fee2")) / F.col("eff2")).alias("bound"))
 
 
-def propagate(bounds: DataFrame, conversions: DataFrame, most: int = 20) -> DataFrame:
+def propagate(bounds: DataFrame, conversions: DataFrame) -> DataFrame:
     """Bounds (commodity, bound) carried over conversions until none falls. A few commodities; the loop is short."""
     best = cut(bounds.select("commodity", "bound"))
-    for _ in range(most):
+    while True:
         over = best.join(conversions, F.col("commodity") == F.col("c_from")).select(F.col("c_to").alias("commodity"), ((F.col("bound") + F.col("fee")) / F.col("efficiency")).alias("bound"))
         new = cut(best.unionByName(over).groupBy("commodity").agg(F.min("bound").alias("bound")))
         if new.join(best.withColumnRenamed("bound", "old"), "commodity", "left").filter("old is null or bound < old").isEmpty():
             return new
         best = new
-    return best
 
 
 def probe_entries(entries: DataFrame, routes: DataFrame, k: int = 5, slack: float = 1.00001) -> DataFrame:

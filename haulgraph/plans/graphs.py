@@ -4,24 +4,32 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def place(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share; a local session without one gets its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir: a folder that the driver and all executors share")
+        top = "/tmp/checkpoints"
+    return f"{top.rstrip('/')}/haulgraph-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table in the cluster's shared checkpoint folder; a lost executor costs nothing that is written."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{top.rstrip('/')}/haulgraph-{uuid.uuid4().hex}"
+    path = place(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shortest(edges: DataFrame, sources: DataFrame, most: int = 100) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, cost): cheapest costs from every source (source, node) over directed edges (src, dst, cost)."""
     best = cut(sources.select("source", "node", F.lit(0.0).alias("cost")))
     front = best
-    for _ in range(most):
+    while True:
         step = front.join(edges.select(F.col("src").alias("node"), "dst", F.col("cost").alias("weight")), "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("weight")).alias("cost"))
         front = cut(step.join(best.withColumnRenamed("cost", "known"), ["source", "node"], "left").filter("known is null or cost < known").drop("known"))
         if front.isEmpty():
@@ -55,11 +63,11 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def reachable(edges: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node): everything that directed edges (src, dst) reach from sources (node), themselves included."""
     seen = cut(sources.select("node").distinct())
     front = seen
-    for _ in range(most):
+    while True:
         front = cut(front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
         if front.isEmpty():
             break
@@ -72,3 +80,24 @@ def on_some_path(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFr
     ahead = reachable(edges, starts)
     back = reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends)
     return edges.join(ahead.withColumnRenamed("node", "src"), "src", "left_semi").join(back.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def fewest_hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, hops, path): a path of fewest edges, the least of equals, from each source (source, node)."""
+    seen = cut(sources.select("source", "node", F.lit(0).alias("hops"), F.array("node").alias("path")))
+    front = seen
+    while True:
+        step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("source", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.groupBy("source", "node").agg(F.min(F.struct("hops", "path")).alias("p")).select("source", "node", "p.hops", "p.path")
+        front = cut(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front))
+
+
+def contract(edges: DataFrame, short: float) -> DataFrame:
+    """Edges (src, dst, distance_m) between the groups that edges under ``short`` tie together, the shortest of parallel ones."""
+    group = cut(components(edges.filter(F.col("distance_m") < short).select("src", "dst")))
+    a, b = (group.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("src", "dst"))
+    moved = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_root", "src").alias("a"), F.coalesce("dst_root", "dst").alias("b"), "distance_m").filter("a <> b")
+    return moved.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min("distance_m").alias("distance_m"))

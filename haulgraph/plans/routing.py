@@ -47,3 +47,62 @@ def search(seeds: DataFrame, conversions: DataFrame, segments: DataFrame, goals:
             break
         best = cut(S.keep_best(best.unionByName(front), STATE, ["cost", "hops"]))
     return best
+
+
+KEY = ["start_id", "node", "commodity", "free"]
+FULL = [*KEY, "cost", "hops", "shipped", "visited", "riding"]
+
+
+def steps(front: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Everything a branch may do next, under the rules of its state.
+
+    conversions (node, commodity, to, fee, efficiency) turn it. segments (node, dst, commodity, network, fee, loss) are
+    ridden within the network it rides, or one it has not visited. transfers (node, dst) are free. connectors (node, dst,
+    commodity, fee) are not taken twice in a row. ships (node, dst, commodity, fee, loss) are taken once.
+    """
+    hops, none = (F.col("hops") + 1).alias("hops"), F.lit(None).cast("string").alias("riding")
+    at = ["node", "commodity"]
+    moved = F.col("dst").alias("node")
+    paid = ((F.col("cost") + F.col("fee")) / (1 - F.col("loss"))).alias("cost")
+    turned = front.join(tables["conversions"], at).select("start_id", "node", F.col("to").alias("commodity"), "free", C.convert(F.col("cost"), F.col("fee"), F.col("efficiency")).alias("cost"), hops, "shipped", "visited", "riding")
+    may = F.col("network").eqNullSafe(F.col("riding")) | ~F.array_contains("visited", F.col("network"))
+    been = F.array_sort(F.array_union("visited", F.array("network"))).alias("visited")
+    ridden = front.join(tables["segments"], at).filter(may).select("start_id", moved, "commodity", F.lit(True).alias("free"), paid, hops, "shipped", been, F.col("network").alias("riding"))
+    crossed = front.join(tables["transfers"], "node").select("start_id", moved, "commodity", "free", "cost", hops, "shipped", "visited", none)
+    joined = front.filter("free").join(tables["connectors"], at).select("start_id", moved, "commodity", F.lit(False).alias("free"), (F.col("cost") + F.col("fee")).alias("cost"), hops, "shipped", "visited", none)
+    sailed = front.filter("not shipped").join(tables["ships"], at).select("start_id", moved, "commodity", F.lit(True).alias("free"), paid, hops, F.lit(True).alias("shipped"), "visited", none)
+    return turned.unionByName(ridden).unionByName(crossed).unionByName(joined).unionByName(sailed)
+
+
+def least_fee(tables: dict[str, DataFrame], goals: DataFrame) -> DataFrame:
+    """(node, lower): what leaving a node costs at least, whatever is carried; nothing at goals."""
+    fees = [tables[t].select("node", "fee") for t in ("segments", "connectors", "ships")] + [tables["transfers"].select("node", F.lit(0.0).alias("fee")), goals.select("node", F.lit(0.0).alias("fee"))]
+    every = fees[0]
+    for f in fees[1:]:
+        every = every.unionByName(f)
+    return every.groupBy("node").agg(F.min("fee").alias("lower"))
+
+
+def fixpoint(seeds: DataFrame, tables: dict[str, DataFrame], goals: DataFrame, prune: bool = True) -> DataFrame:
+    """Best states (FULL) of every start under all rules, once no branch is left.
+
+    A state's key is its node, commodity and whether a connector may follow; of equal keys the cheapest stays, with its
+    visited networks and whether it shipped (equal costs: fewer hops, not shipped, the lesser list). With ``prune``, a
+    branch goes whose cost and least fee ahead exceed its start's best arrival: no step lowers a cost, so it cannot arrive
+    cheaper. seeds: start_id, node, commodity, cost. Tables written for a step go when a later one has replaced them.
+    """
+    order = ["cost", "hops", "shipped", "visited"]
+    first = seeds.select("start_id", "node", "commodity", F.lit(True).alias("free"), "cost", F.lit(0).alias("hops"), F.lit(False).alias("shipped"), F.array().cast("array<string>").alias("visited"), F.lit(None).cast("string").alias("riding"))
+    best = cut(S.keep_best(first, KEY, order))
+    lower = cut(least_fee(tables, goals))
+    front = best
+    while True:
+        grown = steps(front, tables).filter(C.is_finite(F.col("cost")))
+        if prune:
+            bound = best.join(goals, "node", "left_semi").groupBy("start_id").agg(F.min("cost").alias("bound"))
+            ahead = grown.join(lower, "node").withColumn("_least", F.col("cost") + F.col("lower"))
+            grown = S.within_bound(ahead, bound, "start_id", "_least").select(FULL)
+        front = cut(S.not_dominated(S.keep_best(grown, KEY, order), best, KEY, "cost", strict=True))
+        if front.isEmpty():
+            return best
+        best = cut(S.keep_best(best.unionByName(front), KEY, order))

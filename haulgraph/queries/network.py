@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from haulgraph.functions import cost as C
 from haulgraph.operators import spatial as X
 from haulgraph.operators import state as S
 from haulgraph.plans import graphs as G
@@ -111,36 +112,65 @@ def two_way_reachability(spark, d):
     return G.on_some_path(e, one(1), one(38))
 
 
-STEPS = 4
-_ROUTES = f"""{views('edges', 'starts')}, {_BOTH}, s AS (SELECT src, dst, c AS commodity, distance_m / 1000 * 0.01::DOUBLE * (c + 1) AS fee, 0.01::DOUBLE * c AS loss FROM b, range(3) t(c)),
+_STATE = f"""{views('edges', 'starts')}, {_BOTH}, s AS (SELECT src, dst, c AS commodity, distance_m / 1000 * 0.01::DOUBLE * (c + 1) AS fee, 0.01::DOUBLE * c AS loss, graph_id AS network FROM (SELECT src, dst, distance_m, graph_id FROM edges UNION ALL SELECT dst, src, distance_m, graph_id FROM edges), range(3) t(c)),
 v AS (SELECT key AS node, a AS commodity, z AS to_c, (key * 31 + a * 7 + z * 3) % 50 + 1 AS fee, 0.6::DOUBLE + ((a * 5 + z * 11) % 40) / 100::DOUBLE AS efficiency FROM nodes, range(3) x(a), range(3) y(z) WHERE convertible AND a <> z),
-r AS (SELECT start_id, start_id % (SELECT count(*) FROM supplier) AS node, 0::BIGINT AS commodity, cost, 0 AS hops FROM starts
- UNION ALL SELECT start_id, n, c, x, hops + 1 FROM (
-  SELECT start_id, dst AS n, r.commodity AS c, (cost + fee) / (1 - loss) AS x, hops FROM r JOIN s ON r.node = s.src AND r.commodity = s.commodity WHERE hops < {STEPS}
-  UNION ALL SELECT start_id, r.node, to_c, (cost + fee) / efficiency, hops FROM r JOIN v ON r.node = v.node AND r.commodity = v.commodity WHERE hops < {STEPS}))"""
+far AS (SELECT a.key AS src, b.key AS dst, a.node_type = 'port' AND b.node_type = 'port' AS ports, coalesce(a.graph_id, 'SEA') <> coalesce(b.graph_id, 'SEA') AS other, {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS distance_m FROM nodes a JOIN nodes b ON a.key <> b.key),
+x AS (SELECT src, dst FROM far WHERE other AND distance_m <= 300000),
+j AS (SELECT src, dst, c AS commodity, distance_m * 1.5::DOUBLE / 1000 * 0.05::DOUBLE * (c + 1) AS fee FROM far, range(3) t(c) WHERE other AND distance_m > 300000 AND distance_m <= 900000),
+h AS (SELECT src, dst, c AS commodity, distance_m / 1000 * 0.004::DOUBLE * (c + 1) AS fee, distance_m / 1000 / 25 / 24 * 0.002::DOUBLE * (c + 1) AS loss FROM far, range(3) t(c) WHERE ports AND distance_m <= 6000000),
+"""
 
 
-def _routes(spark, d, prune, most):
-    e = S.both_ways(V.edges(spark, d).select("src", "dst", "distance_m"), "src", "dst")
+def _routes(spark, d):
+    """The tables of a routing run: conversions, segments, transfers, connectors, ships; seeds; goals."""
+    e = S.both_ways(V.edges(spark, d).select("src", "dst", "distance_m", "graph_id"), "src", "dst")
     kinds = F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))
-    segments = e.withColumn("commodity", F.explode(kinds)).select("src", "dst", "commodity", (F.col("distance_m") / 1000 * 0.01 * (F.col("commodity") + 1)).alias("fee"), (F.col("commodity") * 0.01).alias("loss"))
+    each = lambda df: df.withColumn("commodity", F.explode(kinds))
+    km, kind = F.col("distance_m") / 1000, F.col("commodity") + 1
+    segments = each(e).select(F.col("src").alias("node"), "dst", "commodity", F.col("graph_id").alias("network"), (km * 0.01 * kind).alias("fee"), (F.col("commodity") * 0.01).alias("loss"))
     n = V.nodes(spark, d)
     pairs = n.filter("convertible").select(F.col("key").alias("node")).withColumn("commodity", F.explode(kinds)).withColumn("to", F.explode(kinds)).filter("commodity <> to")
     conversions = pairs.select("node", "commodity", "to", ((F.col("node") * 31 + F.col("commodity") * 7 + F.col("to") * 3) % 50 + 1).cast("double").alias("fee"), (F.lit(0.6) + ((F.col("commodity") * 5 + F.col("to") * 11) % 40) / 100.0).alias("efficiency"))
+    graph = n.select(F.col("key").alias("l_id"), F.coalesce("graph_id", F.lit("SEA")).alias("a")), n.select(F.col("key").alias("r_id"), F.coalesce("graph_id", F.lit("SEA")).alias("b"))
+    near = G.cut(X.within_distance(_points(n, "key", "l"), _points(n, "key", "r"), 900_000.0).join(graph[0], "l_id").join(graph[1], "r_id").filter("a <> b").select(F.col("l_id").alias("node"), F.col("r_id").alias("dst"), "distance_m"))
+    transfers = near.filter("distance_m <= 300000").select("node", "dst")
+    connectors = each(near.filter("distance_m > 300000")).select("node", "dst", "commodity", (C.detour(F.col("distance_m"), 300_000.0) / 1000 * 0.05 * kind).alias("fee"))
+    ports = n.filter("node_type = 'port'")
+    lanes = X.within_distance(_points(ports, "key", "l"), _points(ports, "key", "r"), 6_000_000.0).filter("l_id <> r_id").select(F.col("l_id").alias("node"), F.col("r_id").alias("dst"), "distance_m")
+    ships = each(lanes).select("node", "dst", "commodity", (km * 0.004 * kind).alias("fee"), (km / 25 / 24 * 0.002 * kind).alias("loss"))
     size = V.read(spark, d, "supplier").count()
     seeds = V.starts(spark, d).select("start_id", (F.col("start_id") % size).alias("node"), F.lit(0).cast("long").alias("commodity"), "cost")
     goals = n.filter(F.col("key") % 5 == 2).select(F.col("key").alias("node"))
-    return R.search(seeds, G.cut(conversions), G.cut(segments), goals, most, prune), goals
-
-
-@query(f"{_ROUTES} SELECT start_id, round(min(cost), 8) AS cost FROM r WHERE node % 5 = 2 GROUP BY start_id")
-def routing_fixpoint(spark, d, most=STEPS):
-    """Each start's cheapest arrival at a goal within ``most`` steps (None: no limit; the SQL has ``STEPS``), with bounds."""
-    best, goals = _routes(spark, d, True, most)
+    tables = {"conversions": conversions, "segments": segments, "transfers": transfers, "connectors": connectors, "ships": ships}
+    return seeds, {k: G.cut(t) for k, t in tables.items()}, goals
+
+
+@query(f"""{_STATE} r(start_id, node, commodity, free, cost, hops, shipped, visited, riding) USING KEY (start_id, node, commodity, free) AS (
+ SELECT start_id, start_id % (SELECT count(*) FROM supplier), 0::BIGINT, true, cost, 0, false, []::VARCHAR[], NULL::VARCHAR FROM starts
+ UNION SELECT g.start_id, g.node, g.commodity, g.free, g.b.cost, g.b.hops, g.b.shipped, g.b.visited, g.b.riding FROM (
+  SELECT start_id, node, commodity, free, min({{'cost': cost, 'hops': hops, 'shipped': shipped, 'visited': visited, 'riding': riding}}) AS b FROM (
+   SELECT start_id, r.node, to_c AS commodity, free, (cost + fee) / efficiency AS cost, hops + 1 AS hops, shipped, visited, riding FROM r JOIN v ON r.node = v.node AND r.commodity = v.commodity
+   UNION ALL SELECT start_id, dst, r.commodity, true, (cost + fee) / (1 - loss), hops + 1, shipped, list_sort(list_distinct(list_append(visited, network))), network FROM r JOIN s ON r.node = s.src AND r.commodity = s.commodity WHERE network IS NOT DISTINCT FROM riding OR NOT list_contains(visited, network)
+   UNION ALL SELECT start_id, dst, commodity, free, cost, hops + 1, shipped, visited, NULL FROM r JOIN x ON r.node = x.src
+   UNION ALL SELECT start_id, dst, r.commodity, false, cost + fee, hops + 1, shipped, visited, NULL FROM r JOIN j ON r.node = j.src AND r.commodity = j.commodity WHERE free
+   UNION ALL SELECT start_id, dst, r.commodity, true, (cost + fee) / (1 - loss), hops + 1, true, visited, NULL FROM r JOIN h ON r.node = h.src AND r.commodity = h.commodity WHERE NOT shipped)
+  GROUP BY start_id, node, commodity, free) g LEFT JOIN recurring.r k ON k.start_id = g.start_id AND k.node = g.node AND k.commodity = g.commodity AND k.free = g.free WHERE k.cost IS NULL OR g.b.cost < k.cost)
+SELECT start_id, round(min(cost), 8) AS cost FROM r WHERE node % 5 = 2 GROUP BY start_id""")
+def routing_fixpoint(spark, d):
+    """Each start's cheapest arrival at a goal under all rules, with bounds, until no branch is left."""
+    seeds, tables, goals = _routes(spark, d)
+    best = R.fixpoint(seeds, tables, goals)
     return best.join(goals, "node", "left_semi").groupBy("start_id").agg(F.round(F.min("cost"), 8).alias("cost"))
 
 
-@query(f"{_ROUTES} SELECT start_id, node, commodity, round(min(cost), 8) AS cost FROM r GROUP BY ALL")
-def export_enumeration(spark, d, most=STEPS):
-    """Every state a start reaches within ``most`` steps (None: no limit; the SQL has ``STEPS``), at its least cost."""
-    return _routes(spark, d, False, most)[0].select("start_id", "node", "commodity", F.round("cost", 8).alias("cost"))
+@query(f"""{_STATE} r(start_id, node, commodity, cost) USING KEY (start_id, node, commodity) AS (SELECT start_id, start_id % (SELECT count(*) FROM supplier) AS node, 0::BIGINT AS commodity, cost FROM starts
+ UNION SELECT x.start_id, x.node, x.commodity, x.cost FROM (SELECT start_id, node, commodity, min(cost) AS cost FROM (
+  SELECT start_id, dst AS node, r.commodity, (cost + fee) / (1 - loss) AS cost FROM r JOIN s ON r.node = s.src AND r.commodity = s.commodity
+  UNION ALL SELECT start_id, r.node, to_c, (cost + fee) / efficiency FROM r JOIN v ON r.node = v.node AND r.commodity = v.commodity) GROUP BY ALL) x
+  LEFT JOIN recurring.r k ON k.start_id = x.start_id AND k.node = x.node AND k.commodity = x.commodity WHERE k.cost IS NULL OR x.cost < k.cost)
+SELECT start_id, node, commodity, round(cost, 8) AS cost FROM r""")
+def export_enumeration(spark, d):
+    """Every state a start reaches by conversions and segments, at its least cost, until no branch is left."""
+    seeds, tables, goals = _routes(spark, d)
+    best = R.search(seeds, tables["conversions"], tables["segments"].withColumnRenamed("node", "src"), goals, prune=False)
+    return best.select("start_id", "node", "commodity", F.round("cost", 8).alias("cost"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import re
 
@@ -72,3 +74,46 @@ def safe_name(name: str, most: int = 120) -> str:
     clean = re.sub(r"[^\w.-]+", "_", name).strip("._") or "unnamed"
     stem, ending = os.path.splitext(clean)
     return stem[: most - len(ending)] + ending
+
+
+def partitioned(df: DataFrame, *by: str, path: str | None = None) -> DataFrame:
+    """``df`` written by folders of ``by`` and read again; filters on them list only their folders."""
+    from haulgraph.plans.graphs import place
+
+    path = path or place(df.sparkSession)
+    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append_status(df: DataFrame, path: str, scenario: str) -> None:
+    """Results with their status added to a table by scenario; what other scenarios wrote stays."""
+    df.withColumn("scenario", F.lit(scenario)).write.mode("append").partitionBy("scenario").parquet(path)
+
+
+def snapshot(df: DataFrame, path: str, *order: str) -> None:
+    """The whole table in place of the last snapshot, committed as one, sorted within its files."""
+    (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").parquet(path)
+
+
+def append_events(spark: SparkSession, path: str, events: list[dict]) -> None:
+    """Telemetry records of a driver added as JSON lines; numbers that are not finite become text."""
+    odd = lambda v: isinstance(v, float) and not math.isfinite(v)
+    lines = [(json.dumps({k: str(v) if odd(v) else v for k, v in e.items()}),) for e in events]
+    if lines:
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(path)
+
+
+def write_adjacency(pairs: DataFrame, path: str, node: str, other: str) -> None:
+    """Pairs as one JSON record of a node and its sorted others a line."""
+    pairs.groupBy(node).agg(F.array_sort(F.collect_set(other)).alias("others")).write.mode("overwrite").json(path)
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """A completion marker, by which a later run skips what is done."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_DONE")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True).close()
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_DONE")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
