@@ -79,6 +79,8 @@ TEMPLATES = {
 }
 # Fixed value: how licence files are called, with any ending.
 LICENCE_NAMES = "^(licen[cs]e|copying|unlicense|copyright|notice)([._-].*)?$"
+# Words of any prose, the last by which a text is told to hold a template.
+COMMON = "a all an and any are as at be but by can do for from has have if in is it may no not of on one or out such that the this to use was we will with you".split()
 SHORT, SHORT_LEAST = 20, 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -99,7 +101,7 @@ def templates(texts: dict[str, list[str]], least: float) -> tuple[dict[str, floa
 
 def keys(vector: dict[str, float], idf: dict[str, float], least: float) -> set[str]:
     """Words, the rarest first, of which a window of ``least`` or more has one: the others' squared weight is too low."""
-    order = sorted(vector, key=lambda w: (-idf[w], w))
+    order = sorted(vector, key=lambda w: (w in COMMON, -idf[w], w))
     left, out = sum(x * x for x in vector.values()), set()
     for w in order:
         if left < least * least - 1e-4:
@@ -121,11 +123,14 @@ def scan(files: DataFrame, texts: dict[str, list[str]] | None = None, least: flo
     telling = _literal(sorted(set().union(*(keys(f["vector"], idf, f["least"]) for f in forms))))
     none = F.array().cast("array<struct<score:double,name:string,n:int>>")
 
-    def best(form: dict) -> F.Column:
-        """The form's best window, if it has what ``least`` asks for."""
+    def enough(form: dict) -> F.Column:
+        """Whether the whole text shares with the form what ``least`` asks for."""
         mine, mass = _literal(form["vector"]), _literal([x * x for x in form["vector"].values()])
-        size, n, step = F.size("words"), form["n"], form["step"]
-        enough = add(F.zip_with(mine, mass, lambda w, x: F.when(F.array_contains("shared", w), x).otherwise(0.0)), lambda x: x) >= form["least"] ** 2 - 1e-4
+        return add(F.zip_with(mine, mass, lambda w, x: F.when(F.array_contains("shared", w), x).otherwise(0.0)), lambda x: x) >= form["least"] ** 2 - 1e-4
+
+    def best(at: int, form: dict) -> F.Column:
+        """The form's best window, if the text can have one."""
+        mine, size, n, step = _literal(form["vector"]), F.size("words"), form["n"], form["step"]
         share = _literal([x * idf[w] for w, x in form["vector"].items()])
 
         def score(k):
@@ -136,12 +141,14 @@ def scan(files: DataFrame, texts: dict[str, list[str]] | None = None, least: flo
 
         last = F.greatest(F.lit(0), F.ceil((size - n) / F.lit(step)).cast("int"))
         top = F.array_max(F.transform(F.sequence(F.lit(0), last), score))
-        return F.when((size > 0) & enough, F.struct(top.alias("score"), F.lit(form["name"]).alias("name"), F.lit(n).alias("n")))
+        return F.when((size > 0) & F.col("passing")[at], F.struct(top.alias("score"), F.lit(form["name"]).alias("name"), F.lit(n).alias("n")))
 
     rows = files.select("doc_id", "path", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
     rows = rows.withColumn("shared", F.array_intersect("words", _literal(idf)))
-    rows = rows.withColumn("squares", F.when(F.arrays_overlap("shared", telling), F.transform("words", lambda w: F.pow(F.coalesce(F.try_element_at(weight_of, w), F.lit(rare)), F.lit(2.0)))))
-    found = F.filter(F.array(*map(best, forms)), lambda h: h.isNotNull())
+    rows = rows.withColumn("passing", F.when(F.arrays_overlap("shared", telling), F.array(*map(enough, forms))))
+    square = lambda w: F.pow(F.coalesce(F.try_element_at(weight_of, w), F.lit(rare)), F.lit(2.0))
+    rows = rows.withColumn("squares", F.when(F.exists("passing", lambda x: x), F.transform("words", square)))
+    found = F.filter(F.array(*(best(k, f) for k, f in enumerate(forms))), lambda h: h.isNotNull())
     rows = rows.withColumn("hits", F.when(F.col("squares").isNotNull(), found).otherwise(none))
     passes = lambda h: h["score"] >= F.when(h["n"] < SHORT, F.lit(max(least, SHORT_LEAST))).otherwise(F.lit(least))
     ahead = lambda a, x: (x["score"] > a["score"]) | ((x["score"] == a["score"]) & ((x["name"] < a["name"]) | ((x["name"] == a["name"]) & (x["n"] > a["n"]))))
