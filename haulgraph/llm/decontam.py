@@ -240,6 +240,8 @@ def _unbroken(words: list[int], text: list[int]) -> bool:
 def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_latent: np.ndarray, shared: _Shared, cosine: float, copy: float, paraphrase: float, least: int):
     names = ["doc_id", "row_key", "item_id", "common", "share", "kind"]
     sets = [set(words) for _, words, _ in items]
+    lengths = [len(words) for _, words, _ in items]
+    repeats = [len(words) - len(own) for (_, words, _), own in zip(items, sets, strict=True)]
     telling = (latent != 0).any(1)
     widest = max(0, max(len(words) for _, words, _ in items) - HALF)
 
@@ -262,23 +264,34 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
                     pairs.append(used[k + w] * len(items) + i)
                 best: dict[tuple[int, int], tuple] = {}
                 key = np.unique(np.concatenate(pairs))
+                # no subsequence is longer than the item's words that are there at all: first in the whole text, then around
+                worded = np.flatnonzero(count)
+                owner = worded[np.searchsorted(first[worded], key // len(items), side="right") - 1]
+                both, back = np.unique(owner * len(items) + key % len(items), return_inverse=True)
+                can, last = np.zeros(len(both), bool), -1
+                for k, (row, i) in enumerate(zip(*(x.tolist() for x in np.divmod(both, len(items))), strict=True)):
+                    if row != last:
+                        last, there = row, set(h[begin[row] : begin[row] + count[row]].tolist())
+                    can[k] = repeats[i] + len(sets[i] & there) >= paraphrase * lengths[i]
+                key, owner = key[can[back]], owner[can[back]]
                 for k in range(0, len(key), 100_000):
-                    last = -1
-                    for window, i in zip(*(x.tolist() for x in np.divmod(key[k : k + 100_000], len(items))), strict=True):
+                    last, near, tried = -1, None, {}
+                    for window, i, row in zip(*(x.tolist() for x in np.divmod(key[k : k + 100_000], len(items))), owner[k : k + 100_000].tolist(), strict=True):
                         if window != last:
                             last = window
-                            row = int(np.searchsorted(first, window, side="right")) - 1
-                            while count[row] == 0:
-                                row -= 1
                             at, low, high = int(begin[row]) + (window - int(first[row])) * HALF, int(begin[row]), int(begin[row] + count[row])
-                            around = h[max(low, at - widest) : min(high, at + WINDOW + widest)].tolist()
-                            there = set(around)
-                        _, words, answer = items[i]
-                        # no subsequence is longer than the item's words that are there at all
-                        if len(words) - len(sets[i]) + len(sets[i] & there) < paraphrase * len(words):
+                            wide = max(low, at - widest), min(high, at + WINDOW + widest)
+                            if wide != near:
+                                near, there = wide, set(h[wide[0] : wide[1]].tolist())
+                        if repeats[i] + len(sets[i] & there) < paraphrase * lengths[i]:
+                            continue
+                        reach = max(0, lengths[i] - HALF)
+                        part = max(low, at - reach), min(high, at + WINDOW + reach)
+                        if tried.get(i) == part:  # the same words as of the window before
                             continue
-                        reach = max(0, len(words) - HALF)
-                        text = h[max(low, at - reach) : min(high, at + WINDOW + reach)].tolist()
+                        tried[i] = part
+                        _, words, answer = items[i]
+                        text = h[part[0] : part[1]].tolist()
                         if len(words) < least and not _unbroken(words, text):
                             continue
                         common = lcs(words, text)
