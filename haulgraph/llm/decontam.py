@@ -172,18 +172,25 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"block": first.column("block"), "part": first.column("part"), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def lcs(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
+def places(a: list[int]) -> dict[int, int]:
+    """Where each word stands, as bits."""
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for y in b:
-        if (m := where.get(y)) is not None:
-            u = v & m
-            v = (v + u | v - u) & full
-    return len(a) - v.bit_count()
+    return where
+
+
+def lcs_of(where: dict[int, int], n: int, b: list[int]) -> int:
+    """Length of the longest common subsequence with ``n`` words of such places, by bit-parallel rows."""
+    v = full = (1 << n) - 1
+    for m in filter(None, map(where.get, b)):
+        u = v & m
+        v = (v + u | v - u) & full
+    return n - v.bit_count()
+
+
+def lcs(a: list[int], b: list[int]) -> int:
+    return lcs_of(places(a), len(a), b)
 
 
 class _Shared:
@@ -239,11 +246,12 @@ def _unbroken(words: list[int], text: list[int]) -> bool:
 
 def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_latent: np.ndarray, shared: _Shared, cosine: float, copy: float, paraphrase: float, least: int):
     names = ["doc_id", "row_key", "item_id", "common", "share", "kind"]
-    sets = [set(words) for _, words, _ in items]
+    sets = [set(vocabulary.number(np.array(words, U64)).tolist()) for _, words, _ in items]
     lengths = [len(words) for _, words, _ in items]
+    where = [places(words) for _, words, _ in items]
     repeats = [len(words) - len(own) for (_, words, _), own in zip(items, sets, strict=True)]
     telling = (latent != 0).any(1)
-    widest = max(0, max(len(words) for _, words, _ in items) - HALF)
+    widest = -(-max(0, max(len(words) for _, words, _ in items) - HALF) // HALF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,6 +260,8 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
                     continue
                 window, item = shared.windows(number, half, n)
                 pairs = [window * len(items) + item]
+                # the vocabulary's words of every half window, one after another
+                every, at_half = number, np.searchsorted(half, np.arange(n + 1))
                 live = telling[number]
                 number, half = number[live], half[live]
                 used = np.unique(np.concatenate((half, np.maximum(half - 1, 0))))
@@ -265,13 +275,13 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
                 best: dict[tuple[int, int], tuple] = {}
                 key = np.unique(np.concatenate(pairs))
                 # no subsequence is longer than the item's words that are there at all: first in the whole text, then around
-                worded = np.flatnonzero(count)
+                worded, ends = np.flatnonzero(count), np.concatenate((first[1:], [n]))
                 owner = worded[np.searchsorted(first[worded], key // len(items), side="right") - 1]
                 both, back = np.unique(owner * len(items) + key % len(items), return_inverse=True)
                 can, last = np.zeros(len(both), bool), -1
                 for k, (row, i) in enumerate(zip(*(x.tolist() for x in np.divmod(both, len(items))), strict=True)):
                     if row != last:
-                        last, there = row, set(h[begin[row] : begin[row] + count[row]].tolist())
+                        last, there = row, set(every[at_half[first[row]] : at_half[ends[row]]].tolist())
                     can[k] = repeats[i] + len(sets[i] & there) >= paraphrase * lengths[i]
                 key, owner = key[can[back]], owner[can[back]]
                 for k in range(0, len(key), 100_000):
@@ -280,9 +290,9 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
                         if window != last:
                             last = window
                             at, low, high = int(begin[row]) + (window - int(first[row])) * HALF, int(begin[row]), int(begin[row] + count[row])
-                            wide = max(low, at - widest), min(high, at + WINDOW + widest)
+                            wide = max(int(first[row]), window - widest), min(int(ends[row]), window + 2 + widest)
                             if wide != near:
-                                near, there = wide, set(h[wide[0] : wide[1]].tolist())
+                                near, there = wide, set(every[at_half[wide[0]] : at_half[wide[1]]].tolist())
                         if repeats[i] + len(sets[i] & there) < paraphrase * lengths[i]:
                             continue
                         reach = max(0, lengths[i] - HALF)
@@ -294,7 +304,7 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
                         text = h[part[0] : part[1]].tolist()
                         if len(words) < least and not _unbroken(words, text):
                             continue
-                        common = lcs(words, text)
+                        common = lcs_of(where[i], lengths[i], text)
                         share = common / len(words)
                         kind = "copy" if share >= copy else "paraphrase" if share >= paraphrase and lcs(answer, text) >= 0.8 * len(answer) else None
                         if kind and (old := best.get((row, i))) is None or kind and old[0] < common:
