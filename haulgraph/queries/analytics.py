@@ -77,11 +77,11 @@ def boxplot_stats(spark, d):
     return e.groupBy(F.col("event_type").alias("k")).agg(F.min("value").alias("low"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("mid"), F.max("value").alias("high"), F.count("value").alias("n"), least.alias("least_id"))
 
 
-@query(f"""{views("steps")}, r AS (SELECT route AS k, string_agg(flag || status, '>' ORDER BY n) AS signature, sum(quantity) AS q FROM steps WHERE n <= 3 GROUP BY 1),
+@query(f"""{views("steps")}, r AS (SELECT route AS k, string_agg(flag || status, '>' ORDER BY n) AS signature, sum(quantity) AS q FROM steps GROUP BY 1),
 s AS (SELECT signature, count(*) AS n, round(avg(q), 6) AS quantity, round(count(*) / (SELECT count(*) FROM r), 6) AS share FROM r GROUP BY 1)
 SELECT signature, n, quantity, share, row_number() OVER (ORDER BY n DESC, quantity DESC, signature) AS rank FROM s QUALIFY rank <= 10""")
 def ranked_signatures(spark, d):
-    return R.ranked_signatures(V.steps(spark, d).filter("n <= 3").select(F.col("route").alias("k"), "n", F.concat("flag", "status").alias("part"), F.col("quantity").alias("q")))
+    return R.ranked_signatures(V.steps(spark, d).select(F.col("route").alias("k"), "n", F.concat("flag", "status").alias("part"), F.col("quantity").alias("q")))
 
 
 @query("SELECT l_orderkey AS k, round(list_reduce([1::DOUBLE] || [x.e FOR x IN list_sort(list({'n': l_linenumber, 'e': 1 - l_tax}))], lambda a, b: a * b), 9) AS efficiency FROM lineitem GROUP BY 1")
