@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, license_scan, lm_score, toxicity, url_filter
+from . import ann, elkan, filter_audit, license_scan, lm_score, quality_rules, toxicity, url_filter
 from .common import table
 from .decontam import leaks
 from .license_scan import licenses
@@ -79,6 +79,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.failure_masks(table(spark, sf_dir, "documents"), F.col("lang"))
+    return filter_audit.audit(masks, table(spark, sf_dir, "labels"), filters=5)
+
+
+def op12_elkan_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster(table(spark, sf_dir, "embeddings"), F.col("embedding"), F.col("vec_id"), k=40, rounds=5)
+
+
+def op13_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"), F.col("source"), most_docs=10, most_per_mille=1, least_left=50)
+
+
 QUERIES = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -90,6 +103,9 @@ QUERIES = {
     "op8_shard_table": op8_shard_table,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_elkan_clustering": op12_elkan_clustering,
+    "op13_line_frequency": op13_line_frequency,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,6 +114,26 @@ _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
 _IDF, _RARE, _FORMS = license_scan.templates(license_scan.TEMPLATES, 0.6)
 _HASH = "('0x' || substr(md5({}), 1, 12))::BIGINT"
 
+_RUNS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _elkan_sql(k: int, rounds: int) -> str:
+    """Rounds of assignments a0, a1, ... to centroids c0, c1, ..., written one after another."""
+    square = "list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    parts = [
+        """e AS MATERIALIZED (SELECT row_number() OVER () AS row_key, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS m FROM e) WHERE c < {k})",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT row_key, vec_id, v, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT row_key, vec_id, v, c, {square} AS d FROM e, c{t}) GROUP BY row_key, vec_id, v)")
+        if t < rounds:
+            parts.append(f"""c{t + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{t} o LEFT JOIN (SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS m FROM (
+ SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{t}) GROUP BY c, i) GROUP BY c) n USING (c))""")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
 SQL: dict[str, str] = {
     "op3_license_scan": f"""
 WITH t(id, name, n, step, least) AS (VALUES {", ".join(f"({k}, '{f['name']}', {f['n']}, {f['step']}, {f['least']}::DOUBLE)" for k, f in enumerate(_FORMS))}),
@@ -148,4 +184,38 @@ t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
              coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
 SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(kept) AS kept_chars, md5(kept) AS kept_md5
 FROM split s LEFT JOIN t ON s.doc_id = t.doc_id""",
+    "op11_filter_audit": f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_RUNS.format("coalesce(text, '')")} AS words FROM documents),
+f AS (SELECT doc_id, part, (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x(i, l) AS (VALUES (1, 'A'), (2, 'B'), (4, 'C'), (8, 'D'), (16, 'E')),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS bits, a.l || b.l || c.l || d.l || e.l AS filter_order FROM x a, x b, x c, x d, x e WHERE a.i + b.i + c.i + d.i + e.i = 31 AND len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, k::INT AS step, bits[k] AS own, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS before FROM o, range(1, 6) t(k)),
+r AS (SELECT part, filter_order, step, own,
+        sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN bad ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""",
+    "op12_elkan_clustering": _elkan_sql(40, 5),
+    "op13_line_frequency": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row_key, doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, '')) AS print FROM documents),
+w AS (SELECT row_key, {_RUNS.format("t")} AS words FROM d),
+p AS (SELECT row_key, unnest(words) AS w, unnest(range(len(words))) AS i FROM w),
+g AS (SELECT row_key, i, {" || ' ' || ".join(f"lead(w, {k}) OVER o" for k in range(8))} AS run FROM p WINDOW o AS (PARTITION BY row_key ORDER BY i)),
+again AS (SELECT g.row_key, g.i FROM g JOIN (SELECT row_key, run FROM g WHERE run IS NOT NULL GROUP BY row_key, run HAVING count(*) > 1) x ON g.row_key = x.row_key AND g.run = x.run),
+r AS (SELECT row_key, count(DISTINCT i + j) AS n FROM again, range(8) t(j) GROUP BY row_key),
+l AS (SELECT row_key, source, print, unnest(string_split(t, chr(10))) AS line FROM d),
+n AS (SELECT row_key, source, print, line, {_RUNS.format("regexp_replace(" + _LOWER.format("line") + ", '[0-9]', '0', 'g')")} AS words FROM l),
+k AS (SELECT row_key, source, print, line, array_to_string(words, ' ') AS line_key, len(words) AS n FROM n WHERE len(words) > 0),
+u AS (SELECT row_key, count(*) - count(DISTINCT line) AS n FROM k GROUP BY row_key),
+c AS (SELECT a.source, line_key FROM (SELECT source, line_key, count(DISTINCT print) AS docs FROM k GROUP BY source, line_key) a JOIN (SELECT source, count(DISTINCT print) AS whole FROM d GROUP BY source) b ON a.source IS NOT DISTINCT FROM b.source
+      WHERE docs > 10 AND docs * 1000 > whole),
+z AS (SELECT row_key, sum(n) AS n FROM k JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.line_key = c.line_key GROUP BY row_key),
+s AS (SELECT doc_id, len(words) AS n_words, coalesce(length(array_to_string(words, '')), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(z.n, 0)::BIGINT AS n_lost_words
+      FROM d JOIN w USING (row_key) LEFT JOIN u USING (row_key) LEFT JOIN r USING (row_key) LEFT JOIN z USING (row_key))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (n_words - n_lost_words) >= 50 * n_words AS kept FROM s""",
 }
