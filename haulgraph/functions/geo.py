@@ -14,6 +14,17 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.ceil(F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))).cast("double")
 
 
+def arc_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle metres, as they are."""
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+
+def wrap(lon: Column) -> Column:
+    """A longitude, or a difference of two, from -180 to 180; what is there already stays as it is."""
+    return F.when(lon.between(-180, 180), lon).otherwise(F.pmod(lon + 180, F.lit(360.0)) - 180)
+
+
 def round_quarter(x: Column) -> Column:
     """The nearest quarter of a degree, halves upward, the same way on both sides of zero."""
     return F.floor(x * 4 + 0.5) / 4.0
