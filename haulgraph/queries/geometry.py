@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from haulgraph.operators.polygons import nearest_polygon
+from haulgraph.operators.spatial import in_polygons
 from haulgraph.plans import lines as L
+from haulgraph.plans.cells import signed_area, union, voronoi
 from haulgraph.plans.graphs import Written
 from haulgraph.sources import network_view as V
 
@@ -93,8 +95,41 @@ every AS (SELECT start_id, land, m FROM dist WHERE m <= {LIMIT_M} UNION ALL SELE
 SELECT start_id, arg_min(land, {{'m': m, 'l': land}}) AS land, round(min(m), 2) AS distance_m FROM every GROUP BY start_id""")
 def nearest_land(spark, d):
     """Starts with the land they lie on, or the nearest within 400 km by its coast."""
+    points = V.starts(spark, d).select(F.col("start_id").alias("id"), "lat", "lon")
+    return nearest_polygon(points, _lands(spark, d), "land", LIMIT_M).select(F.col("id").alias("start_id"), "land", F.round("distance_m", 2).alias("distance_m"))
+
+
+_LAND = "boxes AS (SELECT n_nationkey AS land, -50.0::DOUBLE + (n_nationkey % 5) * 22 AS south, -175.0::DOUBLE + floor(n_nationkey / 5) * 70 AS west FROM nation)"
+
+
+def _lands(spark, d):
     n = V.read(spark, d, "nation").select(F.col("n_nationkey").alias("land"), (F.lit(-50.0) + (F.col("n_nationkey") % 5) * 22).alias("south"), (F.lit(-175.0) + F.floor(F.col("n_nationkey") / 5) * 70).alias("west"))
     at = lambda x, y: F.struct((F.col("west") + x).alias("lon"), (F.col("south") + y).alias("lat"))
-    land = n.select("land", F.array(at(0, 0), at(30, 0), at(30, 12), at(0, 12), at(0, 0)).alias("ring"))
-    points = V.starts(spark, d).select(F.col("start_id").alias("id"), "lat", "lon")
-    return nearest_polygon(points, land, "land", LIMIT_M).select(F.col("id").alias("start_id"), "land", F.round("distance_m", 2).alias("distance_m"))
+    return n.select("land", F.array(at(0, 0), at(30, 0), at(30, 12), at(0, 12), at(0, 0)).alias("ring"))
+
+
+@query(f"""{views('starts')}, {_LAND}, s AS (SELECT start_id AS site, land, lon, lat FROM starts JOIN boxes ON lat >= south AND lat < south + 12 AND lon >= west AND lon < west + 30),
+p AS (SELECT p_partkey AS point, land, x, y FROM (SELECT p_partkey, {lon("p_partkey")} + 0.00317 AS x, {lat("p_partkey")} + 0.00713 AS y FROM part) JOIN boxes ON y >= south AND y < south + 12 AND x >= west AND x < west + 30)
+SELECT point, arg_min(site, {{'d': (x - lon) * (x - lon) + (y - lat) * (y - lat), 's': site}}) AS site FROM p JOIN s USING (land) GROUP BY point""")
+def voronoi_cells(spark, d):
+    """Which customer's cell of its land a part's place lies in: the nearest customer's."""
+    land = _lands(spark, d)
+    inside = in_polygons(V.starts(spark, d).select(F.col("start_id").alias("id"), "lat", "lon"), land, 6.0).select(F.col("id").alias("site"), "land")
+    sites = inside.join(V.starts(spark, d).select(F.col("start_id").alias("site"), "lat", "lon"), "site")
+    keep = Written(spark)
+    cells = keep.cut(voronoi(sites, land, keep))
+    key = F.col("p_partkey")
+    points = V.read(spark, d, "part").select(key.alias("id"), (V.lat_of(key) + 0.00713).alias("lat"), (V.lon_of(key) + 0.00317).alias("lon"))
+    return in_polygons(points, cells.select("site", "ring"), 6.0).select(F.col("id").alias("point"), "site")
+
+
+@query(f"""{views('starts')}, cell AS (SELECT DISTINCT nationkey AS land, floor(lon / 30)::BIGINT AS x, floor((lat + 60) / 24)::BIGINT AS y FROM starts),
+side AS (SELECT land, x, y, x + 1 AS x2, y AS y2 FROM cell UNION ALL SELECT land, x, y + 1, x + 1, y + 1 FROM cell UNION ALL SELECT land, x, y, x, y + 1 FROM cell UNION ALL SELECT land, x + 1, y, x + 1, y + 1 FROM cell),
+o AS (SELECT land, count(*) AS sides FROM (SELECT land, x, y, x2, y2 FROM side GROUP BY ALL HAVING count(*) = 1) GROUP BY land), a AS (SELECT land, count(*) * 30 * 24 AS area FROM cell GROUP BY land)
+SELECT a.land, sides::BIGINT AS sides, area::DOUBLE AS area FROM a JOIN o USING (land)""")
+def region_union(spark, d):
+    """Outlines of the unions of grid squares in which a country has customers: their sides and area."""
+    cell = V.starts(spark, d).select(F.col("nationkey").alias("land"), F.floor(F.col("lon") / 30).alias("x"), F.floor((F.col("lat") + 60) / 24).alias("y")).distinct()
+    at = lambda i, j: F.struct(((F.col("x") + i) * 30.0).alias("lon"), ((F.col("y") + j) * 24.0 - 60.0).alias("lat"))
+    rings = union(cell.select("land", F.array(at(0, 0), at(0, 1), at(1, 1), at(1, 0), at(0, 0)).alias("ring")), Written(spark))
+    return rings.groupBy("land").agg(F.sum(F.size("ring") - 1).cast("long").alias("sides"), F.round(F.sum(signed_area(F.col("ring"))), 6).alias("area"))
