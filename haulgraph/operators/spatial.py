@@ -43,7 +43,7 @@ def within_distance(left: DataFrame, right: DataFrame, limit_m: float) -> DataFr
 def nearest_other(nodes: DataFrame, group: str, start_m: float = 200_000.0) -> DataFrame:
     """(id, near, distance_m): the nearest node of another group for each (id, lat, lon, group); ties to the lesser id.
 
-    The radius grows fourfold for those that found none, up to half the globe, so the answer is exact.
+    The radius grows sixteenfold for those that found none, up to half the globe, so the answer is exact.
     """
     out, left, limit = None, nodes, start_m
     while True:

@@ -89,7 +89,7 @@ def fixpoint(seeds: DataFrame, tables: dict[str, DataFrame], goals: DataFrame, p
     A state's key is its node, commodity and whether a connector may follow; of equal keys the cheapest stays, with its
     visited networks and whether it shipped (equal costs: fewer hops, not shipped, the lesser list). With ``prune``, a
     branch goes whose cost and least fee ahead exceed its start's best arrival: no step lowers a cost, so it cannot arrive
-    cheaper. seeds: start_id, node, commodity, cost. Tables written for a step go when a later one has replaced them.
+    cheaper. seeds: start_id, node, commodity, cost.
     """
     order = ["cost", "hops", "shipped", "visited"]
     first = seeds.select("start_id", "node", "commodity", F.lit(True).alias("free"), "cost", F.lit(0).alias("hops"), F.lit(False).alias("shipped"), F.array().cast("array<string>").alias("visited"), F.lit(None).cast("string").alias("riding"))

@@ -6,8 +6,9 @@ import json
 import math
 import os
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +66,28 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines from 1 however the files are split.
+
+    A first pass counts the lines of each split; a line's number is its place in its split after those of the splits before
+    it. Both passes plan the same splits, in which rows keep the file's order.
+    """
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    lines = spark.read.text(path).select("value", *at)
+    splits = spark.read.text(path).select("value", *at).groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    begun = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(begun, ["file", "block"]).select("file", (F.col("row") + F.col("shift")).alias("line"), "value")
+
+
+def checked_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Events of JSON lines with their file and line, and the lines that are none (file, line, value). Blank lines are neither."""
+    schema = T.StructType.fromDDL(EVENT).add("_broken", T.StringType())
+    read = numbered_lines(spark, path).filter(F.trim("value") != "").withColumn("event", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}))
+    is_broken = F.col("event").isNull() | F.col("event._broken").isNotNull()
+    return read.filter(~is_broken).select("file", "line", "event.*").drop("_broken"), read.filter(is_broken).select("file", "line", "value")
+
+
 def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A folder of files, one location each, named by its id up to the first underscore."""
     return spark.read.schema(schema).option("header", True).csv(path).withColumn("location", F.regexp_extract(F.input_file_name(), "([^/_]+)_[^/]*$", 1))
@@ -91,8 +114,20 @@ def append_status(df: DataFrame, path: str, scenario: str) -> None:
 
 
 def snapshot(df: DataFrame, path: str, *order: str) -> None:
-    """The whole table in place of the last snapshot, committed as one, sorted within its files."""
-    (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").parquet(path)
+    """The whole table in place of the last snapshot, sorted by range over its files.
+
+    It is written beside the last one, which goes only when the new one is whole; a job that fails leaves the last one there.
+    """
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.parquet(new)
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path}: the last snapshot cannot be moved")
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"{new}: the new snapshot cannot take its place; the last one is in {old}")
+    fs.delete(at(old), True)
 
 
 def append_events(spark: SparkSession, path: str, events: list[dict]) -> None:
