@@ -18,7 +18,7 @@ The route by shared words leaves out no passage that verification accepts, so re
 the cosine.
 
 What is sent to every task, vocabulary, basis and items, is bounded: items are worked through in blocks of
-``ITEM_BLOCK`` and an item brings at most its distinct words.
+``ITEM_BLOCK``, or of ``BLOCK_WORDS`` words, and each item is looked for as a whole, whatever its length.
 
 Defined results: null or empty texts and items match nothing; an item that occurs twice is reported by each id; null ids
 are carried as they are; one row for each document and item that match, with the best passage's figures (of rows that
@@ -43,7 +43,8 @@ HALF = 32
 WINDOW = 2 * HALF
 KEEP = 8
 ITEM_BLOCK = 512
-ITEM_WORDS = 2048
+BLOCK_WORDS = 1 << 20
+LONG_ITEM = 2048
 OVERSAMPLE = 16
 CHUNK_BYTES = 1 << 20
 BREAK = IS_SPACE.copy()
@@ -296,7 +297,10 @@ def _find(vocabulary: Vocabulary, latent: np.ndarray, items: list[tuple], item_l
                         if repeats[i] + len(sets[i] & there) < paraphrase * lengths[i]:
                             continue
                         reach = max(0, lengths[i] - HALF)
-                        part = max(low, at - reach), min(high, at + WINDOW + reach)
+                        # windows of a long item that begin within a quarter of its length are looked at together
+                        room = lengths[i] // 4 if lengths[i] > LONG_ITEM else 1
+                        from_ = low + (at - low) // room * room
+                        part = max(low, from_ - reach), min(high, from_ + room - 1 + WINDOW + reach)
                         if tried.get(i) == part:  # the same words as of the window before
                             continue
                         tried[i] = part
@@ -371,9 +375,9 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rank: int, max_df: float, co
 
     for r in benchmark.filter("text is not null").select("item_id", "text").toLocalIterator():
         item_id, words, answer = _item(r["item_id"], r["text"])
-        n = -(-len(words) // ITEM_WORDS)
-        held += [(item_id, words[k * len(words) // n : (k + 1) * len(words) // n], answer) for k in range(n)]
-        if len(held) >= ITEM_BLOCK:
+        if words:
+            held.append((item_id, words, answer))
+        if len(held) >= ITEM_BLOCK or sum(len(x[1]) for x in held) >= BLOCK_WORDS:
             out = out.unionByName(search())
             held = []
     if held:
@@ -382,10 +386,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rank: int, max_df: float, co
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 192, max_df: float = 0.01, cosine: float = 0.2, copy: float = 0.6, paraphrase: float = 0.55, least: int = 5) -> DataFrame:
-    """doc_id, item_id, common, share and kind of every document of ``docs`` that holds an item of ``benchmark``.
-
-    Items of more than ITEM_WORDS words are looked for in equal parts of that many words at most.
-    """
+    """doc_id, item_id, common, share and kind of every document of ``docs`` that holds an item of ``benchmark``."""
     out = _matches(docs, benchmark, rank, max_df, cosine, copy, paraphrase, least)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("common", "share", "kind")).alias("best")).select("doc_id", "item_id", "best.common", "best.share", "best.kind")
 

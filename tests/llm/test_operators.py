@@ -448,6 +448,22 @@ def test_right_vectors_equal_an_exact_decomposition():
     assert np.abs((v * vt[:6].T).sum(0)) == pytest.approx(np.ones(6), abs=1e-6)
 
 
+def test_long_items_count_as_a_whole(spark):
+    """Half of an item is not the item, however long it is; its parts add up wherever they stand."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(40_000)}"
+    items = {n: [word() for _ in range(n)] for n in (2000, 3000, 9000)}
+    noise = [word() for _ in range(12_000)]
+    rows = []
+    for n, w in items.items():
+        spread = [x for k, x in enumerate(w) if k % 10 < 7]
+        rows += [(n, w[: n // 2]), (n + 1, noise[:3000] + w + noise[3000:6000]), (n + 2, noise[:500] + spread + noise[:40]), (n + 3, [x for k, x in enumerate(w) if k % 10 < 5])]
+    rows.append((7, noise))
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, round(r.share, 2)) for r in decontam.leaks(frame(spark, [(i, " ".join(w)) for i, w in rows]), benchmark).collect()}
+    assert got == {(n + k, n): ("copy", share) for n in items for k, share in ((1, 1.0), (2, 0.7))}
+
+
 @pytest.mark.parametrize("cosine", [0.2, 2.0])
 def test_leaks_do_not_depend_on_the_rank_or_the_cosine(spark, cosine):
     """Against every window of every document, with far fewer directions than words."""

@@ -78,3 +78,31 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_over_different_inputs_leave_each_other_alone(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    few = docs.filter("doc_id < 62")
+    ids = lambda df: sorted(r.doc_id for r in df.collect())
+    a, b, c = P.drop_copies(spark, docs, folder), P.drop_copies(spark, few, folder), P.drop_repeated_lines(spark, few, folder)
+    first = ids(a)
+    d = P.drop_benchmark(spark, docs, folder)
+    assert ids(b) == [i for i in first if i < 62] and ids(c) and ids(a) == first
+    assert ids(d) == [i for i in ids(docs) if i != 65]
+
+
+def test_what_no_result_reads_goes(spark, folder):
+    import os
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    a = P.drop_copies(spark, docs, folder)
+    held = P._held[-1][0].root
+    P.drop_copies(spark, docs, folder)
+    assert os.path.isdir(held)
+    b = P.drop_repeated_lines(spark, a, folder)  # its input reads the tables
+    del a
+    P.drop_repeated_lines(spark, b, folder)
+    assert os.path.isdir(held) and b.count()
+    del b
+    P.drop_repeated_lines(spark, docs, folder)
+    assert not os.path.isdir(held)
