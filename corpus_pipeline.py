@@ -9,11 +9,15 @@ whatever their names.
 Every stage decides by row or by document, which is a doc_id with a text: a null or repeated doc_id never takes another
 text along. Null and empty texts pass all stages; of repeated rows of a document that stays, all stay.
 
-A stage's intermediate tables go when a later stage begins whose input does not read them.
+What a stage's result still reads stays as long as the result is referenced; after that it goes when a later stage begins
+whose input does not read it. Stages over different inputs do not touch each other's tables.
 """
 
 from __future__ import annotations
 
+import functools
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,27 +28,36 @@ from haulgraph.llm.line_dedup import drop_lines
 from haulgraph.llm.ngram_join import drop_near_copies
 from haulgraph.llm.piece_codec import encode_documents
 
-_held: list[Scratch] = []
+#: Stages' scratch folders, with what was made of them.
+_held: list[tuple[Scratch, weakref.ref]] = []
+
+
+def _stage(work):
+    """``work(spark, docs, sf_dir, scratch)`` as a stage with a scratch of its own, which its result keeps."""
 
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        reads = docs.inputFiles() if _held else []
+        for held in [x for x in _held if x[1]() is None and not any(x[0].name in file for file in reads)]:
+            held[0].close()
+            _held.remove(held)
+        scratch = Scratch(spark)
+        out = work(spark, docs, sf_dir, scratch)
+        _held.append((scratch, weakref.ref(out)))
+        return out
 
-def _scratch(spark: SparkSession, docs: DataFrame) -> Scratch:
-    """A stage's own scratch; those of stages whose results ``docs`` no longer reads lazily go."""
-    reads = docs.inputFiles() if _held else []
-    for old in [s for s in _held if s.spark is not spark or not any(s.name in file for file in reads)]:
-        old.close()
-        _held.remove(old)
-    _held.append(Scratch(spark))
-    return _held[-1]
+    return stage
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _scratch(spark, docs)
+@_stage
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch) -> DataFrame:
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), at_least=0.3)
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch) -> DataFrame:
     lines, dropped = unused("n_lines", docs), unused("n_dropped", docs)
-    kept = drop_lines(docs, counts=(lines, dropped), scratch=_scratch(spark, docs))
+    kept = drop_lines(docs, counts=(lines, dropped), scratch=scratch)
     worded = F.col("text").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]") | (F.col(dropped) == 0)
     if "n_chars" in docs.columns:
         size = F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars"))
@@ -52,18 +65,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.filter(worded).drop(lines, dropped)
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs, n=5, percent=75, scratch=_scratch(spark, docs))
+@_stage
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch) -> DataFrame:
+    return drop_near_copies(docs, n=5, percent=75, scratch=scratch)
 
 
-def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), scratch=_scratch(spark, docs))
+@_stage
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch) -> DataFrame:
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"), scratch=scratch)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch) -> DataFrame:
     import public_tokenizers
 
-    _scratch(spark, docs)
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
