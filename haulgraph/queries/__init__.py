@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import analytics, composites, domain, geometry, network, relational, scalars, storage, supply  # noqa: F401
+from . import analytics, composites, domain, geometry, network, relational, scalars, storage, supply, tracking  # noqa: F401
 from .network import routing_fixpoint as flagship  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
