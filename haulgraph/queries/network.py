@@ -161,9 +161,8 @@ def routing_fixpoint(spark, d):
     """Each start's cheapest arrival at a goal under all rules, with bounds, until no branch is left."""
     seeds, tables, goals = _routes(spark, d)
     keep = G.Written(spark)
-    steps = keep.cut(P.moves(tables))
-    finals = steps.select("commodity").distinct().withColumn("price", F.lit(0.0))
-    found = P.search(seeds, steps, P.final_goals(goals, finals), keep=keep)
+    kinds = spark.range(3).withColumnRenamed("id", "commodity")
+    found = P.search(seeds, keep.cut(P.moves(tables, kinds)), P.final_goals(goals, kinds.withColumn("price", F.lit(0.0))), keep=keep)
     return P.cheapest(found).select("start_id", F.round("cost", 8).alias("cost"))
 
 
