@@ -136,21 +136,30 @@ FROM a{rounds} JOIN c{rounds} USING (c)"""
 
 SQL: dict[str, str] = {
     "op3_license_scan": f"""
-WITH t(id, name, n, step, least) AS (VALUES {", ".join(f"({k}, '{f['name']}', {f['n']}, {f['step']}, {f['least']}::DOUBLE)" for k, f in enumerate(_FORMS))}),
+WITH t(id, name, n, step, least, whole, ahead) AS (VALUES {", ".join(f"({k}, '{f['name']}', {f['n']}, {f['step']}, {f['least']}::DOUBLE, {f['whole']}, {f['before']})" for k, f in enumerate(_FORMS))}),
+m(id, w, must) AS (VALUES {", ".join(f"({k}, '{w}', {must == 'must'})" for k, f in enumerate(_FORMS) for must in ("must", "bars") for w in f[must])}),
+known(stated, declared) AS (VALUES {", ".join(f"('{k.lower()}', '{k}')" for k in license_scan.TEMPLATES)}),
 v(id, w, x) AS (VALUES {", ".join(f"({k}, '{w}', {x}::DOUBLE)" for k, f in enumerate(_FORMS) for w, x in f["vector"].items())}),
 i(w, idf) AS (VALUES {", ".join(f"('{w}', {x}::DOUBLE)" for w, x in _IDF.items())}),
-f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+') AS words FROM documents),
-g AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS directory, words, coalesce(len(words), 0) AS size FROM f),
+f AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+') AS words,
+ regexp_replace(regexp_extract({_LOWER.format("text")}, '{license_scan.SPDX}', 1), '{license_scan.SPDX_ENDING}', '') AS stated FROM documents),
+g AS (SELECT doc_id, path, declared, regexp_replace(path, '/?[^/]*$', '') AS directory, words, coalesce(len(words), 0) AS size FROM f LEFT JOIN known USING (stated)),
 p AS (SELECT doc_id, size, unnest(words) AS w, unnest(range(len(words))) AS p FROM g),
 q AS (SELECT doc_id, size, w, p, sum(coalesce(idf, {_RARE}::DOUBLE) ** 2) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM p LEFT JOIN i USING (w)),
 o AS (SELECT doc_id, id, w, x, p, n, step, size, greatest(0, ceil((size - n) / step))::BIGINT AS last FROM q JOIN v USING (w) JOIN t USING (id)),
 k AS (SELECT doc_id, id, w, x, n, step, size, unnest(range(greatest(0, ceil((p - n + 1) / step))::BIGINT, least(last, p // step) + 1)) AS k FROM o),
 c AS (SELECT doc_id, id, k, n, step, size, w, any_value(x) AS x, count(*) AS c FROM k GROUP BY doc_id, id, k, n, step, size, w),
 d AS (SELECT doc_id, id, k * step AS first, least(k * step + n, size) - 1 AS final, sum(x * idf * sqrt(c)) AS dot FROM c JOIN i USING (w) GROUP BY doc_id, id, k, n, step, size),
-z AS (SELECT d.doc_id, d.id, max(round(dot / sqrt(e.run - coalesce(b.run, 0)), 5)) AS score
-      FROM d JOIN q e ON e.doc_id = d.doc_id AND e.p = d.final LEFT JOIN q b ON b.doc_id = d.doc_id AND b.p = d.first - 1 GROUP BY d.doc_id, d.id),
-h AS (SELECT doc_id, max(score) AS score, arg_min(name, {{'s': -score, 'm': name, 'n': -n}}) AS own, arg_min(n, {{'s': -score, 'm': name, 'n': -n}}) AS inside FROM z JOIN t USING (id) WHERE score >= least GROUP BY doc_id),
-s AS (SELECT g.doc_id, g.path, directory, own, score, coalesce(own IS NOT NULL AND 2 * size <= 3 * inside, false) AS licence_file FROM g LEFT JOIN h ON g.doc_id = h.doc_id),
+z AS (SELECT d.doc_id, d.id, d.first, d.final, t.ahead, round(dot / sqrt(e.run - coalesce(b.run, 0)), 5) AS score
+      FROM d JOIN t USING (id) JOIN q e ON e.doc_id = d.doc_id AND e.p = d.final LEFT JOIN q b ON b.doc_id = d.doc_id AND b.p = d.first - 1 WHERE round(dot / sqrt(e.run - coalesce(b.run, 0)), 5) >= least),
+x AS (SELECT doc_id, id, p, w, must FROM p JOIN m USING (w)),
+y AS (SELECT z.doc_id, z.id, z.first, any_value(z.score) AS score, count(DISTINCT CASE WHEN x.must AND x.p >= z.first THEN x.w END) AS held, count(CASE WHEN NOT x.must THEN 1 END) AS barred
+      FROM z LEFT JOIN x ON x.doc_id = z.doc_id AND x.id = z.id AND x.p >= z.first - z.ahead AND x.p <= z.final GROUP BY z.doc_id, z.id, z.first),
+n AS (SELECT y.* FROM y LEFT JOIN (SELECT id, count(*) AS asked FROM m WHERE must GROUP BY id) a USING (id) WHERE barred = 0 AND held = coalesce(asked, 0)),
+h AS (SELECT doc_id, max(score) AS score, arg_min(name, {{'s': -score, 'm': name, 'n': -n}}) AS own, arg_min({{'n': n, 'whole': whole}}, {{'s': -score, 'm': name, 'n': -n}}) AS inside
+      FROM (SELECT n.doc_id, n.score, t.name, t.n, t.whole FROM n JOIN t USING (id)) GROUP BY doc_id),
+s AS (SELECT g.doc_id, g.path, directory, coalesce(declared, own) AS own, CASE WHEN declared IS NOT NULL THEN 1 ELSE score END AS score,
+      coalesce(declared IS NULL AND inside.whole AND 2 * size <= 3 * inside.n, false) AS licence_file FROM g LEFT JOIN h ON g.doc_id = h.doc_id),
 r AS (SELECT directory, arg_min(own, {{'n': -n, 'o': own}}) AS license FROM (SELECT directory, own, count(*) AS n FROM s WHERE licence_file GROUP BY directory, own) GROUP BY directory),
 a AS (SELECT a.directory, arg_max(r.directory, length(r.directory)) AS ancestor, arg_max(license, length(r.directory)) AS inherited
       FROM (SELECT DISTINCT directory FROM s) a JOIN r ON a.directory = r.directory OR starts_with(a.directory, r.directory || '/') OR r.directory = '' GROUP BY a.directory)

@@ -599,6 +599,29 @@ def test_licences_of_real_files(spark):
     }
 
 
+def test_near_licences_are_told_apart(spark):
+    """Texts as projects write them, not the module's own."""
+    grant = " * This {0} is free software; you can redistribute it and/or\n * modify it under the terms of the GNU {1}\n * License as published by the Free Software Foundation; either\n * version {2} of the License, or (at your option) any later version.\n *\n * This {0} is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\n * {1} License for more details.\n *\n * You should have received a copy of the GNU {1}\n * License along with this {0}; if not, write to the Free Software\n * Foundation, Inc., 51 Franklin Street, Boston, MA 02110-1301, USA.\n"
+    header = lambda *xs: "/*\n * frob.c - frobnicates\n * Copyright (C) 1999 A. Hacker\n *\n" + grant.format(*xs) + " */\nint main(void) { return 0; }\n"
+    two = "Copyright (c) 2014, Some Body\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, this\n  list of conditions and the following disclaimer.\n\n* Redistributions in binary form must reproduce the above copyright notice,\n  this list of conditions and the following disclaimer in the documentation\n  and/or other materials provided with the distribution.\n\n"
+    third = "* Neither the name of Some Body nor the names of its\n  contributors may be used to endorse or promote products derived from\n  this software without specific prior written permission.\n\n"
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED.\n'
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License.\n"
+    rows = [
+        ("2/x.c", header("program", "General Public", "2"), "GPL-2.0"), ("3/x.c", header("program", "General Public", "3"), "GPL-3.0"), ("1/x.c", header("program", "General Public", "1"), None),
+        ("a/x.c", header("program", "Affero General Public", "3"), "AGPL-3.0"), ("l/x.c", header("library", "Lesser General Public", "2.1"), "LGPL-2.1"), ("m/x.c", header("library", "Lesser General Public", "3"), "LGPL-3.0"),
+        ("k/x.c", header("library", "Library General Public", "2"), "LGPL-2.0"), ("2/none.c", "int x;", None), ("b/readme", two + end, "BSD-2-Clause"), ("b/none.c", "int x;", "BSD-2-Clause"),
+        ("c/readme", two + third + end, "BSD-3-Clause"), ("s/1.c", "// SPDX-License-Identifier: BSD-2-Clause\nint x;", "BSD-2-Clause"), ("s/2.c", "/* SPDX-License-Identifier: (gpl-2.0-or-later) */ int x;", "GPL-2.0"),
+        ("s/3.c", "# SPDX-License-Identifier: LicenseRef-Ours\nreleased under the MIT License", "MIT"), ("s/4.c", "# SPDX-License-Identifier:\n", None), ("d/1", cc.format(""), "CC-BY-4.0"), ("d/2", cc.format("-ShareAlike"), "CC-BY-SA-4.0"),
+        ("d/3", cc.format("-NonCommercial-NoDerivatives"), "CC-BY-NC-ND-4.0"), ("d/4", "All of it: CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("n/1", "This code is not released under the MIT License.", None), ("n/2", "It is no longer, and never was, released under the MIT License.", None),
+        ("n/3", "We do not care much for it. Released under the MIT License.", "MIT"), ("n/4/", "Released under the MIT License.", "MIT"), ("///", "", None),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.licence_file) for r in license_scan.licenses(df).collect()}
+    assert {p: x for p, (x, _) in got.items()} == {p: x for p, _, x in rows}
+    assert {p for p, (_, x) in got.items() if x} == {"b/readme", "c/readme"}
+
+
 def test_licences_of_repeated_tied_and_long_texts(spark):
     forms = {"B": ["one two three four"], "A": ["one two three four"], "C": ["five six seven eight"]}
     text = "zzz yyy xxx one two three four"
