@@ -155,7 +155,8 @@ def scan(files: DataFrame, texts: dict[str, list[str]] | None = None, least: flo
     """doc_id, path, directory, own, score, licence_file of every row of ``files`` (doc_id, path, text)."""
     texts = texts or TEMPLATES
     idf, rare, forms = templates(texts, least)
-    words_of_forms = sorted(set(idf).union(*(f["bars"] for f in forms)))
+    # common words first, where the search for a word's number ends soonest
+    words_of_forms = sorted(set(idf).union(*(f["bars"] for f in forms)), key=lambda w: (w not in COMMON, w))
     number = {w: k + 1 for k, w in enumerate(words_of_forms)}
     # one literal: words are their numbers, vectors hold a place for every word, the first for unknown ones
     rows_of_forms = [f | {"must": [number[w] for w in f["must"]], "bars": [number[w] for w in f["bars"]], "vector": [0.0] + [f["vector"].get(w, 0.0) for w in words_of_forms]} for f in forms]
@@ -167,9 +168,9 @@ def scan(files: DataFrame, texts: dict[str, list[str]] | None = None, least: flo
     add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
     bind = lambda x, f: F.transform(F.array(x), f)[0]
 
-    def enough(k):
+    def enough(k, held):
         """Whether the whole text shares with the form what its least score asks for."""
-        return add(numbered("shared"), lambda i: table[k]["vector"][i] * table[k]["vector"][i]) >= table[k]["least"] * table[k]["least"] - 1e-4
+        return add(held, lambda i: table[k]["vector"][i] * table[k]["vector"][i]) >= table[k]["least"] * table[k]["least"] - 1e-4
 
     def best(k):
         """The form's best window."""
@@ -179,9 +180,8 @@ def scan(files: DataFrame, texts: dict[str, list[str]] | None = None, least: flo
             first = j * form["step"] + 1
             early = F.greatest(F.lit(1), first - form["before"])
             fits = lambda w: (F.size(F.array_intersect(w, form["must"])) == F.size(form["must"])) & ~F.arrays_overlap(F.slice("ids", early, form["n"] + first - early), form["bars"])
-            norm = F.sqrt(add(F.slice("squares", first, form["n"]), lambda x: x))
             dot = lambda held: add(F.array_distinct(held), lambda i: form["vector"][i] * weights[i] * F.sqrt(F.size(F.filter(held, lambda y: y == i)).cast("double")))
-            cosine = lambda w: bind(F.filter(w, lambda i: form["vector"][i] > 0), lambda held: F.round(dot(held) / norm, 5))
+            cosine = lambda w: bind(F.filter(w, lambda i: form["vector"][i] > 0), lambda held: F.round(dot(held) / F.sqrt(add(w, lambda i: weights[i] * weights[i])), 5))
             return bind(F.slice("ids", first, form["n"]), lambda w: F.when(fits(w), cosine(w)).otherwise(0.0))
 
         last = F.greatest(F.lit(0), F.ceil((F.size("ids") - form["n"]) / form["step"]).cast("int"))
@@ -194,9 +194,10 @@ def scan(files: DataFrame, texts: dict[str, list[str]] | None = None, least: flo
     declared = F.when(lower.contains("spdx-license-identifier:"), F.try_element_at(names, stated))
     rows = files.select("doc_id", "path", declared.alias("declared"), F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
     rows = rows.withColumn("shared", F.array_intersect("words", _literal(idf)))
-    rows = rows.withColumn("passing", F.when(F.col("declared").isNull() & F.arrays_overlap("shared", telling), F.filter(F.sequence(F.lit(0), F.lit(len(forms) - 1)), enough)))
+    each = F.sequence(F.lit(0), F.lit(len(forms) - 1))
+    passing = bind(numbered("shared"), lambda held: F.filter(each, lambda k: enough(k, held)))
+    rows = rows.withColumn("passing", F.when(F.col("declared").isNull() & F.arrays_overlap("shared", telling), passing))
     rows = rows.withColumn("ids", F.when(F.size("passing") > 0, numbered("words")))
-    rows = rows.withColumn("squares", F.transform("ids", lambda i: weights[i] * weights[i]))
     rows = rows.withColumn("hits", F.when(F.col("ids").isNotNull(), F.transform("passing", best)))
     ahead = lambda a, x: (x["score"] > a["score"]) | ((x["score"] == a["score"]) & ((x["name"] < a["name"]) | ((x["name"] == a["name"]) & (x["n"] > a["n"]))))
     start = F.struct(F.lit(0.0).alias("score"), F.lit("").alias("name"), F.lit(0).alias("n"), F.lit(False).alias("whole"), F.lit(0.0).alias("least"))
