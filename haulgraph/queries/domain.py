@@ -8,6 +8,7 @@ from haulgraph.functions.geo import haversine_m, point_in_ring, ring_area_m2, sp
 from haulgraph.operators import spatial as X
 from haulgraph.operators import state as S
 from haulgraph.plans import graphs as G
+from haulgraph.plans import results as A
 from haulgraph.plans import routing as R
 from haulgraph.sources import network_view as V
 
@@ -84,11 +85,13 @@ def start_production_cost(spark, d):
     return all_ways.groupBy("start_id", "commodity").agg(F.round(F.min("x"), 6).alias("cost"), F.round(F.min_by("e", "x"), 6).alias("efficiency"))
 
 
-@query(f"WITH {_CONV} SELECT c_from AS commodity, list_sort(list(c_to)) AS options, min(fee) AS least_fee, round(min(eff), 6) AS least_efficiency, c_from <> 2 AS hydrogen_ready, c_from % 2 = 0 AS new_pipes FROM c GROUP BY c_from")
+@query("""WITH c AS (SELECT (p_size % 9)::BIGINT AS commodity, (p_partkey % 9)::BIGINT AS target, (p_partkey % 20 + 5)::DOUBLE AS fee, 0.6::DOUBLE + (p_partkey % 40) / 100::DOUBLE AS eff FROM part WHERE p_size % 9 <> p_partkey % 9)
+SELECT commodity, list_sort(list(DISTINCT target)) AS options, min(fee) AS least_fee, round(min(eff), 6) AS least_efficiency, commodity <> 2 AS hydrogen_ready, commodity % 2 = 0 AS new_pipes FROM c GROUP BY commodity""")
 def commodity_dimension(spark, d):
-    """Commodities with their conversions, least cost and efficiency, and flags."""
-    g = _conversions(spark).groupBy(F.col("c_from").alias("commodity")).agg(F.array_sort(F.collect_list("c_to")).alias("options"), F.min("fee").alias("least_fee"), F.round(F.min("eff"), 6).alias("least_efficiency"))
-    return g.withColumn("hydrogen_ready", F.col("commodity") != 2).withColumn("new_pipes", F.col("commodity") % 2 == 0)
+    """Commodities with their conversions, least cost and efficiency, and flags. Every part is a conversion between two of nine."""
+    p, key = V.read(spark, d, "part"), F.col("p_partkey")
+    c = p.select((F.col("p_size") % 9).cast("long").alias("commodity"), (key % 9).cast("long").alias("to"), (key % 20 + 5).cast("double").alias("fee"), (F.lit(0.6) + (key % 40) / 100.0).alias("eff")).filter("commodity <> to")
+    return A.commodity_dimension(c, {"hydrogen_ready": F.col("commodity") != 2, "new_pipes": F.col("commodity") % 2 == 0})
 
 
 @query(f"{views('nodes')} SELECT key AS node, min((key * 31 + z * 3) % 50 + 1 - 2 * z)::DOUBLE AS least FROM nodes, range(1, 3) y(z) WHERE convertible GROUP BY key")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from haulgraph.functions.geo import pad_extent
 from haulgraph.operators.polygons import nearest_polygon
 from haulgraph.operators.spatial import in_polygons
 from haulgraph.plans import lines as L
@@ -133,3 +134,14 @@ def region_union(spark, d):
     at = lambda i, j: F.struct(((F.col("x") + i) * 30.0).alias("lon"), ((F.col("y") + j) * 24.0 - 60.0).alias("lat"))
     rings = union(cell.select("land", F.array(at(0, 0), at(0, 1), at(1, 1), at(1, 0), at(0, 0)).alias("ring")), Written(spark))
     return rings.groupBy("land").agg(F.sum(F.size("ring") - 1).cast("long").alias("sides"), F.round(F.sum(signed_area(F.col("ring"))), 6).alias("area"))
+
+
+@query(f"""{views("starts")}, e AS (SELECT nationkey, min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM starts GROUP BY nationkey)
+SELECT nationkey, round(greatest(s - greatest((n - s) * 0.03::DOUBLE, 1), -90), 6) AS south, round(least(n + greatest((n - s) * 0.03::DOUBLE, 1), 90), 6) AS north,
+ round(w - greatest((e - w) * 0.03::DOUBLE, 1), 6) AS west, round(e + greatest((e - w) * 0.03::DOUBLE, 1), 6) AS east FROM e""")
+def padded_extent(spark, d):
+    """The box of each country's start locations, wider by three hundredths and a degree at least, no further than the poles."""
+    e = V.starts(spark, d).groupBy("nationkey").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    (south, north), (west, east) = pad_extent(F.col("s"), F.col("n")), pad_extent(F.col("w"), F.col("e"))
+    sides = {"south": F.greatest(south, F.lit(-90.0)), "north": F.least(north, F.lit(90.0)), "west": west, "east": east}
+    return e.select("nationkey", *(F.round(c, 6).alias(k) for k, c in sides.items()))

@@ -194,3 +194,11 @@ def test_goals_within_the_tolerance(spark):
     ends = spark.createDataFrame([(1, 0.0, 180.0), (2, 89.9, -170.0)], "id long, lat double, lon double")
     assert sorted(r.node for r in supply.nodes_near(nodes, ends, 30_000.0).collect()) == [1, 2, 4]
     assert supply.nodes_near(nodes.filter(F.lit(False)), ends, 30_000.0).count() == 0
+
+
+def test_commodity_dimension(spark):
+    rows = [(0, 1, 5.0, 0.9), (0, 1, 4.0, 0.8), (0, 2, 7.0, 0.7), (1, 0, None, 0.5)]
+    c = spark.createDataFrame(rows, "commodity long, to long, fee double, eff double")
+    got = {r.commodity: tuple(r)[1:] for r in results.commodity_dimension(c, {"even": F.col("commodity") % 2 == 0}).collect()}
+    assert got == {0: ([1, 2], 4.0, 0.7, True), 1: ([0], None, 0.5, False)}
+    assert results.commodity_dimension(c.limit(0), {}).count() == 0
