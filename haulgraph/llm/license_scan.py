@@ -20,7 +20,8 @@ without its own takes that of the nearest ancestor directory that has one. Inher
 their ancestors, then files by directory, so no join has more rows than there are files or directories times their depth.
 
 Defined results: null and empty texts have no license of their own; texts of any length are read whole; a null path has no
-directory; a path without ``/`` is in the root ``''``; repeated rows repeat; the input's other columns are dropped, whatever
+directory; a path without ``/`` is in the root ``''``; a path that ends
+in ``/`` is a file without a name in the directory before that slash; repeated rows repeat; the input's other columns are dropped, whatever
 their names; an empty table gives no rows.
 """
 
