@@ -15,3 +15,11 @@ def test_distance_join_sends_no_side_whole_and_spreads_its_pairs(spark):
     assert "Broadcast" not in plan(pairs) and plan(pairs).count("REPARTITION_BY_NUM") == 2
     every = side("l", 300).crossJoin(side("r", 200)).withColumn("d", X.haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).filter("d <= 500000")
     assert sorted(map(tuple, pairs.select("l_id", "r_id").collect())) == sorted(map(tuple, every.select("l_id", "r_id").collect()))
+
+
+def test_nearest_cell_does_not_send_multiplied_rows(spark):
+    points = spark.createDataFrame([(1, 10.1, 20.1), (2, -3.9, 7.3)], "id long, lat double, lon double")
+    cells = spark.createDataFrame([(5, 10.25, 20.25), (6, 10.0, 20.0), (7, 50.0, 0.0)], "cell long, cell_lat double, cell_lon double")
+    found = X.nearest_cell(points, cells)
+    assert "Broadcast" not in plan(found)
+    assert [(r.id, r.cell) for r in found.collect()] == [(1, 6)]
