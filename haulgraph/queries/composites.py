@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from haulgraph.operators import spatial as X
 from haulgraph.operators import state as S
 from haulgraph.plans import bounds as B
+from haulgraph.plans.graphs import Written
 from haulgraph.sources import network_view as V
 
 from .registry import query, views
@@ -93,10 +95,11 @@ def area_weighted_cost(spark, d):
 SELECT start_id, node FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY far, node) <= 12) UNION SELECT start_id, node FROM (SELECT * FROM p WHERE node_type = 'port' QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY far, node) <= 3)""")
 def nearest_nodes_and_ports(spark, d):
     """Each start's nearest nodes, and its nearest ports besides."""
-    s = V.starts(spark, d).join(F.broadcast(V.countries(spark, d)), "nationkey").select("start_id", F.col("lat").alias("a"), F.col("lon").alias("b"), "continent")
-    p = s.join(V.nodes(spark, d).select(F.col("key").alias("node"), "node_type", "lat", "lon", "continent"), "continent").withColumn("far", F.abs(F.col("a") - F.col("lat")) + F.abs(F.col("b") - F.col("lon")))
-    near = S.keep_best(p, ["start_id"], ["far", "node"], 12).select("start_id", "node")
-    return near.unionByName(S.keep_best(p.filter("node_type = 'port'"), ["start_id"], ["far", "node"], 3).select("start_id", "node")).distinct()
+    s = V.starts(spark, d).join(F.broadcast(V.countries(spark, d)), "nationkey").select(F.col("start_id").alias("id"), "lat", "lon", "continent")
+    n = V.nodes(spark, d).select(F.col("key").alias("site"), "node_type", "lat", "lon", "continent")
+    keep = Written(spark)
+    near = X.nearest_planar(s, n, "continent", 12, keep).unionByName(X.nearest_planar(s, n.filter("node_type = 'port'"), "continent", 3, keep))
+    return near.distinct().select(F.col("id").alias("start_id"), F.col("site").alias("node"))
 
 
 @query(f"""{views('telemetry')} SELECT method, phase, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, max(removed) AS most, arg_max(event_id, {{'r': removed, 'e': event_id}}) AS largest, round(avg(removed / nullif(before, 0)), 6) AS share FROM telemetry GROUP BY ALL""")

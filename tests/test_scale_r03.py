@@ -23,3 +23,17 @@ def test_nearest_cell_does_not_send_multiplied_rows(spark):
     found = X.nearest_cell(points, cells)
     assert "Broadcast" not in plan(found)
     assert [(r.id, r.cell) for r in found.collect()] == [(1, 6)]
+
+
+def test_nearest_sites_by_widening_squares(spark, tmp_path):
+    from haulgraph.plans.graphs import Written
+
+    points = [(i, (i * 37 % 101) / 2.0, (i * 53 % 89) / 3.0, i % 3) for i in range(60)]
+    sites = [(i, (i * i * 7 % 97) / 2.0, (i * 29 % 83) / 3.0, i % 2 * 2) for i in range(40)] + [(99, 500.0, 900.0, 1)]
+    schema = "lat double, lon double, land int"
+    got = X.nearest_planar(spark.createDataFrame(points, f"id int, {schema}"), spark.createDataFrame(sites, f"site int, {schema}"), "land", 4, Written(spark))
+    expected = []
+    for i, a, b, land in points:
+        near = sorted((abs(a - x) + abs(b - y), s) for s, x, y, other in sites if other == land)[:4]
+        expected += [(i, s) for _, s in near]
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
