@@ -37,3 +37,15 @@ def test_nearest_sites_by_widening_squares(spark, tmp_path):
         near = sorted((abs(a - x) + abs(b - y), s) for s, x, y, other in sites if other == land)[:4]
         expected += [(i, s) for _, s in near]
     assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
+def test_two_least_offers_along_a_line(spark):
+    from haulgraph.operators.prefix import two_least
+
+    at = [(g, x / 4.0) for g in (1, 2, 3) for x in range(-8, 9)]
+    offers = [(1 + i % 2, (i * 7 % 11) / 2.0 - 2.5, i * 5 % 4, i) for i in range(23)] + [(3, 0.5, 1, 77)]
+    got = two_least(spark.createDataFrame(at, "g int, x double"), spark.createDataFrame(offers, "g int, x double, value int, name int"), ["g"], "x", 0.5)
+    for r in got.collect():
+        every = sorted((v + abs(r.x - x) * 0.5, n) for g, x, v, n in offers if g == r.g)
+        assert [round(b["cost"], 9) for b in r.best] == [round(c, 9) for c, _ in every[:2]] and len({b["name"] for b in r.best}) == len(r.best)
+    assert got.count() == len(at)
