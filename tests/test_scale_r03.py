@@ -49,3 +49,28 @@ def test_two_least_offers_along_a_line(spark):
         every = sorted((v + abs(r.x - x) * 0.5, n) for g, x, v, n in offers if g == r.g)
         assert [round(b["cost"], 9) for b in r.best] == [round(c, 9) for c, _ in every[:2]] and len({b["name"] for b in r.best}) == len(r.best)
     assert got.count() == len(at)
+
+
+def costs(edges, source):
+    best, todo = {source: 0.0}, [source]
+    while todo:
+        at = todo.pop()
+        for s, t, c in edges:
+            if s == at and best[at] + c < best.get(t, 1e18):
+                best[t] = best[at] + c
+                todo.append(t)
+    return best
+
+
+def test_shortest_takes_few_rounds_on_chains_and_crosses_cores(spark, monkeypatch):
+    from haulgraph.plans import graphs as G
+
+    written, plain = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(1) or plain(df))
+    chain = [(i, i + 1, float(i % 3 + 1)) for i in range(60)] + [(i + 1, i, float(i % 5 + 1)) for i in range(60)]
+    # a core of five nodes, each beside all others, one way dearer; a tail that is only left
+    core = [(100 + i, 100 + j, float((i * 7 + j * 3) % 11 + 1)) for i in range(5) for j in range(5) if i != j] + [(60, 102, 2.0), (104, 200, 1.0), (200, 201, 1.0)]
+    edges = chain + core
+    got = G.shortest(spark.createDataFrame(edges, "src int, dst int, cost double"), spark.createDataFrame([(0, 0), (103, 103)], "source int, node int"))
+    assert {(r.source, r.node): r.cost for r in got.collect()} == {(s, n): c for s in (0, 103) for n, c in costs(edges, s).items()}
+    assert len(written) < 100  # two a node before
