@@ -74,3 +74,14 @@ def test_shortest_takes_few_rounds_on_chains_and_crosses_cores(spark, monkeypatc
     got = G.shortest(spark.createDataFrame(edges, "src int, dst int, cost double"), spark.createDataFrame([(0, 0), (103, 103)], "source int, node int"))
     assert {(r.source, r.node): r.cost for r in got.collect()} == {(s, n): c for s in (0, 103) for n, c in costs(edges, s).items()}
     assert len(written) < 100  # two a node before
+
+
+def test_fewest_hops_takes_the_least_of_equal_paths(spark, monkeypatch):
+    from haulgraph.plans import graphs as G
+
+    written, plain = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: written.append(1) or plain(df))
+    edges = [(1, 5), (1, 3), (5, 9), (3, 9), (9, 2), (2, 1)] + [(20 + i, 21 + i) for i in range(60)] + [(9, 20)]
+    got = {r.node: r.path for r in G.fewest_hops(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(1, 1)], "source int, node int")).collect()}
+    assert got[9] == [1, 3, 9] and got[2] == [1, 3, 9, 2] and got[80] == [1, 3, 9, *range(20, 81)] and got[1] == [1]
+    assert len(written) < 100
