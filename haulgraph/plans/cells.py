@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,17 +36,22 @@ def _clip(ring: Column, x: Column, y: Column, u: Column, v: Column) -> Column:
     return F.flatten(F.transform(numbered, lambda n: step(n["p"], n["i"])))
 
 
-def voronoi(sites: DataFrame, lands: DataFrame, keep: Written, reach: float = 2.0) -> DataFrame:
+def voronoi(sites: DataFrame, lands: DataFrame, keep: Written, reach: float | None = None) -> DataFrame:
     """(site, land, ring): of each land (land, ring: closed) the part nearest to each of its sites (site, land, lon, lat).
 
     A cell is the land's ring clipped by the half-planes towards the site's neighbours, nearest first. Neighbours come by a
     grid join within ``reach``; no site beyond twice the distance to the cell's farthest corner can cut it, so a cell within
-    that is done, and the others go on with four times the reach. Of sites at one place the least has the cell; a land
+    that is done, and the others go on with twice the reach, which begins where sites of the densest land have a few dozen
+    neighbours. Of sites at one place the least has the cell; a land
     with one site is its cell, a land without has none. Rings are closed; parts of a land that is not convex may be
     joined by sides without area.
     """
     own = keep.cut(sites.groupBy("land", "lon", "lat").agg(F.min("site").alias("site")).join(lands.select("land", F.slice("ring", 1, F.size("ring") - 1).alias("ring")), "land"))
     out, left = [], own
+    if reach is None:
+        frame = lambda c: F.array_max(F.transform("ring", lambda p: p[c])) - F.array_min(F.transform("ring", lambda p: p[c]))
+        room = lands.select("land", (frame("lon") * frame("lat")).alias("room")).join(own.groupBy("land").count(), "land").agg(F.min(F.col("room") / F.col("count"))).first()[0]
+        reach = max(3 * math.sqrt(room or 0.0), 1e-6)
     widest = lands.select(F.max(F.array_max(F.transform("ring", lambda p: p["lon"])) - F.array_min(F.transform("ring", lambda p: p["lon"])) + F.array_max(F.transform("ring", lambda p: p["lat"])) - F.array_min(F.transform("ring", lambda p: p["lat"])))).first()[0]
     while True:
         every = widest is None or reach > 2 * widest  # then a neighbour is any other site of the land
@@ -62,7 +69,7 @@ def voronoi(sites: DataFrame, lands: DataFrame, keep: Written, reach: float = 2.
         left = cut.filter("not done").drop("cell", "done")
         if every or left.isEmpty():
             break
-        reach *= 4
+        reach *= 2
     whole = out[0]
     for o in out[1:]:
         whole = whole.unionByName(o)

@@ -121,7 +121,10 @@ def voronoi_cells(spark, d):
     cells = keep.cut(voronoi(sites, land, keep))
     key = F.col("p_partkey")
     points = V.read(spark, d, "part").select(key.alias("id"), (V.lat_of(key) + 0.00713).alias("lat"), (V.lon_of(key) + 0.00317).alias("lon"))
-    return in_polygons(points, cells.select("site", "ring"), 6.0).select(F.col("id").alias("point"), "site")
+    # squares as wide as a cell is on average, so that a point meets a few cells however many there are
+    frame = lambda c: F.array_max(F.transform("ring", lambda p: p[c])) - F.array_min(F.transform("ring", lambda p: p[c]))
+    width = cells.agg(F.avg(F.greatest(frame("lon"), frame("lat")))).first()[0] or 6.0
+    return in_polygons(points, cells.select("site", "ring"), min(max(width, 1e-3), 6.0)).select(F.col("id").alias("point"), "site")
 
 
 @query(f"""{views('starts')}, cell AS (SELECT DISTINCT nationkey AS land, floor(lon / 30)::BIGINT AS x, floor((lat + 60) / 24)::BIGINT AS y FROM starts),

@@ -85,3 +85,17 @@ def test_fewest_hops_takes_the_least_of_equal_paths(spark, monkeypatch):
     got = {r.node: r.path for r in G.fewest_hops(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(1, 1)], "source int, node int")).collect()}
     assert got[9] == [1, 3, 9] and got[2] == [1, 3, 9, 2] and got[80] == [1, 3, 9, *range(20, 81)] and got[1] == [1]
     assert len(written) < 100
+
+
+def test_voronoi_reach_follows_density(spark, monkeypatch):
+    import inspect
+
+    from haulgraph.plans.cells import voronoi
+    from haulgraph.plans.graphs import Written
+
+    assert inspect.signature(voronoi).parameters["reach"].default is None
+    sites = spark.createDataFrame([(i, 0, (i * 37 % 101) / 101.0 * 30, (i * 61 % 97) / 97.0 * 12) for i in range(90)], "site int, land int, lon double, lat double")
+    ring = [(0.0, 0.0), (30.0, 0.0), (30.0, 12.0), (0.0, 12.0), (0.0, 0.0)]
+    lands = spark.createDataFrame([(0, ring)], "land int, ring array<struct<lon: double, lat: double>>")
+    own, wide = (sorted((r.site, sorted((round(p.lon, 6), round(p.lat, 6)) for p in set(r.ring))) for r in voronoi(sites, lands, Written(spark), **reach).collect()) for reach in ({}, {"reach": 100.0}))
+    assert own == wide and len(own) == 90
