@@ -195,8 +195,8 @@ LEFT JOIN (SELECT start_id, arg_min(continent, {{'d': distance_m, 'k': key}}) AS
 def continent_maintenance(spark, d):
     """A branch's continent: by its node, else that of the nearest region within a cutoff, else the one before."""
     s, n = V.starts(spark, d), V.nodes(spark, d)
-    near = X.within_distance(_points(s, "start_id", "l"), _points(n, "key", "r"), 1_000_000.0)
-    first = near.groupBy(F.col("l_id").alias("start_id")).agg(F.min(F.struct("distance_m", "r_id"))["r_id"].alias("r_id"))
+    near = X.nearest_within(_points(s, "start_id", "l"), _points(n, "key", "r"), 1_000_000.0, G.Written(spark))
+    first = near.select(F.col("l_id").alias("start_id"), "r_id")
     near_by = first.join(n.select(F.col("key").alias("r_id"), F.col("continent").alias("near_by")), "r_id").select("start_id", "near_by")
     mapped = n.filter("key % 2 = 0").select(F.col("key").alias("start_id"), "continent")
     return s.select("start_id").join(mapped, "start_id", "left").join(near_by, "start_id", "left").select("start_id", F.coalesce("continent", "near_by", F.lit("PREVIOUS")).alias("continent"))

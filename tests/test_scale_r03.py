@@ -99,3 +99,29 @@ def test_voronoi_reach_follows_density(spark, monkeypatch):
     lands = spark.createDataFrame([(0, ring)], "land int, ring array<struct<lon: double, lat: double>>")
     own, wide = (sorted((r.site, sorted((round(p.lon, 6), round(p.lat, 6)) for p in set(r.ring))) for r in voronoi(sites, lands, Written(spark), **reach).collect()) for reach in ({}, {"reach": 100.0}))
     assert own == wide and len(own) == 90
+
+
+def test_gaps_close_by_growing_reach_as_by_all_lines(spark, tmp_path):
+    from haulgraph.plans import lines as L
+    from haulgraph.plans.graphs import Written
+
+    ends = [(2 * g + o, g, (g * 37 % 101) / 4.0, (g * 61 % 97) / 2.0 + o * 0.3) for g in range(120) for o in (0, 1)]
+    df = spark.createDataFrame(ends, "id long, graph long, lat double, lon double")
+    side = lambda s: df.toDF(f"{s}_id", f"{s}_graph", f"{s}_lat", f"{s}_lon")
+    pairs = X.within_distance(side("l"), side("r"), 900_000.0).filter("l_id < r_id and l_graph <> r_graph").select("distance_m", "l_id", "r_id", "l_graph", "r_graph").collect()
+    root, expected = {g: g for g in range(120)}, []
+    for d, a, b, g, h in sorted(map(tuple, pairs)):
+        if root[g] != root[h]:
+            expected.append((a, b, d))
+            old = root[h]
+            root = {k: root[g] if v == old else v for k, v in root.items()}
+    assert sorted(map(tuple, L.close_gaps(df, 900_000.0, Written(spark)).collect())) == sorted(expected)
+
+
+def test_nearest_within_a_limit_by_growing_radius(spark):
+    from haulgraph.plans.graphs import Written
+
+    side = lambda s, n, k: spark.range(n).select(F.col("id").alias(f"{s}_id"), (F.col("id") * k % 83).cast("double").alias(f"{s}_lat"), (F.col("id") * k % 167).cast("double").alias(f"{s}_lon"))
+    every = X.within_distance(side("l", 150, 37), side("r", 60, 53), 900_000.0).groupBy("l_id").agg(F.min(F.struct("distance_m", "r_id")).alias("m")).select("l_id", "m.r_id", "m.distance_m")
+    got = X.nearest_within(side("l", 150, 37), side("r", 60, 53), 900_000.0, Written(spark))
+    assert sorted(map(tuple, got.select("l_id", "r_id", "distance_m").collect())) == sorted(map(tuple, every.collect()))
