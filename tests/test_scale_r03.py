@@ -125,3 +125,15 @@ def test_nearest_within_a_limit_by_growing_radius(spark):
     every = X.within_distance(side("l", 150, 37), side("r", 60, 53), 900_000.0).groupBy("l_id").agg(F.min(F.struct("distance_m", "r_id")).alias("m")).select("l_id", "m.r_id", "m.distance_m")
     got = X.nearest_within(side("l", 150, 37), side("r", 60, 53), 900_000.0, Written(spark))
     assert sorted(map(tuple, got.select("l_id", "r_id", "distance_m").collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_ends_tied_by_squares_as_by_all_pairs(spark):
+    from haulgraph.plans import lines as L
+    from haulgraph.plans.graphs import Written, components
+
+    ends = spark.range(400).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("end"), (F.col("id") * 37 % 101 / 8.0 - 6).alias("lat"), (F.pmod(F.col("id") * 61 % 97 / 12.0 - 184, F.lit(360.0)) - 180).alias("lon"))
+    side = lambda s: ends.toDF(f"{s}_id", f"{s}_lat", f"{s}_lon")
+    for snap in (14_000.0, 25_000.0):
+        pairs = X.within_distance(side("l"), side("r"), snap).filter("l_id < r_id").select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"))
+        plain = ends.select("end").join(components(pairs).withColumnRenamed("node", "end"), "end", "left").select("end", F.coalesce("root", "end"))
+        assert sorted(map(tuple, L.tied(ends, snap, Written(spark)).collect())) == sorted(map(tuple, plain.collect()))
