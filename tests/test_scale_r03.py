@@ -137,3 +137,10 @@ def test_ends_tied_by_squares_as_by_all_pairs(spark):
         pairs = X.within_distance(side("l"), side("r"), snap).filter("l_id < r_id").select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"))
         plain = ends.select("end").join(components(pairs).withColumnRenamed("node", "end"), "end", "left").select("end", F.coalesce("root", "end"))
         assert sorted(map(tuple, L.tied(ends, snap, Written(spark)).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_equal_intervals_do_not_join_neighbouring_unions(spark):
+    from haulgraph.plans.results import merge_intervals
+
+    rows = [(1, 75, 80), (1, 75, 80), (1, 81, 85), (1, 80, 81), (1, 86, 87), (1, 86, 87), (1, 87, 92)]
+    assert sorted(map(tuple, merge_intervals(spark.createDataFrame(rows, "k int, a int, b int")).collect())) == [(1, 75, 85), (1, 86, 92)]
