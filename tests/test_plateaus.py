@@ -23,3 +23,17 @@ def test_tails_stand_against_those_that_need_fewer_rules(spark):
     goals = spark.createDataFrame([(2, 0, 0.0)], "node long, commodity long, price double")
     found = supply.tails(keep.cut(steps(spark, **rows)), goals, 1.0, keep).filter(F.col("node") == 1).collect()
     assert [(r.slope, r.base, r.steps, r.needs_free, r.has_ship) for r in found] == [(1.0, 0.0, 1, False, False)]  # three before
+
+
+def test_a_value_that_is_not_a_number_stays_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from haulgraph.queries import QUERIES, SQL
+
+    values = [1.5, float("nan"), float("inf"), float("-inf"), None]
+    events = spark.createDataFrame([(i, values[i // 15 % 5]) for i in range(90)], "event_id long, value double")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["filter_finite"](spark, str(tmp_path)).collect()
+    assert sorted((r.event_id, str(r.cost)) for r in got) == sorted((i, str(c)) for i, c in con.execute(SQL["filter_finite"]).fetchall())
