@@ -25,6 +25,18 @@ def test_tails_stand_against_those_that_need_fewer_rules(spark):
     assert [(r.slope, r.base, r.steps, r.needs_free, r.has_ship) for r in found] == [(1.0, 0.0, 1, False, False)]  # three before
 
 
+def test_groups_meet_in_parts_without_one_side_sent_whole(spark):
+    from haulgraph.operators import spatial as X
+
+    left = spark.range(500).select(F.col("id").alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("g"))
+    right = spark.range(90).select(F.col("id").alias("b"), (F.col("id") % 3).alias("g"))
+    got = X.within_groups(left, right, "g", "a", "b", block=8)
+    every = left.join(right, "g").select("a", "b")
+    assert got.select("a", "b").exceptAll(every).isEmpty() and every.exceptAll(got.select("a", "b")).isEmpty()
+    keys = got.groupBy(F.spark_partition_id()).count().count()
+    assert keys > 2  # a task a group before
+
+
 def test_a_value_that_is_not_a_number_stays_as_in_the_sql(spark, tmp_path):
     import duckdb
 
