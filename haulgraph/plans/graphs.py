@@ -119,7 +119,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) over undirected edges (src, dst): root is the least node reachable.
 
     Nodes hook to their least neighbour, paths to roots are halved by self joins, edges are contracted; rounds are
-    logarithmic, not the diameter.
+    logarithmic, not the diameter. Written tables of nodes look small to Spark, but as a table in memory they are not: joins
+    are merges, so none goes through the driver.
     """
     pair = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
     live = cut(edges.filter("src <> dst").select(*pair).distinct())
@@ -128,14 +129,14 @@ def components(edges: DataFrame) -> DataFrame:
         parent = cut(live.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("p")))
         while True:
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            parent = cut(parent.join(up, "p", "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
+            parent = cut(parent.join(up.hint("merge"), "p", "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
             if parent.filter("moved").isEmpty():
                 break
             parent = parent.drop("moved")
         to = parent.select(F.col("u").alias("root"), F.col("p").alias("next"))
-        labels = cut(labels.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        labels = cut(labels.join(to.hint("merge"), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         a, b = (parent.select(F.col("u").alias(c), F.col("p").alias(f"{c}p")) for c in "ab")
-        moved = live.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ap", "a").alias("src"), F.coalesce("bp", "b").alias("dst"))
+        moved = live.join(a.hint("merge"), "a", "left").join(b.hint("merge"), "b", "left").select(F.coalesce("ap", "a").alias("src"), F.coalesce("bp", "b").alias("dst"))
         live = cut(moved.filter("src <> dst").select(*pair).distinct())
     return labels
 

@@ -115,6 +115,7 @@ def close_gaps(ends: DataFrame, gap_m: float, keep: Written) -> DataFrame:
     Short lines come first: the reach begins where an end meets a few others and grows fourfold up to ``gap_m``. As all lines
     of a reach come before longer ones, the forest is the same; and each line of the next one has an end outside the
     largest group, so ends that are joined to it meet only those that are not.
+    No table of ends or groups goes through the driver: joins are merges.
     """
     placed = keep.cut(ends.select("id", "graph", "lat", "lon", F.col("graph").alias("group")))
     steps = max(0, math.ceil(math.log(max(gap_m / math.sqrt(4 * SPHERE_M2 / (math.pi * max(placed.count(), 1))), 1.0), 4)))
@@ -138,7 +139,7 @@ def close_gaps(ends: DataFrame, gap_m: float, keep: Written) -> DataFrame:
             taken = keep.cut(each.select("x.*").distinct())
             out.append(taken.select("line.*"))
             roots = keep.cut(components(taken.select(F.col("g").alias("src"), F.col("h").alias("dst"))))
-            to = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+            to = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")).hint("merge")  # noqa: B023, E731
             live = keep.cut(least(live.join(to("g"), "g", "left").join(to("h"), "h", "left").select(F.coalesce("g_root", "g").alias("g"), F.coalesce("h_root", "h").alias("h"), "line")))
             renamed = keep.cut(renamed.join(to("group"), "group", "left").select("id", "graph", "lat", "lon", F.coalesce("group_root", "group").alias("group")))
         placed = renamed

@@ -49,3 +49,16 @@ def test_a_value_that_is_not_a_number_stays_as_in_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     got = QUERIES["filter_finite"](spark, str(tmp_path)).collect()
     assert sorted((r.event_id, str(r.cost)) for r in got) == sorted((i, str(c)) for i, c in con.execute(SQL["filter_finite"]).fetchall())
+
+
+def test_gaps_and_components_send_no_table_through_the_driver(spark, monkeypatch):
+    from haulgraph.plans import graphs as G
+    from haulgraph.plans import lines as L
+
+    plans, plain, own = [], G.cut, Written.cut
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(G, "cut", lambda df: note(df) or plain(df))
+    monkeypatch.setattr(Written, "cut", lambda self, df: note(df) or own(self, df))
+    ends = spark.createDataFrame([(i, i // 2, (i * 37 % 101) / 4.0, (i * 61 % 97) / 2.0) for i in range(60)], "id long, graph long, lat double, lon double")
+    assert L.close_gaps(ends, 900_000.0, Written(spark)).count() == 29
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
