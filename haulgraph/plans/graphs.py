@@ -76,6 +76,18 @@ def _waves(edges: DataFrame, best: DataFrame, add) -> DataFrame:
         best = cut(_least(best.unionByName(front), "source", "node"))
 
 
+def leaving(edges: DataFrame, level: int) -> DataFrame | None:
+    """(node): nodes of at most two neighbours, no two beside each other, that can leave a graph at once; none if all have more."""
+    live = edges.filter("src <> dst")
+    both = live.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(live.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
+    small = both.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n <= 2").select("node", F.struct(F.xxhash64("node", F.lit(level)), "node").alias("h"))
+    small = cut(small)
+    if small.isEmpty():
+        return None
+    held = both.join(small, "node").join(small.select(F.col("node").alias("other"), F.col("h").alias("h2")), "other").filter("h2 < h").select("node")
+    return cut(small.select("node").join(held, "node", "left_anti"))
+
+
 def _thin_out(edges: DataFrame, add) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
     """Levels of nodes that leave a graph, each the edges from them and to them as they left; and the edges that remain.
 
@@ -84,13 +96,9 @@ def _thin_out(edges: DataFrame, add) -> tuple[list[tuple[DataFrame, DataFrame]],
     """
     levels, live = [], cut(_least(edges.filter("src <> dst"), "src", "dst"))
     while True:
-        both = live.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(live.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
-        small = both.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n <= 2").select("node", F.struct(F.xxhash64("node", F.lit(len(levels))), "node").alias("h"))
-        small = cut(small)
-        if small.isEmpty():
+        gone = leaving(live, len(levels))
+        if gone is None:
             return levels, live
-        held = both.join(small, "node").join(small.select(F.col("node").alias("other"), F.col("h").alias("h2")), "other").filter("h2 < h").select("node")
-        gone = cut(small.select("node").join(held, "node", "left_anti"))
         src, dst = (gone.withColumnRenamed("node", c) for c in ("src", "dst"))
         out, into = cut(live.join(src, "src", "left_semi")), cut(live.join(dst, "dst", "left_semi"))
         levels.append((out, into))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulgraph.functions import cost as C
 from haulgraph.operators import state as S
 
-from .graphs import cut
+from .graphs import cut, leaving
 
 STATE = ["start_id", "node", "commodity"]
 
@@ -49,6 +49,67 @@ def search(seeds: DataFrame, conversions: DataFrame, segments: DataFrame, goals:
     return best
 
 
+WAY = ["src", "commodity", "dst", "to"]
+
+
+def _lowest(ways: DataFrame, least: float, most: float | None = None) -> DataFrame:
+    """Of ways (WAY, slope, base, fresh), those that some cost from ``least`` up to ``most`` may have as the cheapest; of equals one that is not fresh."""
+    far = F.col("slope") if most is None else F.col("slope") * most + F.col("base")
+    order = Window.partitionBy(*WAY).orderBy(F.col("slope") * least + F.col("base"), far, "fresh").rowsBetween(Window.unboundedPreceding, -1)
+    return ways.withColumn("_far", far).withColumn("_f", F.min("_far").over(order)).filter("_f is null or _far < _f - abs(_f) * 1e-13").drop("_far", "_f")
+
+
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Ways of ``first`` with one of ``second`` after them."""
+    after = second.select(F.col("src").alias("dst"), F.col("commodity").alias("to"), F.col("dst").alias("_dst"), F.col("to").alias("_to"), F.col("slope").alias("_slope"), F.col("base").alias("_base"))
+    met = first.join(after.hint("merge"), ["dst", "to"])
+    return met.select("src", "commodity", F.col("_dst").alias("dst"), F.col("_to").alias("to"), (F.col("slope") * F.col("_slope")).alias("slope"), (F.col("base") * F.col("_slope") + F.col("_base")).alias("base"), F.lit(True).alias("fresh"))
+
+
+def _on(ways: DataFrame, steps: DataFrame, least: float, most: float | None = None, again: bool = True) -> DataFrame:
+    """``ways`` and those that go on by ``steps``, with ``again`` as often as they gain something."""
+    best = front = ways
+    while True:
+        best = cut(_lowest(best.withColumn("fresh", F.lit(False)).unionByName(_then(front, steps)), least, most))
+        front = best.filter("fresh")
+        if not again or front.isEmpty():
+            return best
+
+
+def reached(seeds: DataFrame, conversions: DataFrame, segments: DataFrame) -> DataFrame:
+    """(start_id, node, commodity, cost): every state that conversions and segments lead to, at its least cost, without bounds.
+
+    A way turns a cost x into slope * x + base, so ways are worked out once for all starts of a node. Nodes of at most two
+    neighbours leave level by level, with the ways past them; the conversions at a node, and what its left neighbours add to
+    them, are ways from it to itself. Sources climb the levels, cross what remains and come down, as in ``graphs.shortest``: chains
+    take rounds by the logarithm of their length, and what is written grows with the result. No step may lower a cost.
+    """
+    seeds = seeds.filter(C.is_finite(F.col("cost")))
+    ends = seeds.agg(F.min("cost").alias("least"), F.max("cost").alias("most")).first()
+    least, most = float(ends["least"] or 0.0), float(ends["most"] or 0.0)
+    step = lambda df, src, dst, c, to, share: df.select(F.col(src).alias("src"), F.col(c).alias("commodity"), F.col(dst).alias("dst"), F.col(to).alias("to"), (1 / share).alias("slope"), (F.col("fee") / share).alias("base"), F.lit(False).alias("fresh")).filter("slope > 0 and slope < double('infinity') and base < double('infinity')")
+    live = cut(_lowest(step(conversions, "node", "node", "commodity", "to", F.col("efficiency")).unionByName(step(segments, "src", "dst", "commodity", "commodity", 1 - F.col("loss"))), least))
+    levels = []
+    while (gone := leaving(live, len(levels))) is not None:
+        src, dst = (gone.withColumnRenamed("node", c) for c in ("src", "dst"))
+        own, turns = live.join(src, "src", "left_semi"), "src = dst"
+        turned = _on(cut(own.filter(turns)), own.filter(turns), least)
+        out = cut(own.filter("src <> dst"))
+        into = _on(cut(live.join(dst, "dst", "left_semi").filter("src <> dst")), turned, least, again=False)
+        levels.append((turned, out, into))
+        past = _then(into, out).filter("src <> dst or commodity <> to")
+        live = cut(_lowest(live.join(src, "src", "left_anti").join(dst, "dst", "left_anti").unionByName(past), least))
+    one = lambda x: F.lit(x).cast("double")
+    best = cut(seeds.select(F.col("node").alias("src"), "commodity").distinct().select("src", "commodity", F.col("src").alias("dst"), F.col("commodity").alias("to"), one(1.0).alias("slope"), one(0.0).alias("base"), F.lit(False).alias("fresh")))
+    for turned, out, _ in levels:
+        best = _on(_on(best, turned, least, most, False), out, least, most, False)
+    best = _on(best, live, least, most)
+    for _, _, into in reversed(levels):
+        best = _on(best, into, least, most, False)
+    met = seeds.withColumnRenamed("node", "src").join(best.hint("merge"), ["src", "commodity"])
+    return met.groupBy("start_id", F.col("dst").alias("node"), F.col("to").alias("commodity")).agg(F.min(F.col("slope") * F.col("cost") + F.col("base")).alias("cost"))
+
+
 KEY = ["start_id", "node", "commodity", "free"]
 FULL = [*KEY, "cost", "hops", "shipped", "visited", "riding"]
 

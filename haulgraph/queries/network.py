@@ -171,6 +171,6 @@ def routing_fixpoint(spark, d):
 SELECT start_id, node, commodity, round(cost, 8) AS cost FROM r""")
 def export_enumeration(spark, d):
     """Every state a start reaches by conversions and segments, at its least cost, until no branch is left."""
-    seeds, tables, goals = _routes(spark, d)
-    best = R.search(seeds, G.cut(tables["conversions"]), G.cut(tables["segments"].withColumnRenamed("node", "src")), goals, prune=False)
+    seeds, tables, _ = _routes(spark, d)
+    best = R.reached(seeds, G.cut(tables["conversions"]), G.cut(tables["segments"].withColumnRenamed("node", "src")))
     return best.select("start_id", "node", "commodity", F.round("cost", 8).alias("cost"))

@@ -62,3 +62,31 @@ def test_gaps_and_components_send_no_table_through_the_driver(spark, monkeypatch
     ends = spark.createDataFrame([(i, i // 2, (i * 37 % 101) / 4.0, (i * 61 % 97) / 2.0) for i in range(60)], "id long, graph long, lat double, lon double")
     assert L.close_gaps(ends, 900_000.0, Written(spark)).count() == 29
     assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_states_reached_along_a_chain_in_few_rounds(spark, monkeypatch):
+    from haulgraph.plans import graphs as G
+    from haulgraph.plans import routing as R
+
+    written, plain = [], G.cut
+    ways = [(a, b, c, float((a * 7 + b * 3) % 5 + 1) * (c + 1), 0.02 * c) for i in [*range(24), *range(30, 33)] for a, b in ((i, i + 1), (i + 1, i)) for c in range(2)] + [(33, 30, 0, 1.0, 0.0), (30, 33, 0, 1.0, 0.0)]
+    turns = [(n, c, 1 - c, float(n % 4 + 1), 0.7 + 0.1 * c) for n in (0, 5, 11, 19, 31, 50) for c in range(2)]
+    seeds = [(1, 3, 0, 20.0), (2, 3, 0, 90.0), (3, 22, 0, 40.0), (4, 32, 0, 30.0), (5, 50, 0, 10.0)]
+    expected = {(s, n, c): x for s, n, c, x in seeds}
+    todo = list(expected)
+    while todo:
+        s, n, c = todo.pop()
+        x = expected[s, n, c]
+        for at, y in [((s, b, c), (x + f) / (1 - p)) for a, b, k, f, p in ways if (a, k) == (n, c)] + [((s, n, to), (x + f) / e) for a, k, to, f, e in turns if (a, k) == (n, c)]:
+            if y < expected.get(at, 1e18) - 1e-12:
+                expected[at] = y
+                todo.append(at)
+    count = lambda df: written.append(1) or plain(df)
+    monkeypatch.setattr(G, "cut", count)
+    monkeypatch.setattr(R, "cut", count)
+    got = R.reached(
+        spark.createDataFrame(seeds, "start_id int, node int, commodity int, cost double"), spark.createDataFrame(turns, "node int, commodity int, to int, fee double, efficiency double"),
+        spark.createDataFrame(ways, "src int, dst int, commodity int, fee double, loss double"),
+    )
+    assert {(r.start_id, r.node, r.commodity): round(r.cost, 8) for r in got.collect()} == {k: round(x, 8) for k, x in expected.items()}
+    assert len(written) < 120
