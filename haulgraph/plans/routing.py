@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from haulgraph.functions import cost as C
 from haulgraph.operators import state as S
 
-from .graphs import cut, leaving
+from .graphs import Written, cut, leaving
 
 STATE = ["start_id", "node", "commodity"]
 
@@ -66,11 +66,12 @@ def _then(first: DataFrame, second: DataFrame) -> DataFrame:
     return met.select("src", "commodity", F.col("_dst").alias("dst"), F.col("_to").alias("to"), (F.col("slope") * F.col("_slope")).alias("slope"), (F.col("base") * F.col("_slope") + F.col("_base")).alias("base"), F.lit(True).alias("fresh"))
 
 
-def _on(ways: DataFrame, steps: DataFrame, least: float, most: float | None = None, again: bool = True) -> DataFrame:
-    """``ways`` and those that go on by ``steps``, with ``again`` as often as they gain something."""
+def _on(keep: Written, ways: DataFrame, steps: DataFrame, least: float, most: float | None = None, again: bool = True) -> DataFrame:
+    """``ways``, a written table read no more after this, and those that go on by ``steps``, with ``again`` as often as they gain something."""
     best = front = ways
     while True:
-        best = cut(_lowest(best.withColumn("fresh", F.lit(False)).unionByName(_then(front, steps)), least, most))
+        old, best = best, keep.cut(_lowest(best.withColumn("fresh", F.lit(False)).unionByName(_then(front, steps)), least, most))
+        keep.drop(old)
         front = best.filter("fresh")
         if not again or front.isEmpty():
             return best
@@ -88,26 +89,46 @@ def reached(seeds: DataFrame, conversions: DataFrame, segments: DataFrame) -> Da
     ends = seeds.agg(F.min("cost").alias("least"), F.max("cost").alias("most")).first()
     least, most = float(ends["least"] or 0.0), float(ends["most"] or 0.0)
     step = lambda df, src, dst, c, to, share: df.select(F.col(src).alias("src"), F.col(c).alias("commodity"), F.col(dst).alias("dst"), F.col(to).alias("to"), (1 / share).alias("slope"), (F.col("fee") / share).alias("base"), F.lit(False).alias("fresh")).filter("slope > 0 and slope < double('infinity') and base < double('infinity')")
-    live = cut(_lowest(step(conversions, "node", "node", "commodity", "to", F.col("efficiency")).unionByName(step(segments, "src", "dst", "commodity", "commodity", 1 - F.col("loss"))), least))
+    keep = Written(seeds.sparkSession)
+    live = keep.cut(_lowest(step(conversions, "node", "node", "commodity", "to", F.col("efficiency")).unionByName(step(segments, "src", "dst", "commodity", "commodity", 1 - F.col("loss"))), least))
     levels = []
     while (gone := leaving(live, len(levels))) is not None:
         src, dst = (gone.withColumnRenamed("node", c) for c in ("src", "dst"))
         own, turns = live.join(src, "src", "left_semi"), "src = dst"
-        turned = _on(cut(own.filter(turns)), own.filter(turns), least)
-        out = cut(own.filter("src <> dst"))
-        into = _on(cut(live.join(dst, "dst", "left_semi").filter("src <> dst")), turned, least, again=False)
+        turned = _on(keep, keep.cut(own.filter(turns)), own.filter(turns), least)
+        out = keep.cut(own.filter("src <> dst"))
+        into = _on(keep, keep.cut(live.join(dst, "dst", "left_semi").filter("src <> dst")), turned, least, again=False)
         levels.append((turned, out, into))
         past = _then(into, out).filter("src <> dst or commodity <> to")
-        live = cut(_lowest(live.join(src, "src", "left_anti").join(dst, "dst", "left_anti").unionByName(past), least))
+        old, live = live, keep.cut(_lowest(live.join(src, "src", "left_anti").join(dst, "dst", "left_anti").unionByName(past), least))
+        keep.drop(old)
     one = lambda x: F.lit(x).cast("double")
-    best = cut(seeds.select(F.col("node").alias("src"), "commodity").distinct().select("src", "commodity", F.col("src").alias("dst"), F.col("commodity").alias("to"), one(1.0).alias("slope"), one(0.0).alias("base"), F.lit(False).alias("fresh")))
+    best = keep.cut(seeds.select(F.col("node").alias("src"), "commodity").distinct().select("src", "commodity", F.col("src").alias("dst"), F.col("commodity").alias("to"), one(1.0).alias("slope"), one(0.0).alias("base"), F.lit(False).alias("fresh")))
     for turned, out, _ in levels:
-        best = _on(_on(best, turned, least, most, False), out, least, most, False)
-    best = _on(best, live, least, most)
+        best = _on(keep, _on(keep, best, turned, least, most, False), out, least, most, False)
+        keep.drop(turned, out)
+    best = _on(keep, best, live, least, most)
     for _, _, into in reversed(levels):
-        best = _on(best, into, least, most, False)
-    met = seeds.withColumnRenamed("node", "src").join(best.hint("merge"), ["src", "commodity"])
-    return met.groupBy("start_id", F.col("dst").alias("node"), F.col("to").alias("commodity")).agg(F.min(F.col("slope") * F.col("cost") + F.col("base")).alias("cost"))
+        best = _on(keep, best, into, least, most, False)
+        keep.drop(into)
+    return _arrive(seeds.withColumnRenamed("node", "src"), best)
+
+
+def _arrive(seeds: DataFrame, ways: DataFrame) -> DataFrame:
+    """The least cost (start_id, node, commodity, cost) that seeds (start_id, src, commodity, cost) come to by ``ways``.
+
+    A start's rows are many times its ways, so they are not dealt again: the ways between two states meet a seed as one list.
+    Only starts with several seeds have rows to compare.
+    """
+    at = ["src", "commodity"]
+    lists = ways.repartition(*at).groupBy(*WAY).agg(F.collect_list(F.struct("slope", "base")).alias("lines"))
+    twice = cut(seeds.groupBy("start_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("start_id"))
+    cost = F.array_min(F.transform("lines", lambda x: x["slope"] * F.col("cost") + x["base"]))
+    arrived = lambda s: s.join(lists.hint("merge"), at).select("start_id", F.col("dst").alias("node"), F.col("to").alias("commodity"), cost.alias("cost"))
+    if twice.isEmpty():
+        return arrived(seeds)
+    several = arrived(seeds.join(twice, "start_id", "left_semi")).groupBy("start_id", "node", "commodity").agg(F.min("cost").alias("cost"))
+    return arrived(seeds.join(twice, "start_id", "left_anti")).unionByName(several)
 
 
 KEY = ["start_id", "node", "commodity", "free"]
